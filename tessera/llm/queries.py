@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat_format, url_filter
+from tessera.llm import bpe, chat_format, decontamination, quality, topk_search, toxicity, url_filter
 from tessera.llm.common import scan
 
 
@@ -16,11 +16,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontamination.query,
     "op4_url_filter": url_filter.query,
     "op5_bpe": op5_bpe,
+    "op6_topk_search": topk_search.query,
+    "op7_quality": quality.query,
+    "op8_toxicity": toxicity.query,
     "op10_chat_format": chat_format.query,
 }
 SQL: dict[str, str] = {
     "op4_url_filter": url_filter.SQL,
+    "op6_topk_search": topk_search.SQL,
     "op10_chat_format": chat_format.SQL,
 }
