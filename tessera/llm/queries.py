@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat_format, decontamination, quality, substring_dedup, topk_search, toxicity, url_filter
+from tessera.llm import bpe, chat_format, decontamination, licenses, quality, substring_dedup, topk_search, toxicity, url_filter
 from tessera.llm.common import scan
 
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_topk_search": topk_search.query,
     "op7_quality": quality.query,
     "op8_toxicity": toxicity.query,
+    "op9_licenses": licenses.query,
     "op10_chat_format": chat_format.query,
 }
 SQL: dict[str, str] = {
