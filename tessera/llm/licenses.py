@@ -130,7 +130,8 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least:
             texts, named = batch.column(batch.schema.get_field_index(text)), batch.column(batch.num_columns - 1)
             name, score, is_file = [None] * batch.num_rows, [0.0] * batch.num_rows, [False] * batch.num_rows
             for i in _asks(texts, named):
-                name[i], score[i], is_file[i] = matcher.value.judge(texts[i].as_py() or "", named[i].as_py(), least)
+                name[i], found, is_file[i] = matcher.value.judge(texts[i].as_py() or "", named[i].as_py(), least)
+                score[i] = min(round(found, 9), 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(name, pa.string()), pa.array(score), pa.array(is_file)], names=[*batch.schema.names[:-1], "license", "license_score", "__file"])
 
     judged = own.mapInArrow(judge, T.StructType([*kept.schema.fields, T.StructField("license", T.StringType()), T.StructField("license_score", T.DoubleType()), T.StructField("__file", T.BooleanType())]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat_format, decontamination, licenses, quality, substring_dedup, topk_search, toxicity, url_filter
+from tessera.llm import bpe, chat_format, decontamination, licenses, ngram_join, quality, substring_dedup, topk_search, toxicity, url_filter
 from tessera.llm.common import scan
 
 
@@ -17,6 +17,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.query,
+    "op2_ngram_join": ngram_join.query,
     "op3_substring_dedup": substring_dedup.query,
     "op4_url_filter": url_filter.query,
     "op5_bpe": op5_bpe,
