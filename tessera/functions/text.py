@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,20 +34,37 @@ def normal_url(url: Column) -> Column:
     return F.concat(head, path, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise(""))
 
 
+def gram_list(text: str | None, sizes: tuple[int, ...]) -> list[str]:
+    """Every n-gram of a normalised text, for each size in turn."""
+    t = re.sub(r"[^0-9a-zA-Z\u4e00-\u9fff]+", "", text or "").lower()
+    return [t[i : i + n] for n in sizes for i in range(len(t) - n + 1)]
+
+
+def all_grams(text: Column, sizes: tuple[int, ...]) -> Column:
+    """Every n-gram of a text: Arrow-batched, as a lambda over positions would walk through the text for each."""
+
+    @F.pandas_udf("array<string>")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: gram_list(t, sizes))
+
+    return run(text)
+
+
 def grams(text: Column, size: int = 5) -> Column:
-    """Distinct character n-grams; a shorter text is its own gram, an empty one has none."""
-    n = F.length(text)
-    return (
-        F.when(n == 0, F.array().cast("array<string>")).when(n <= size, F.array(text))
-        .otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: text.substr(i, F.lit(size)))))
-    )
+    """Distinct n-grams of a normalised text; a shorter one is its own gram, an empty one has none."""
+
+    @F.pandas_udf("array<string>")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: sorted(set(gram_list(t, (size,)))) or [x for x in ["".join(gram_list(t, (1,)))] if x])
+
+    return run(text)
 
 
 def overlap_similarity(left: Column, right: Column) -> Column:
     """The larger of Jaccard similarity and containment of two gram sets; 0 if one is empty."""
-    both = F.size(F.array_intersect(left, right))
-    least = F.least(F.size(left), F.size(right))
-    return F.when(least > 0, F.greatest(both / (F.size(left) + F.size(right) - both), both / least)).otherwise(0.0)
+    both, least = F.size(F.array_intersect(left, right)), F.least(F.size(left), F.size(right))
+    # containment is never below Jaccard similarity, as the smaller set is no larger than the union
+    return F.when(least > 0, both / least).otherwise(0.0)
 
 
 def sentences(text: Column) -> Column:

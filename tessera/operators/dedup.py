@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import grams, normal_text, overlap_similarity
+from tessera.functions.text import grams, overlap_similarity
+from tessera.operators.iterate import saved, settled
 
 
 def keep_earliest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -33,7 +34,8 @@ def near_pairs(docs: DataFrame, threshold: float = 0.88, size: int = 5, period:
 
     A pair of similarity t shares at least t of the smaller set's grams, so it meets among the first (1 - t) of that set's grams by frequency.
     """
-    sets = docs.select("doc_id", "seq", F.col(period).alias("__p"), grams(normal_text(F.col("text")), size).alias("g")).filter(F.size("g") > 0)
+    sets = docs.select("doc_id", "seq", F.col(period).alias("__p"), grams(F.col("text"), size).alias("g")).filter(F.size("g") > 0)
+    sets = saved(sets)  # read four times
     each = sets.select("doc_id", "__p", F.size("g").alias("n"), F.explode("g").alias("gram"))
     counted = each.join(each.groupBy("__p", "gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), ["__p", "gram"])
     # all shared grams of the smaller set from its rare end; the larger set may hold them anywhere
@@ -48,8 +50,6 @@ def near_pairs(docs: DataFrame, threshold: float = 0.88, size: int = 5, period:
 
 def ordered_dedup(docs: DataFrame, keys: list[str], threshold: float = 0.88, order: list[str] = ["publish_time", "doc_id"], near: bool = True) -> DataFrame:
     """Documents that the ordered rule keeps.  ``keys``: columns that must not repeat (null or empty ones never conflict)."""
-    from tessera.operators.iterate import settled
-
     numbered = docs.withColumn("seq", F.xxhash64(*order)).withColumn("__at", F.struct(*order))
     held = F.array_compact(F.array(F.concat(F.lit("seq="), F.col("seq").cast("string")), *[F.when(F.coalesce(F.col(k).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{k}="), F.col(k).cast("string"))) for k in keys]))
     nodes = numbered.select("seq", F.col("__at").alias("at"), F.explode(held).alias("key"))

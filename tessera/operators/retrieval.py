@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import grams, normal_text, normal_url
+from tessera.functions.text import all_grams, grams, normal_text, normal_url
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,9 +31,7 @@ def top_similar(queries: DataFrame, items: DataFrame, k: int, per: list[str] = [
 
 def gram_counts(docs: DataFrame, sizes: tuple[int, ...] = (2, 3), id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, gram, n): character grams with their counts."""
-    t = normal_text(F.col(text))
-    each = F.concat(*[F.when(F.length(t) >= s, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - s + 1, F.lit(1))), lambda i, s=s: t.substr(i, F.lit(s)))).otherwise(F.array().cast("array<string>")) for s in sizes])
-    return docs.select(id, F.explode(each).alias("gram")).groupBy(id, "gram").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(id, F.explode(all_grams(F.col(text), sizes)).alias("gram")).groupBy(id, "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sparse_cosine(left: DataFrame, right: DataFrame, id: str = "doc_id") -> DataFrame:
@@ -70,4 +68,4 @@ def link_entities(docs: DataFrame, aliases: DataFrame, sectors: DataFrame | None
 
 def gram_similarity(docs: DataFrame, size: int = 5) -> DataFrame:
     """Documents with their gram sets, for similarity expressions."""
-    return docs.withColumn("grams", grams(normal_text(F.col("text")), size))
+    return docs.withColumn("grams", grams(F.col("text"), size))
