@@ -244,7 +244,7 @@ def first_survivors(docs: DataFrame, blocks: int, hot: tuple[np.ndarray, np.ndar
 
 
 def rare_columns(texts: DataFrame, blocks: int) -> DataFrame:
-    """Step 2 over (id, h1, text): (id, n, central, shingles): the rarest shared shingles of each class that shares enough."""
+    """Step 2 over (id, text): (id, n, shared, central, shingles): the rarest of its shared shingles, for each class that shares enough."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(blocks, (np.zeros(0, np.uint64),))
@@ -286,10 +286,21 @@ def rare_columns(texts: DataFrame, blocks: int) -> DataFrame:
         central = np.add.reduceat(number.astype(np.float64), begin)[good] / n[good] if len(begin) else np.zeros(0)
         rare, _ = _taken(shingle, begin, good, length)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(rare.view(np.int64)))
-        return pa.table({"id": ids[begin][good], "n": n[good], "central": central, "shingles": lists})
+        return pa.table({"id": ids[begin][good], "n": n[good], "shared": shared[good], "central": central, "shingles": lists})
 
     sent = texts.select("id", "text").mapInArrow(send, "block long, blob binary").groupBy("block").applyInArrow(count, "to long, blob binary")
-    return sent.groupBy("to").applyInArrow(choose, "id long, n long, central double, shingles array<long>")
+    return sent.groupBy("to").applyInArrow(choose, "id long, n long, shared long, central double, shingles array<long>")
+
+
+def can_link(left: str, right: str, tail: str = ""):
+    """Whether two classes that meet in a column can still reach their sizes' bound, if this is the first shingle that they share.
+
+    To link, x and y share at least t / (1 + t) * (|x| + |y|) shingles.  Both list their shared shingles in the same order, so from the first common one on
+    there are at most shared - place left in either.  A pair that links passes in its first common column.
+    """
+    x, y = (lambda c: F.col(left + c)), (lambda c: F.col(right + c + tail))
+    left_over = F.least(x("shared") - x("place"), y("shared") - y("place"))
+    return (100 * F.least(x("n"), y("n")) >= PERCENT * F.greatest(x("n"), y("n"))) & ((100 + PERCENT) * left_over >= PERCENT * (x("n") + y("n")))
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -338,16 +349,16 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     chosen = classes.join(alive, "h1", "left_semi").select("id", "h1", "h2")
     texts = materialise(_texts(own.filter("doc_id IS NOT NULL").join(chosen, F.col("doc_id") == F.col("id")).select("id", "h1", "h2", "text")), "texts")
     rare = materialise(rare_columns(texts, blocks), "columns")
-    column = rare.select("id", "n", "central", F.explode("shingles").alias("shingle"))
-    centre = column.groupBy("shingle").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("centre"))
-    stars = column.join(centre, "shingle").filter("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct()
+    column = rare.select("id", "n", "shared", "central", F.posexplode("shingles").alias("place", "shingle"))
+    centre = column.groupBy("shingle").agg(F.max_by(F.struct("id", "n", "shared", "place"), F.struct("central", -F.col("id"))).alias("c"))
+    stars = column.join(centre, "shingle").filter(F.col("id") != F.col("c.id")).filter(can_link("", "c.")).select(F.col("id").alias("u"), F.col("c.id").alias("v")).distinct()
     links = materialise(compare(stars, texts), "links")
     found = materialise(connected_components(links), "components")
-    placed = rare.join(found, rare.id == found.node, "left").select("id", "n", F.coalesce("component", "id").alias("component"), F.explode("shingles").alias("shingle"))
+    placed = rare.join(found, rare.id == found.node, "left").select("id", "n", "shared", F.coalesce("component", "id").alias("component"), F.posexplode("shingles").alias("place", "shingle"))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("shingle")
     open_columns = materialise(placed.join(mixed, "shingle", "left_semi"), "open")
     left, right = open_columns.alias("l"), open_columns.select(*[F.col(c).alias(f"{c}_") for c in open_columns.columns])
-    rest = left.join(right, (F.col("shingle") == F.col("shingle_")) & (F.col("id") < F.col("id_")) & (F.col("component") != F.col("component_")) & (100 * F.least("n", "n_") >= PERCENT * F.greatest("n", "n_")))
+    rest = left.join(right, (F.col("shingle") == F.col("shingle_")) & (F.col("id") < F.col("id_")) & (F.col("component") != F.col("component_")) & can_link("", "", "_"))
     rest = rest.select(F.col("id").alias("u"), F.col("id_").alias("v")).distinct()
     done = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     more = materialise(compare(rest.join(done, ["u", "v"], "left_anti"), texts), "links")
