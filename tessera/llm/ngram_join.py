@@ -211,7 +211,7 @@ def first_survivors(docs: DataFrame, blocks: int, hot: tuple[np.ndarray, np.ndar
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(blocks, known.value)
-        out = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4))], names=["block", "blob", "class", "n", "shared"])
+        out = lambda rows, hot: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([hot] * len(rows))], names=["block", "blob", "hot"])
         for batch in pieces(batches, "text"):
             shingles, ptr = shingle_sets(batch.column(0))
             n, ids = np.diff(ptr), set_hashes(shingles, ptr)[0]
@@ -221,26 +221,33 @@ def first_survivors(docs: DataFrame, blocks: int, hot: tuple[np.ndarray, np.ndar
             taken, owner = _taken(shingles, ptr, rows, first_part(n[rows])[0])
             is_hot = sender.is_hot(taken)
             counted = np.bincount(owner[is_hot], minlength=len(rows))
-            if some := [(None, None, int(ids[rows[i]]), int(n[rows[i]]), int(counted[i])) for i in np.flatnonzero(counted)]:
-                yield out(some)
+            some = np.flatnonzero(counted)
+            to = ids[rows[some]] % blocks
+            parts = [(int(b), some[to == b]) for b in np.unique(to)]
+            if parts:
+                yield out([(b, _pack(ids[rows[o]], n[rows[o]], counted[o])) for b, o in parts], True)
             for b, blob in sender.add(taken[~is_hot], owner[~is_hot], ids[rows], n[rows]):
-                yield out([(b, blob, None, None, None)])
+                yield out([(b, blob)], False)
         for b, blob in sender.flush():
-            yield out([(b, blob, None, None, None)])
+            yield out([(b, blob)], False)
 
     def count(table: pa.Table) -> pa.Table:
-        shingle, owner, ids, sizes = _read_block(table)
-        begin, number = _columns(shingle)
-        shared = np.bincount(owner[np.repeat(number > 1, number)], minlength=len(ids))
-        some = np.flatnonzero(shared)
-        return pa.table({"class": ids[some], "n": sizes[some], "shared": shared[some]})
-
-    sent = materialise(docs.select("text").mapInArrow(send, "block long, blob binary, class long, n long, shared long"), "first-parts")
-    counted = sent.filter("block IS NOT NULL").groupBy("block").applyInArrow(count, "class long, n long, shared long")
-    # a class may come from several tasks, each with its hot shingles: these count once
-    frequent = sent.filter("block IS NULL").groupBy("class", "n").agg(F.max("shared").alias("shared"))
+        hot = [_unpack(b.as_py(), np.int64, np.int64, np.int64) for b in table.filter(table.column("hot")).column("blob")]
+        cold = table.filter(pa.compute.invert(table.column("hot")))
+        ids, sizes, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(cold):
+            shingle, owner, ids, sizes = _read_block(cold)
+            _, number = _columns(shingle)
+            shared = np.bincount(owner[np.repeat(number > 1, number)], minlength=len(ids))
+            some = np.flatnonzero(shared)
+            ids, sizes, shared = ids[some], sizes[some], shared[some]
+        h_ids, h_sizes, h_shared = (np.concatenate([h[k] for h in hot] + [np.zeros(0, np.int64)]) for k in range(3))
+        return pa.table({"class": np.concatenate((ids, h_ids)), "n": np.concatenate((sizes, h_sizes)), "shared": np.concatenate((shared, np.zeros_like(h_shared))), "hot": np.concatenate((np.zeros_like(shared), h_shared))})
+
+    counted = docs.select("text").mapInArrow(send, "block long, blob binary, hot boolean").groupBy("block").applyInArrow(count, "class long, n long, shared long, hot long")
     bounds = EXTRA * F.ceil(PERCENT * F.col("n") / 100) / 100
-    return counted.unionByName(frequent).groupBy("class", "n").agg(F.sum("shared").alias("shared")).filter(F.col("shared") >= F.floor(bounds) + 1).select("class", "n")
+    # a class may come from several tasks, each with its hot shingles: these count once
+    return counted.groupBy("class", "n").agg((F.sum("shared") + F.max("hot")).alias("shared")).filter(F.col("shared") >= F.floor(bounds) + 1).select("class", "n")
 
 
 def rare_columns(texts: DataFrame, blocks: int) -> DataFrame:
