@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_BY_DAY = W.orderBy("trade_date")
+
+def _by_day():
+    return W.orderBy("trade_date")
 
 
 def main_continuous(bars: DataFrame) -> DataFrame:
@@ -23,12 +25,12 @@ def main_continuous(bars: DataFrame) -> DataFrame:
         F.when(F.max(F.col("open_interest").isNotNull()), "open_interest").otherwise("volume").alias("selection_basis"),
     )
     out = best.select("trade_date", "b.*", "selection_basis")
-    return out.withColumns({"day_idx": F.row_number().over(_BY_DAY) - 1, "rolled": F.coalesce(F.col("contract") != F.lag("contract").over(_BY_DAY), F.lit(False))})
+    return out.withColumns({"day_idx": F.row_number().over(_by_day()) - 1, "rolled": F.coalesce(F.col("contract") != F.lag("contract").over(_by_day()), F.lit(False))})
 
 
 def next_open_returns(main: DataFrame, bars: DataFrame) -> DataFrame:
     """Signal at close i, in at open i + 1, out at open i + 2, of the contract that was selected at close i; days without both opens are left out."""
-    plan = main.select("day_idx", F.col("trade_date").alias("signal_date"), "contract", F.lead("trade_date", 1).over(_BY_DAY).alias("entry_date"), F.lead("trade_date", 2).over(_BY_DAY).alias("exit_date"))
+    plan = main.select("day_idx", F.col("trade_date").alias("signal_date"), "contract", F.lead("trade_date", 1).over(_by_day()).alias("entry_date"), F.lead("trade_date", 2).over(_by_day()).alias("exit_date"))
     entry = bars.select(F.col("trade_date").alias("entry_date"), "contract", F.col("open").alias("entry_open"))
     leave = bars.select(F.col("trade_date").alias("exit_date"), "contract", F.col("open").alias("exit_open"))
     met = plan.join(entry, ["entry_date", "contract"]).join(leave, ["exit_date", "contract"])

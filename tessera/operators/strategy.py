@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import clip
 
-_DAYS = W.orderBy("day_idx")
 #: Horizons, lookbacks, targets and weights of the strategies.
 HORIZONS, FEATURE_LOOKBACK, VOLATILITY_LOOKBACK = (20, 60, 120), 126, 40
 TARGET_VOLATILITY, VOLATILITY_FLOOR, LEAST_HISTORY, LEAST_RETURNS = 0.25, 0.08, 30, 20
 TEXT_WINDOW, YEAR = 5, 252
 
 
+def _days():
+    return W.orderBy("day_idx")
+
+
 def trend_scores(momentum: DataFrame, start: str, end: str, column: str = "momentum_20d") -> DataFrame:
     """tanh of momentum over its population deviation in [start, end]; a missing momentum counts 0, no deviation gives 0."""
     inside = F.when(F.col("trade_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")), F.col(column))
@@ -33,11 +36,11 @@ def mature_baseline(momentum: DataFrame, returns: DataFrame, horizons: tuple[int
     parts = []
     for h in horizons:
         m = F.when(F.col("day_idx") >= h, F.col(f"momentum_{h}d"))
-        frame = _DAYS.rangeBetween(-FEATURE_LOOKBACK, -1)
+        frame = _days().rangeBetween(-FEATURE_LOOKBACK, -1)
         scale = F.when(F.count(m).over(frame) >= LEAST_HISTORY, F.stddev_pop(m).over(frame))
         scored = scored.withColumn(f"__part_{h}", F.when(scale > 0, F.tanh(m / scale)))
         parts.append(F.col(f"__part_{h}"))
-    settled, frame = F.when(F.col("day_idx") >= warm, F.col("market_open_return")), _DAYS.rangeBetween(-VOLATILITY_LOOKBACK - 1, -2)
+    settled, frame = F.when(F.col("day_idx") >= warm, F.col("market_open_return")), _days().rangeBetween(-VOLATILITY_LOOKBACK - 1, -2)
     volatility = F.when(F.count(settled).over(frame) >= LEAST_RETURNS, F.stddev_pop(settled).over(frame) * F.sqrt(F.lit(float(YEAR)))).otherwise(TARGET_VOLATILITY)
     known = F.filter(F.array(*parts), lambda x: x.isNotNull())
     composite = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
@@ -113,7 +116,7 @@ def paired_differences(rows: DataFrame, base: str, other: str, keys: list[str] =
 
 def settle(decisions: DataFrame, main: DataFrame, bars: DataFrame) -> DataFrame:
     """Decisions (decision_id, recorded_at text, signal_date, selected_contract) with their settlement, or the reason why there is none."""
-    days = main.select("day_idx", F.col("trade_date").alias("signal_date"), F.lead("trade_date", 1).over(_DAYS).alias("entry_date"), F.lead("trade_date", 2).over(_DAYS).alias("exit_date"))
+    days = main.select("day_idx", F.col("trade_date").alias("signal_date"), F.lead("trade_date", 1).over(_days()).alias("entry_date"), F.lead("trade_date", 2).over(_days()).alias("exit_date"))
     opens = lambda day, name: bars.select(F.col("trade_date").alias(day), F.col("contract").alias("selected_contract"), F.col("open").alias(name))
     met = decisions.join(days, "signal_date", "left").join(opens("entry_date", "entry_open"), ["entry_date", "selected_contract"], "left").join(opens("exit_date", "exit_open"), ["exit_date", "selected_contract"], "left")
     written = F.try_to_date(F.substring("recorded_at", 1, 10), "yyyy-MM-dd")
