@@ -362,11 +362,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     links = materialise(compare(stars, texts), "links")
     found = materialise(connected_components(links), "components")
     placed = rare.join(found, rare.id == found.node, "left").select("id", "n", "shared", F.coalesce("component", "id").alias("component"), F.posexplode("shingles").alias("place", "shingle"))
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("shingle")
-    open_columns = materialise(placed.join(mixed, "shingle", "left_semi"), "open")
-    left, right = open_columns.alias("l"), open_columns.select(*[F.col(c).alias(f"{c}_") for c in open_columns.columns])
-    rest = left.join(right, (F.col("shingle") == F.col("shingle_")) & (F.col("id") < F.col("id_")) & (F.col("component") != F.col("component_")) & can_link("", "", "_"))
-    rest = rest.select(F.col("id").alias("u"), F.col("id_").alias("v")).distinct()
+    counted = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
+    mixed = counted.groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+    open_columns = materialise(placed.join(mixed, "shingle"), "open")
+    # only classes outside a column's main component have anyone left to meet
+    left, right = open_columns.filter("component <> main").alias("l"), open_columns.drop("main").select(*[F.col(c).alias(f"{c}_") for c in placed.columns])
+    rest = left.join(right, (F.col("shingle") == F.col("shingle_")) & (F.col("component") != F.col("component_")) & can_link("", "", "_"))
+    rest = rest.select(F.least("id", "id_").alias("u"), F.greatest("id", "id_").alias("v")).distinct()
     done = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     more = materialise(compare(rest.join(done, ["u", "v"], "left_anti"), texts), "links")
     last = connected_components(links.unionByName(more)).select(F.col("node"), F.col("component").alias("found"))
