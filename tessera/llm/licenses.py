@@ -36,6 +36,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import materialise
 
 LEAST = 0.5
+#: Directories up to which their licences are sent to the files (some 100 bytes each); parts of a directory's files beyond.
+MOST_DIRECTORIES, PARTS = 100_000, 64
 #: Headers of common licences, in the wording that files carry.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
@@ -136,10 +138,10 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least:
 
     judged = own.mapInArrow(judge, T.StructType([*kept.schema.fields, T.StructField("license", T.StringType()), T.StructField("license_score", T.DoubleType()), T.StructField("__file", T.BooleanType())]))
     judged = judged.withColumn("__dir", F.when(F.col(path).isNotNull(), F.when(F.col(path).contains("/"), F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)).otherwise(F.lit(""))))
-    return inherit(judged, kept.columns)
+    return inherit(judged, kept.columns, path)
 
 
-def inherit(judged: DataFrame, columns: list[str]) -> DataFrame:
+def inherit(judged: DataFrame, columns: list[str], path: str = "path") -> DataFrame:
     """Give files without a licence that of the nearest ancestor directory with a licence file."""
     rank = F.when(F.col("__file") & F.col("license").isNotNull(), F.struct(-F.col("license_score"), "license"))
     directories = judged.filter("__dir IS NOT NULL").groupBy("__dir").agg(F.max(F.col("license").isNull()).alias("__asks"), F.min_by(F.struct("license", "license_score"), rank).alias("__found"))
@@ -151,7 +153,13 @@ def inherit(judged: DataFrame, columns: list[str]) -> DataFrame:
         directories.filter("__asks").select("__dir", F.posexplode(steps).alias("__depth", "__from")).join(holding, "__from")
         .groupBy("__dir").agg(F.max_by(F.struct("__from", "__found"), "__depth").alias("__near")).withColumnRenamed("__dir", "__child")
     )
-    joined = judged.join(nearest, F.col("license").isNull() & (F.col("__dir") == F.col("__child")), "left")
+    met = F.col("license").isNull() & (F.col("__dir") == F.col("__child"))
+    if directories.count() <= MOST_DIRECTORIES:
+        joined = judged.join(F.broadcast(nearest), met, "left")
+    else:  # one directory may hold a third of all files: these are dealt over PARTS copies of its row
+        part = F.pmod(F.xxhash64(path), F.lit(PARTS))
+        copies = nearest.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        joined = judged.withColumn("__part", part).join(copies, met & (F.col("__part") == F.col("__copy")), "left")
     return joined.select(
         *columns,
         F.coalesce("license", "__near.__found.license").alias("license"),

@@ -216,7 +216,9 @@ def test_bpe_merges_long_and_short_words_alike():
         assert coder.word(word) == coder._long(word)
 
 
-def test_licences_and_inheritance(spark):
+@pytest.mark.parametrize("most", [licenses.MOST_DIRECTORIES, 0])
+def test_licences_and_inheritance(spark, monkeypatch, most):
+    monkeypatch.setattr(licenses, "MOST_DIRECTORIES", most)
     rows = [
         ("a/LICENSE", "Released under the MIT License.\nsome text"), ("a/b/c/x.py", "print"), ("a/b/y.py", None), ("z.py", "hi"), (None, "Licensed under CC BY-NC 4.0."),
         ("a/d/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/d/q/r.py", ""), ("a/d/own.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("z.py", "hi"),
