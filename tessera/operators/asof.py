@@ -26,8 +26,9 @@ def asof_backward(events: DataFrame, facts: DataFrame, on: list[str], event_time
 def asof_forward(events: DataFrame, facts: DataFrame, on: list[str], event_time: str, fact_time: str, values: list[str], inclusive: bool = True) -> DataFrame:
     """Each event with the earliest fact of its key at or (``inclusive`` false) after its time."""
     both = _tagged(events, facts, on, event_time, fact_time, values, not inclusive)
-    w = W.partitionBy(*on).orderBy("__t", "__side").rowsBetween(0, W.unboundedFollowing)
-    met = both.withColumn("__fact", F.first("__fact", ignorenulls=True).over(w)).filter("__event IS NOT NULL")
+    # backwards in time, as a frame that ends at the current row runs on, and one that begins there starts anew for each row
+    w = W.partitionBy(*on).orderBy(F.desc("__t"), F.desc("__side")).rowsBetween(W.unboundedPreceding, 0)
+    met = both.withColumn("__fact", F.last("__fact", ignorenulls=True).over(w)).filter("__event IS NOT NULL")
     return met.select("__event.*", *[F.col(f"__fact.{v}").alias(v) for v in [*values, fact_time]])
 
 
