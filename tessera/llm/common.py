@@ -12,8 +12,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text handled at once by a kernel; keeps a task's temporary arrays near 100 MB.
-CHUNK_BYTES = 4 << 20
+#: Text handled at once by a kernel; keeps a task's temporary arrays near 50 MB.
+CHUNK_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -46,7 +46,7 @@ WORDS = 5
 #: Least similarity in percent, and c of the first step in percent.
 PERCENT, EXTRA = 80, 10
 #: Entries of a block, about; entries that a task collects before it sends; most hot shingles (16 bytes each).
-BLOCK_ENTRIES, SEND_ENTRIES, MOST_HOT = 1 << 20, 1 << 21, 1 << 20
+BLOCK_ENTRIES, SEND_ENTRIES, MOST_HOT = 1 << 20, 1 << 20, 1 << 20
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -37,7 +37,7 @@ from tessera.llm.words import SPACE, find_words, gather, hash_windows, hash_word
 
 WINDOW, MINIMISER = 20, 4
 #: Packed text in a bucket, about, and in what a task collects before it sends.
-BUCKET_BYTES, SEND_BYTES = 24 << 20, 32 << 20
+BUCKET_BYTES, SEND_BYTES = 24 << 20, 16 << 20
 #: At most so many hot minimisers are told to the tasks (16 bytes each).
 MOST_HOT = 1 << 20
 _MARKS = "doc_id long, print long, start int, n int, digest binary"
