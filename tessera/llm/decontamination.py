@@ -1,14 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased and stripped of ASCII punctuation, so case and punctuation
-don't hide a copy.  Every n-gram of a test item is looked for in all documents and
-its document frequency counted.  An item's seeds are its rare n-grams: those whose
-frequency isn't far above the median of the item's own n-grams, so an item that
-leaked into a third of all documents keeps its seeds, and common phrases don't
-seed.  Where a document and an item share seeds, the words around them are
-aligned with the item (Smith-Waterman over words, linear gaps); an alignment that
-reaches ``least`` of the score of a perfect copy is a leak, so edited or
-paraphrased copies count too.
+don't hide a copy.  Every n-gram of a test item is a seed and is looked for in all
+documents, however many hold it: what one document holds doesn't depend on how
+often others do.  Where a document and an item share seeds, and enough of the
+item's words occur in the document at all to reach ``least`` (so a common phrase
+alone costs no alignment), the words around the seeds are aligned with the item
+(Smith-Waterman over words, linear gaps); an alignment that reaches ``least`` of
+the score of a perfect copy is a leak, so edited or paraphrased copies count too.
 
 The test items are a stated query set: they travel to the documents in blocks of
 at most BLOCK_BYTES of text, so no document moves, and a broadcast has a fixed
@@ -37,6 +36,8 @@ SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
 BLOCK_BYTES = 4 << 20
+#: Words of items that are looked up in texts at once, and a factor that tells texts apart.
+MOST_WORDS, MIX = 1 << 18, np.uint64(0x9E3779B97F4A7C15)
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +59,6 @@ class Items:
     entry_ptr: np.ndarray  # grams + 1
     item: np.ndarray  # of an entry
     place: np.ndarray  # of an entry
-    usable: np.ndarray  # of an entry
     filter: np.ndarray
 
     @classmethod
@@ -72,7 +72,7 @@ class Items:
         order = np.argsort(of, kind="stable")
         filter = np.zeros(1 << 20, bool)
         filter[(grams >> np.uint64(44)).astype(np.int64)] = True
-        return cls(ids, words, ptr, grams, of[order], np.searchsorted(of[order], np.arange(len(grams) + 1)), item[order], (first - ptr[item])[order], np.ones(len(of), bool), filter)
+        return cls(ids, words, ptr, grams, of[order], np.searchsorted(of[order], np.arange(len(grams) + 1)), item[order], (first - ptr[item])[order], filter)
 
     def find(self, words: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, word, gram) of every n-gram of a buffer that some item has."""
@@ -89,13 +89,22 @@ class Items:
             found.append((text[near], (first - ptr[text])[near], at))
         return tuple(np.concatenate(x) for x in zip(*found))  # type: ignore[return-value]
 
-    def keep_rare(self, frequency: np.ndarray) -> None:
-        """Only n-grams at most four times as frequent as their item's median stay seeds."""
-        of = frequency[self.gram_of].astype(float)
-        for i in range(len(self.ptr) - 1):
-            own = np.flatnonzero(self.item == i)
-            if len(own):
-                self.usable[own] = of[own] <= 4 * np.median(of[own]) + 4
+    def shared(self, item: np.ndarray, text: np.ndarray, words: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+        """For pairs of an item and a text, how many of the item's words occur in the text, or somewhat more."""
+        own = np.unique(text)
+        length = ptr[own + 1] - ptr[own]
+        of = np.repeat(own, length)
+        at = np.arange(len(of)) + np.repeat(ptr[own] - (np.cumsum(length) - length), length)
+        have = np.unique(words[at] ^ (of.astype(np.uint64) * MIX))  # equal keys of unequal words only add to the count
+        size, out = np.diff(self.ptr)[item], np.zeros(len(item), np.int64)
+        parts = np.cumsum(size) // MOST_WORDS
+        for part in np.unique(parts):
+            a, b = np.searchsorted(parts, (part, part + 1))
+            pair = np.repeat(np.arange(a, b), size[a:b])
+            at = np.arange(len(pair)) + np.repeat(self.ptr[item[a:b]] - (np.cumsum(size[a:b]) - size[a:b]), size[a:b])
+            key = self.words[at] ^ (text[pair].astype(np.uint64) * MIX)
+            out[a:b] = np.bincount(pair[have[np.minimum(np.searchsorted(have, key), len(have) - 1)] == key] - a, minlength=b - a)
+        return out
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -119,12 +128,14 @@ def leaks(items: Items, column: pa.Array, least: float) -> list[tuple[int, int,
     before = np.cumsum(entries) - entries
     entry = np.arange(int(entries.sum())) + np.repeat(items.entry_ptr[gram] - before, entries)
     text, word = np.repeat(text, entries), np.repeat(word, entries)
-    good = items.usable[entry]
-    text, word, entry = text[good], word[good], entry[good]
     item, begin = items.item[entry], word - items.place[entry]
     order = np.lexsort((word, begin, item, text))
     text, word, begin, item = text[order], word[order], begin[order], item[order]
     size = np.diff(items.ptr)
+    if len(text):  # each match scores MATCH at most, so a pair needs ``least`` of the item's words
+        first = np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])))
+        good = (items.shared(item[first], text[first], words, ptr) / size[item[first]] >= least)[np.cumsum(first) - 1]
+        text, word, begin, item = text[good], word[good], begin[good], item[good]
     # a run: seeds of one pair whose implied beginnings lie within half the item's length of the one before
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > size[item[1:]] // 2 + 2)
@@ -159,26 +170,6 @@ def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text")
         yield Items.build(ids, texts)
 
 
-def with_seeds(docs: DataFrame, items: Items, text: str = "text") -> Items:
-    """Count the n-grams' document frequencies over all of ``docs``, and keep the rare ones as seeds."""
-    block = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(block.value.grams), np.int64)
-        for batch in pieces(batches, "text"):
-            t, _, gram = block.value.find(*_words(batch.column(0)))
-            total += np.bincount(np.unique(np.column_stack((t, gram)), axis=0)[:, 1], minlength=len(total)) if len(t) else 0
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["gram", "n"])
-
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    frequency = np.zeros(len(items.grams), np.int64)
-    for r in counted.collect():  # one row for each n-gram of a block at most
-        frequency[r["gram"]] = r["n"]
-    items.keep_rare(frequency)
-    return items
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, score (share of a perfect copy's), seeds, first_word, end_word: the place in the document's words."""
     own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -186,7 +177,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, key:
     schema = f"doc_id {kind}, item_id long, score double, seeds int, first_word long, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
     for items in item_blocks(benchmark):
-        block = docs.sparkSession.sparkContext.broadcast(with_seeds(own, items))
+        block = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, "text"):
@@ -202,7 +193,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, key:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no leak, with their own columns."""
     for items in item_blocks(benchmark):
-        block = docs.sparkSession.sparkContext.broadcast(with_seeds(docs, items, text))
+        block = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, text):

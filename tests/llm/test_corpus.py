@@ -192,6 +192,21 @@ def test_leaks_against_brute_force(spark):
     assert {r["doc_id"] for r in left.collect()} == {d for d, _, _ in docs} - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("others", [False, True])
+@pytest.mark.parametrize(("copies", "step"), [(5, 4), (5, 5), (1000, 4), (1000, 5)])
+def test_one_edited_form_however_often_copied(spark, copies, step, others):
+    words = [f"q{i}" for i in range(40)]
+    edited = " ".join("edited" if i % step == step - 1 else w for i, w in enumerate(words))
+    texts = [f"a b c {edited} d e f"] * copies + [" ".join(words[:6]) + " and more"]
+    if others:  # a whole copy, and one edited elsewhere: their 3-grams are rarer than those of the copies
+        texts += [" ".join(words), " ".join("changed" if i % step == 0 else w for i, w in enumerate(words))]
+    docs, items = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    score = {t: brute_align(words, t.split()) / 80 for t in set(texts)}
+    want = {d: score[t] for d, t in enumerate(texts) if score[t] >= decontamination.LEAST}
+    assert {r["doc_id"]: r["score"] for r in decontamination.find_leaks(docs, items).collect()} == pytest.approx(want)
+    assert len(want) == len(texts) - 1 and [r["doc_id"] for r in decontamination.decontaminate(docs, items).collect()] == [copies]
+
+
 def test_bpe_agrees_with_the_library(spark):
     from tokenizers import Tokenizer
 
