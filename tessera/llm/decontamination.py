@@ -144,9 +144,8 @@ def leaks(items: Items, column: pa.Array, least: float) -> list[tuple[int, int,
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         t, i = int(text[a]), int(item[a])
         n = int(size[i])
-        if b - a < 2 and n > 2 * SEED_WORDS:
-            continue  # one seed of a long item: what aligns well has more
-        low, high = max(0, int(begin[a]) - n // 2 - 2), min(int(ptr[t + 1] - ptr[t]), int(begin[b - 1]) + n + n // 2 + 2)
+        spare = int(MATCH * n * max(1 - least, 0) / -GAP) + 1  # gaps that an alignment can afford; one seed may be all that it has
+        low, high = max(0, int(begin[a]) - spare), min(int(ptr[t + 1] - ptr[t]), int(begin[b - 1]) + n + spare)
         own, there = items.words[items.ptr[i] : items.ptr[i + 1]], words[ptr[t] + low : ptr[t] + high]
         got, end = align(own, there)
         share = got / (MATCH * n)

@@ -207,6 +207,21 @@ def test_one_edited_form_however_often_copied(spark, copies, step, others):
     assert len(want) == len(texts) - 1 and [r["doc_id"] for r in decontamination.decontaminate(docs, items).collect()] == [copies]
 
 
+def test_leaks_with_one_seed(spark):
+    sizes = {1: (15, (4, 7, 10, 13)), 2: (9, (4, 7)), 3: (8, (4, 7)), 4: (7, (4,))}  # of words, and which of them change
+    items = {i: [f"i{i}w{k}" for k in range(1, n + 1)] for i, (n, _) in sizes.items()}
+    texts = [f"a b {' '.join('edited' if k in changed else w for k, w in enumerate(items[i], 1))} c d" for i, (_, changed) in sizes.items()]
+    items[6] = [f"v{k}" for k in range(20)]
+    texts.append(" ".join(items[6][:3]) + " " + " ".join(f"gap {w}" for w in items[6][3:]))  # one seed, far from the item's end
+    texts.append(" ".join(f"{w} gap" for w in items[6][:17]) + " " + " ".join(items[6][17:]))
+    texts.append(" ".join(items[6][5:8]) + " and more")
+    docs, table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    want = {(d, i): s for d, t in enumerate(texts) for i, x in items.items() if (s := brute_align(x, t.split()) / (2 * len(x))) >= decontamination.LEAST}
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.find_leaks(docs, table).collect()} == pytest.approx(want)
+    assert {d for d, _ in want} == {0, 1, 2, 3, 4, 5}
+    assert {r["doc_id"] for r in decontamination.decontaminate(docs, table).collect()} == {6}
+
+
 def test_bpe_agrees_with_the_library(spark):
     from tokenizers import Tokenizer
 
