@@ -15,27 +15,33 @@ no directory and inherits nothing; of several own licences the best score counts
 ties by name; of several licence files in one directory likewise; repeated rows
 are judged alike; extra columns stay.
 
-Templates are a parameter of bounded size.  The corpus's frequencies are needed
-for the templates' terms only, so they are bounded too; all other terms count as
-met once.
+Templates are a parameter of bounded size.  The frequencies of all terms of the
+passages are counted by term and written to the shared folder as sorted digests in
+PARTS files, which tasks map and search; none are collected or broadcast.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, shared_folder
 
 LEAST = 0.5
+#: Terms whose counts a task holds before it sends them on, and terms and passages that it remembers.
+MOST_COUNTED, REMEMBERED = 200_000, 50_000
 #: Directories up to which their licences are sent to the files (some 100 bytes each); parts of a directory's files beyond.
 MOST_DIRECTORIES, PARTS = 100_000, 64
 #: Headers of common licences, in the wording that files carry.
@@ -67,10 +73,66 @@ def passages(text: str, whole: bool) -> list[str]:
     return [text, *lines] if whole else lines
 
 
+def digest(term: str) -> int:
+    return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def write_frequencies(counted: DataFrame, path: str) -> None:
+    """Write the counts of (key, n) rows, by the last bits of the keys, to PARTS sorted files under ``path``."""
+    place = path.split(":", 1)[1] if path.startswith("file:") else path
+
+    def write(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        key = table.column("key").to_numpy()
+        files, name = (pa.fs.LocalFileSystem(), place) if "://" not in place else pa.fs.FileSystem.from_uri(place)
+        files.create_dir(name, recursive=True)
+        with files.open_output_stream(f"{name}/{int(key[0]) % PARTS}") as out:
+            out.write(np.concatenate((key, table.column("n").to_numpy())).tobytes())
+        return pa.table({"part": pa.array([int(key[0]) % PARTS], pa.int32())})
+
+    totals = counted.groupBy("key").agg(F.sum("n").alias("n")).withColumn("part", F.pmod("key", F.lit(PARTS)))
+    totals.groupBy("part").applyInArrow(write, "part int").collect()  # PARTS rows at most
+
+
+class Frequencies:
+    """Counts of terms, from files that write_frequencies wrote; only what is looked up is read."""
+
+    def __init__(self, path: str):
+        self.path = path.split(":", 1)[1] if path.startswith("file:") else path
+        self.parts: dict[int, np.ndarray] = {}
+        self.met: dict[str, int] = {}
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "parts": {}, "met": {}}
+
+    def part(self, k: int) -> np.ndarray:
+        if (known := self.parts.get(k)) is None:
+            files, name = (pa.fs.LocalFileSystem(), self.path) if "://" not in self.path else pa.fs.FileSystem.from_uri(self.path)
+            if files.get_file_info(f"{name}/{k}").type == pa.fs.FileType.NotFound:
+                known = np.zeros((2, 0), np.int64)
+            elif isinstance(files, pa.fs.LocalFileSystem):
+                known = np.memmap(f"{name}/{k}", np.int64, "r").reshape(2, -1)
+            else:
+                known = np.frombuffer(files.open_input_stream(f"{name}/{k}").read(), np.int64).reshape(2, -1)
+            self.parts[k] = known
+        return known
+
+    def get(self, term: str, default: int) -> int:
+        if (known := self.met.get(term)) is None:
+            key = digest(term)
+            keys, n = self.part(key % PARTS)
+            at = int(np.searchsorted(keys, key))
+            known = int(n[at]) if at < len(keys) and keys[at] == key else 0
+            if len(self.met) > REMEMBERED:
+                self.met.clear()
+            self.met[term] = known
+        return known or default
+
+
 class Matcher:
     """Templates as unit vectors, for given frequencies."""
 
-    def __init__(self, templates: dict[str, list[str]], frequency: dict[str, int], n: int):
+    def __init__(self, templates: dict[str, list[str]], frequency: Frequencies, n: int):
         self.frequency, self.n = frequency, n
         self.templates = [(name, self.vector(terms(t))) for name, some in sorted(templates.items()) for t in some]
         self.met: dict[str, tuple[float, str | None]] = {}
@@ -88,7 +150,7 @@ class Matcher:
             top = max((s for s, _ in scores), default=0.0)
             known = (top, min((name for s, name in scores if s == top), default=None) if top > 0 else None)
             if len(passage) < 1000:
-                if len(self.met) > 50_000:
+                if len(self.met) > REMEMBERED:
                     self.met.clear()
                 self.met[passage] = known
         return known
@@ -110,21 +172,28 @@ def _asks(texts: pa.Array, named: pa.Array) -> list[int]:
 def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST, path: str = "path", text: str = "text") -> DataFrame:
     """``files`` with license, license_score, license_from (own, the directory that it is inherited from, or null); columns of these names are replaced."""
     templates = TEMPLATES if templates is None else templates
-    vocabulary = {t for some in templates.values() for x in some for t in terms(x)}
     kept = files.drop("license", "license_score", "license_from")
     spark = files.sparkSession
     own = kept.withColumn("__named", F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counts() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([digest(t) for t in total], pa.int64()), pa.array(list(total.values()), pa.int64())], names=["key", "n"])
+
         total: Counter[str] = Counter()
         for batch in batches:
             for i in _asks(batch.column(0), batch.column(1)):
                 for p in passages(batch.column(0)[i].as_py() or "", batch.column(1)[i].as_py()):
-                    total[""] += 1
-                    total.update(vocabulary.intersection(terms(p)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
-
-    frequency = {r["term"]: r["n"] for r in own.select(text, "__named").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the templates' terms
+                    total[""] += 1  # the passages themselves
+                    total.update(terms(p).keys())
+                if len(total) > MOST_COUNTED:
+                    yield counts()
+                    total.clear()
+        yield counts()
+
+    path_of = f"{shared_folder(spark)}/frequencies-{uuid.uuid4().hex}"
+    write_frequencies(own.select(text, "__named").mapInArrow(count, "key long, n long"), path_of)
+    frequency = Frequencies(path_of)
     matcher = spark.sparkContext.broadcast(Matcher(templates, frequency, frequency.get("", 0)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -259,6 +259,36 @@ def test_licences_and_inheritance(spark, monkeypatch, most):
     assert got == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("most", [licenses.MOST_COUNTED, 3])
+def test_licence_scores_depend_on_shares(spark, monkeypatch, most):
+    monkeypatch.setattr(licenses, "MOST_COUNTED", most)
+    header, mit = "Copyright The Authors, licensed under the Apache License, Version 2.0.", "Copyright The Owners. Released under the MIT License."
+    scores = []
+    for n in (20, 4000):
+        texts = [header if i % 2 else mit if i % 4 else f"Copyright the someone{i}" for i in range(n)]
+        out = licenses.scan(spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "path string, text string")).collect()
+        met = [set(re.findall(r"\w+(?:[.-]\w+)*", t.lower())) for t in texts]
+        df = defaultdict(int)
+        for t in (t for x in met for t in x):
+            df[t] += 1
+
+        def vector(text):
+            tf = defaultdict(int)
+            for t in re.findall(r"\w+(?:[.-]\w+)*", text.lower()):
+                tf[t] += 1
+            w = {t: c * (np.log((1 + n) / (1 + df.get(t, 1))) + 1) for t, c in tf.items()}
+            norm = sum(x * x for x in w.values()) ** 0.5
+            return {t: x / norm for t, x in w.items()}
+
+        best = {t: max((sum(x * vector(u).get(k, 0) for k, x in vector(t).items()), name) for name, some in licenses.TEMPLATES.items() for u in some) for t in (header, mit)}
+        for r in out:
+            want = best.get(texts[int(r["path"][1:])], (0, None))
+            assert (r["license"], r["license_score"]) == ((want[1], pytest.approx(want[0], abs=1e-8)) if want[0] >= licenses.LEAST else (None, pytest.approx(r["license_score"])))
+        scores.append(best[header][0])
+        assert all(r["license"] == "Apache-2.0" for r in out if texts[int(r["path"][1:])] == header)
+    assert scores[0] == pytest.approx(scores[1], abs=0.1)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
