@@ -61,8 +61,13 @@ def soft_threshold(x: Column, t: float) -> Column:
     return F.signum(x) * F.greatest(F.abs(x) - t, F.lit(0.0))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of a group's pairs; null without variance, where ``corr`` fails under ANSI."""
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 def correlation_or_zero(x: Column, y: Column, least: int = 2) -> Column:
     """Pearson correlation of a group; 0 with fewer than ``least`` pairs or without variance."""
     both = x.isNotNull() & y.isNotNull()
-    value = F.when((F.count_if(both) >= least) & (F.var_pop(F.when(both, x)) > 0) & (F.var_pop(F.when(both, y)) > 0), F.corr(x, y))
-    return F.coalesce(value, F.lit(0.0))
+    return F.when(F.count_if(both) >= least, F.coalesce(correlation(x, y), F.lit(0.0))).otherwise(0.0)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import recency
-from tessera.functions.numbers import beta_posterior
+from tessera.functions.numbers import beta_posterior, correlation
 
 
 def forward_returns(bars: DataFrame, days: int = 5, entity: str = "entity") -> DataFrame:
@@ -41,8 +41,8 @@ def rank_correlation(df: DataFrame, x: str, y: str, keys: list[str], least: int
     """Spearman's correlation of each group with at least ``least`` rows and two distinct values of both."""
     good = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = good.withColumns({"__x": tie_rank(x, keys), "__y": tie_rank(y, keys)})
-    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("__x", "__y").alias("rank_ic"), F.var_pop("__x").alias("__vx"), F.var_pop("__y").alias("__vy"))
-    return out.filter((F.col("n") >= least) & (F.col("__vx") > 0) & (F.col("__vy") > 0)).drop("__vx", "__vy")
+    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("__x"), F.col("__y")).alias("rank_ic"))
+    return out.filter((F.col("n") >= least) & F.col("rank_ic").isNotNull())
 
 
 def quantile_groups(df: DataFrame, factor: str, keys: list[str], groups: int = 5) -> DataFrame:

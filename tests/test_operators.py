@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tessera.functions import dates, numbers, scoring, text
 from tessera.functions.html import visible
-from tessera.operators import bootstrap, consensus, dedup, ledger, market, models, quality, rules, strategy
+from tessera.operators import bootstrap, consensus, dedup, factors, ledger, market, models, quality, rules, strategy
 from tessera.sources import tables
 
 
@@ -209,3 +209,10 @@ def test_csv_keeps_codes_and_blanks(spark, tmp_path):
     assert tables.read_csv(spark, str(tmp_path / "none.csv"), "a int").count() == 0
     tables.write_csv(spark.createDataFrame([(True, 0.5, 1)], "b boolean, f double, i int"), str(tmp_path / "out"), ["b", "f"], digits=6)
     assert spark.read.text(str(tmp_path / "out")).filter("value <> 'b,f'").first()[0] == "true,0.500000"
+
+
+def test_correlations_of_constant_groups(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("a", 1.0, 5.0), ("b", 1.0, 2.0), ("b", 2.0, 4.0), ("b", 3.0, 6.0), ("c", 1.0, None), ("c", 2.0, 1.0), ("c", 3.0, 1.0)], "k string, x double, y double")
+    got = {r["k"]: r["c"] for r in df.groupBy("k").agg(numbers.correlation_or_zero(F.col("x"), F.col("y")).alias("c")).collect()}
+    assert got == pytest.approx({"a": 0.0, "b": 1.0, "c": 0.0})
+    assert [tuple(r) for r in factors.rank_correlation(df, "x", "y", ["k"]).collect()] == [("b", 3, pytest.approx(1.0))]
