@@ -1,31 +1,42 @@
-"""Exact Jaccard join of documents over word shingles, and its components.
+"""Jaccard join of documents over word shingles, and its components, by a blocked sparse product.
 
 A document is the set of its distinct shingles (WORDS consecutive words; a shorter
-text is one shingle).  Documents with equal sets are one class, and only classes
-are compared.  The product of the incidence matrix (classes by shingles) with its
-transpose is taken in blocks of shingles, but only where it can reach the size
-bounds.  With t the least similarity, two sets x and y that link share at least
-t * max(|x|, |y|) shingles, so
+text is one shingle), each a 64-bit hash.  Documents with equal sets (128 bits) are
+one class, and only classes are compared.  The product of the incidence matrix
+(classes by shingles) with its transpose is taken in blocks, and only where it can
+reach the size bounds.  With t the least similarity, two sets x and y that link
+share at least t * max(|x|, |y|) shingles, so
 
 1. among the first p shingles of each in one global order (by hash) they share at
    least c * t * |x|, with p = (1 - t + c) * |x|.  A block counts, for each of its
    shingles, the classes that have it, and adds up for each class the entries that
    another class shares.  A class below its bound is dropped: it links with none;
 2. for the classes that are left the same is done over whole sets with the bound
-   t * |x|; a class keeps its n' shared shingles in the order of their frequency, and
-   only the rarest n' - t * |x| + 1 of them, one of which every partner has too;
-3. classes that meet in the column of such a shingle are candidates.  Each is
-   first compared with the column's most central class (the one whose shingles are
-   most shared), which settles groups of copies without their pairs; then only pairs
-   of one column are compared that are still in different components.
-
-Comparing is exact, on whole sets.  Shingles in a large share of all documents are
-found beforehand, and are counted without being sent to their block.
+   t * |x|; a class keeps its n' shared shingles in the order of their frequency,
+   and pairs need only meet in the rarest n' - t * |x| + 1 of them;
+3. the product itself: for pairs that meet and whose sizes and places don't rule
+   them out, a cell (group of rows, range of shingles) counts the shingles that both
+   have in its range, and drops the pair if the sum over all ranges can't reach
+   t / (1 + t) * (|x| + |y|) any more.  The cells' partial counts are added up by
+   pair, and the sum decides.
+
+Step 3 is taken twice.  First each class meets the most central class (whose
+shingles are most shared) of each of its rare columns, which settles groups of
+copies without their pairs.  Then only pairs of one column are taken that are still
+in different components, one of them outside the column's main component, and whose
+sizes allow a link (they meet by size band, so columns in which nobody can link
+cost nothing).
+
+Shingles in a large share of all documents are found beforehand; they are counted
+without being sent to their block.  Columns with many classes, and classes with many
+copies, are sent to the rows instead of being gathered: fewer than MOST_SENT of them
+exist, as each has a larger part of all rows.
 
 Defined results: a null or empty text, or one without words, has the empty set and
 links with nothing; rows with a null id get their set's size, no component, and
 link with nothing; rows that share an id are one document for links, each with its
-own set; repeated rows are copies; extra columns are ignored or kept as stated.
+own set; repeated rows are copies; ids must be integers or cast to them; extra
+columns are ignored or kept as stated.
 """
 
 from __future__ import annotations
@@ -47,6 +58,8 @@ WORDS = 5
 PERCENT, EXTRA = 80, 10
 #: Entries of a block, about; entries that a task collects before it sends; most hot shingles (16 bytes each).
 BLOCK_ENTRIES, SEND_ENTRIES, MOST_HOT = 1 << 20, 1 << 20, 1 << 20
+#: Ranges of shingles in the product; rows of a key, at least, for it to be sent to them, and bound on such keys; width of a band of sizes.
+RANGES, LEAST_SENT, MOST_SENT, BAND = 4, 500, 100_000, 1.05
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +150,7 @@ class Sender:
     """Collects entries of a task and sends them block by block; a class that a task met before isn't sent again."""
 
     def __init__(self, blocks: int, hot: tuple[np.ndarray, np.ndarray]):
-        self.blocks, self.hot, self.seen = blocks, hot[0], set()
+        self.blocks, self.hot, self.counts, self.seen = blocks, *hot, set()
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
@@ -173,7 +186,7 @@ def _taken(shingles: np.ndarray, ptr: np.ndarray, rows: np.ndarray, length: np.n
 
 
 def describe(docs: DataFrame, blocks: int) -> DataFrame:
-    """For every row its set's size and hash; and, with ``doc_row`` false, the first-part shingles that are frequent in some piece."""
+    """For every row its set's size and hash; and, with ``doc_row`` false, the shingles that are frequent in some piece."""
     share = min(8 * blocks, MOST_HOT // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +196,7 @@ def describe(docs: DataFrame, blocks: int) -> DataFrame:
             a, b = set_hashes(shingles, ptr)
             rows = np.flatnonzero(n)
             rows = rows[np.unique(a[rows], return_index=True)[1]]
-            taken, _ = _taken(shingles, ptr, rows, first_part(n[rows])[0])
+            taken, _ = _taken(shingles, ptr, rows, n[rows])
             hot, count = np.unique(taken, return_counts=True)
             often = count >= max(2, len(taken) / share)
             hot, count = hot[often], count[often]
@@ -250,42 +263,60 @@ def first_survivors(docs: DataFrame, blocks: int, hot: tuple[np.ndarray, np.ndar
     return counted.groupBy("class", "n").agg((F.sum("shared") + F.max("hot")).alias("shared")).filter(F.col("shared") >= F.floor(bounds) + 1).select("class", "n")
 
 
-def rare_columns(texts: DataFrame, blocks: int) -> DataFrame:
-    """Step 2 over (id, text): (id, n, shared, central, shingles): the rarest of its shared shingles, for each class that shares enough."""
+def rare_columns(texts: DataFrame, blocks: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Step 2 over (id, text): (id, n, shared, central, shingles, entries), for each class that shares enough.
+
+    ``shingles``: the rarest of its shared shingles; ``entries``: all of them in order, as one string for each range.
+    """
+    known = texts.sparkSession.sparkContext.broadcast(hot)  # at most MOST_HOT entries
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(blocks, (np.zeros(0, np.uint64),))
-        out = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "blob"])
+        sender = Sender(blocks, known.value)
+        out = lambda rows, hot: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([hot] * len(rows))], names=["block", "blob", "hot"])
         for batch in pieces(batches, "text"):
             shingles, ptr = shingle_sets(batch.column(1))
             n, ids = np.diff(ptr), np.asarray(batch.column(0))
             rows = sender.new_rows(ids, n)
-            if len(rows):
-                taken, owner = _taken(shingles, ptr, rows, n[rows])
-                for b, blob in sender.add(taken, owner, ids[rows], n[rows]):
-                    yield out([(b, blob)])
+            if not len(rows):
+                continue
+            taken, owner = _taken(shingles, ptr, rows, n[rows])
+            is_hot = sender.is_hot(taken)
+            if is_hot.any():
+                number = sender.counts[np.searchsorted(sender.hot, taken[is_hot])]
+                yield out(_by_class(taken[is_hot], number, ids[rows][owner[is_hot]], n[rows][owner[is_hot]]), True)
+            for b, blob in sender.add(taken[~is_hot], owner[~is_hot], ids[rows], n[rows]):
+                yield out([(b, blob)], False)
         for b, blob in sender.flush():
-            yield out([(b, blob)])
+            yield out([(b, blob)], False)
 
-    def count(table: pa.Table) -> pa.Table:
-        """Shared entries with their frequency, sent on to blocks of classes."""
-        shingle, owner, ids, sizes = _read_block(table)
-        begin, number = _columns(shingle)
-        number = np.repeat(number, number)
-        good = number > 1
-        shingle, owner, number = shingle[good], owner[good], number[good]
-        to = ids[owner] % blocks
+    def _by_class(shingle: np.ndarray, number: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> list[tuple[int, bytes]]:
+        """Shared entries with their frequency, for blocks of classes."""
+        to = ids % blocks
         order = np.argsort(to, kind="stable")
         cut = np.searchsorted(to[order], np.arange(blocks + 1))
-        rows = [(int(b), order[cut[b] : cut[b + 1]]) for b in np.flatnonzero(np.diff(cut))]
-        blobs = [_pack(shingle[o], number[o].astype(np.int32), ids[owner[o]], sizes[owner[o]]) for _, o in rows]
-        return pa.table({"to": pa.array([b for b, _ in rows], pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        parts = [(int(b), order[cut[b] : cut[b + 1]]) for b in np.flatnonzero(np.diff(cut))]
+        return [(b, _pack(shingle[o], number[o], ids[o], sizes[o])) for b, o in parts]
+
+    def count(table: pa.Table) -> pa.Table:
+        direct = table.filter(table.column("hot"))
+        cold = table.filter(pa.compute.invert(table.column("hot")))
+        rows = list(zip(direct.column("block").to_pylist(), direct.column("blob").to_pylist()))
+        if len(cold):
+            shingle, owner, ids, sizes = _read_block(cold)
+            _, number = _columns(shingle)
+            number = np.repeat(number, number)
+            good = number > 1
+            rows += _by_class(shingle[good], number[good], ids[owner[good]], sizes[owner[good]])
+        return pa.table({"to": pa.array([b for b, _ in rows], pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
 
     def choose(table: pa.Table) -> pa.Table:
-        got = [_unpack(b.as_py(), np.uint64, np.int32, np.int64, np.int64) for b in table.column("blob")]
+        got = [_unpack(b.as_py(), np.uint64, np.int64, np.int64, np.int64) for b in table.column("blob")]
         shingle, number, ids, sizes = (np.concatenate(x) for x in zip(*got))
         order = np.lexsort((shingle, number, ids))
         shingle, number, ids, sizes = shingle[order], number[order], ids[order], sizes[order]
+        new = np.ones(len(ids), bool)  # rows that share an id and a set send their hot entries twice
+        new[1:] = (ids[1:] != ids[:-1]) | (shingle[1:] != shingle[:-1])
+        shingle, number, ids, sizes = shingle[new], number[new], ids[new], sizes[new]
         begin, shared = _columns(ids)
         n = sizes[begin]
         good = np.flatnonzero(shared >= bound(n))
@@ -293,10 +324,15 @@ def rare_columns(texts: DataFrame, blocks: int) -> DataFrame:
         central = np.add.reduceat(number.astype(np.float64), begin)[good] / n[good] if len(begin) else np.zeros(0)
         rare, _ = _taken(shingle, begin, good, length)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(rare.view(np.int64)))
-        return pa.table({"id": ids[begin][good], "n": n[good], "shared": shared[good], "central": central, "shingles": lists})
+        edges = np.arange(1, RANGES, dtype=np.uint64) * np.uint64((1 << 64) // RANGES)
+        entries = []
+        for g in good:
+            own = np.sort(shingle[begin[g] : begin[g] + shared[g]])
+            entries.append([x.tobytes() for x in np.split(own, np.searchsorted(own, edges))])
+        return pa.table({"id": ids[begin][good], "n": n[good], "shared": shared[good], "central": central, "shingles": lists, "entries": pa.array(entries, pa.list_(pa.binary()))})
 
-    sent = texts.select("id", "text").mapInArrow(send, "block long, blob binary").groupBy("block").applyInArrow(count, "to long, blob binary")
-    return sent.groupBy("to").applyInArrow(choose, "id long, n long, shared long, central double, shingles array<long>")
+    sent = texts.select("id", "text").mapInArrow(send, "block long, blob binary, hot boolean").groupBy("block").applyInArrow(count, "to long, blob binary")
+    return sent.groupBy("to").applyInArrow(choose, "id long, n long, shared long, central double, shingles array<long>, entries array<binary>")
 
 
 def can_link(left: str, right: str, tail: str = ""):
@@ -310,36 +346,81 @@ def can_link(left: str, right: str, tail: str = ""):
     return (100 * F.least(x("n"), y("n")) >= PERCENT * F.greatest(x("n"), y("n"))) & ((100 + PERCENT) * left_over >= PERCENT * (x("n") + y("n")))
 
 
-def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets link: whole sets, exact."""
-    left, right = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
+def partial_counts(table: pa.Table) -> pa.Table:
+    """One cell of the product: (u, v, need, both) of its pairs that can still link; ``both`` counts the shingles of this range only.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
-                ids, place = np.unique(np.asarray(batch.column(1)), return_index=True)
-                keys = pa.array(place)
-                (x, x_ptr), (y, y_ptr) = shingle_sets(batch.column(2)), shingle_sets(batch.column(3).take(keys))
-                at = np.searchsorted(ids, np.asarray(batch.column(1)))
-                texts_v = batch.column(3)
-                keep = []
-                for i in range(batch.num_rows):
-                    a = x[x_ptr[i] : x_ptr[i + 1]]
-                    b = y[y_ptr[at[i]] : y_ptr[at[i] + 1]]
-                    if place[at[i]] != i and texts_v[i] != texts_v[int(place[at[i]])]:  # rows that share an id
-                        b = shingle_sets(batch.column(3).slice(i, 1))[0]
-                    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
-                        continue
-                    where = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                    both = int((b[where] == a).sum())
-                    if 100 * both >= PERCENT * (len(a) + len(b) - both):
-                        keep.append(i)
-                if keep:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["u", "v"])
-
-    met = pairs.join(left, "u").select("u", "v", "text_u").join(right, "v")
-    return met.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long").distinct()
+    Rows with ``v`` are pairs; the others are sets (id u, size n, shared, entries of this range).
+    """
+    is_pair = pa.compute.is_valid(table.column("v"))
+    pairs, sets = table.filter(is_pair), table.filter(pa.compute.invert(is_pair))
+    ids, first = np.unique(sets.column("u").to_numpy(), return_index=True)
+    blobs = sets.column("data").to_pylist()
+    own = [np.frombuffer(blobs[i], np.uint64) for i in first]
+    n, shared = sets.column("n").to_numpy()[first], sets.column("shared").to_numpy()[first]
+    u, v = pairs.column("u").to_numpy(), pairs.column("v").to_numpy()
+    at_u, at_v = (np.minimum(np.searchsorted(ids, x), max(len(ids) - 1, 0)) for x in (u, v))
+    known = (ids[at_u] == u) & (ids[at_v] == v) if len(ids) else np.zeros(len(u), bool)
+    u, v, at_u, at_v = u[known], v[known], at_u[known], at_v[known]
+    size = np.array([len(x) for x in own], np.int64)
+    begin = np.cumsum(size) - size
+    values, rank = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_inverse=True)
+    keys = np.repeat(np.arange(len(ids)), size) * len(values) + rank  # ascending, as ids and each set's entries are
+    small, large = np.where(size[at_u] <= size[at_v], at_u, at_v), np.where(size[at_u] <= size[at_v], at_v, at_u)
+    both = np.zeros(len(u), np.int64)
+    parts = np.cumsum(size[small]) // BLOCK_ENTRIES
+    for part in np.unique(parts):
+        a, b = np.searchsorted(parts, (part, part + 1))
+        taken, pair = _taken(rank, begin, small[a:b], size[small[a:b]])
+        sought = large[a:b][pair] * len(values) + taken
+        if len(sought):
+            both[a:b] = np.bincount(pair[keys[np.minimum(np.searchsorted(keys, sought), len(keys) - 1)] == sought], minlength=b - a)
+    need = -(-PERCENT * (n[at_u] + n[at_v]) // (100 + PERCENT))
+    most = both + np.minimum((shared - size)[at_u], (shared - size)[at_v])
+    good = (most >= need) & (both > 0)
+    return pa.table({"u": u[good], "v": v[good], "need": need[good], "both": both[good]})
+
+
+def product(pairs: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
+    """The pairs (u, v) of ``pairs`` (distinct) whose sets (id, n, shared, entries) link, by summed partial counts of the cells."""
+    group = F.pmod(F.xxhash64("u"), F.lit(groups))
+    ranges = F.posexplode(F.sequence(F.lit(0), F.lit(RANGES - 1)))
+    none = F.lit(None)
+    asked = pairs.select(group.alias("g"), "u", "v", ranges.alias("r", "__r")).select("g", "r", "u", "v", none.cast("long").alias("n"), none.cast("long").alias("shared"), none.cast("binary").alias("data"))
+    needed = pairs.select(group.alias("g"), F.explode(F.array("u", "v")).alias("id")).distinct()
+    sent = needed.join(sets.select("id", "n", "shared", "entries"), "id").select("g", "id", "n", "shared", F.posexplode("entries").alias("r", "data"))
+    sent = sent.select("g", "r", F.col("id").alias("u"), none.cast("long").alias("v"), "n", "shared", "data")
+    parts = asked.unionByName(sent).groupBy("g", "r").applyInArrow(partial_counts, "u long, v long, need long, both long")
+    return parts.groupBy("u", "v").agg(F.sum("both").alias("both"), F.max("need").alias("need")).filter("both >= need").select("u", "v")
+
+
+def meet(rows: DataFrame, totals: DataFrame, key: str, n: int) -> DataFrame:
+    """``rows`` (n of them) joined with the row of ``totals`` (key, k: its rows, and others) of their key; keys with many rows are sent to these."""
+    least = max(LEAST_SENT, n // MOST_SENT)
+    often, seldom = totals.filter(F.col("k") > least), totals.filter(F.col("k") <= least)
+    met = rows.join(F.broadcast(often), key, "left")  # fewer than n / least <= MOST_SENT keys
+    there = F.col("k").isNotNull()
+    return met.filter(there).unionByName(met.filter(~there).select(*rows.columns).join(seldom, key))
+
+
+def unsettled(columns: DataFrame) -> DataFrame:
+    """Pairs (u, v) of rows (shingle, id, n, shared, place, component, main) of one shingle that may link and aren't in one component yet, nor both in the main one.
+
+    The smaller set is x.  Its partner's size is at most (1 + t) / t * (shared - place) - |x|, and it is no smaller than x itself; y's partner is as large as
+    t * |y|.  So both are met by bands of sizes, and rows that can't have any partner meet none.
+    """
+    most = F.floor((100 + PERCENT) * (F.col("shared") - F.col("place")) / PERCENT) - F.col("n")
+    band = lambda n: F.floor(F.log(n) / float(np.log(BAND))).cast("int")
+    low, high = F.ceil(PERCENT * F.col("n") / 100), F.least(F.col("n"), most)
+    small = columns.filter(most >= F.col("n")).withColumn("band", band(F.col("n")))
+    large = columns.filter(high >= low).withColumn("band", F.explode(F.sequence(band(low), band(high))))
+    large = large.select("shingle", "band", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "shared", "place", "component", "main")])
+    ordered = (F.col("n") < F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("id") < F.col("id_")))
+    found = [
+        small.join(large.filter("component_ <> main_"), ["shingle", "band"]),
+        small.filter("component <> main").join(large.filter("component_ = main_"), ["shingle", "band"]),
+    ]
+    pairs = [f.filter((F.col("component") != F.col("component_")) & ordered & can_link("", "", "_")).select(F.col("id").alias("u"), F.col("id_").alias("v")) for f in found]
+    return pairs[0].unionByName(pairs[1]).distinct()
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -347,35 +428,38 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     spark = docs.sparkSession
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = own.filter("doc_id IS NOT NULL")
-    words = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), words // 6 // 3 // BLOCK_ENTRIES + 1)
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(2 * partitions, size // 6 // 3 // BLOCK_ENTRIES + 1)
     described = materialise(describe(own, blocks), "sets")
     sets = described.filter("doc_row").drop("doc_row")
-    classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
-    alive = first_survivors(named, blocks, hot_shingles(described, blocks)).select(F.col("class").alias("h1"))
+    in_class = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    classes = sets.filter(in_class).groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("k"))
+    hot = hot_shingles(described, blocks)
+    alive = first_survivors(named, blocks, hot).select(F.col("class").alias("h1"))
     chosen = classes.join(alive, "h1", "left_semi").select("id", "h1", "h2")
-    texts = materialise(_texts(own.filter("doc_id IS NOT NULL").join(chosen, F.col("doc_id") == F.col("id")).select("id", "h1", "h2", "text")), "texts")
-    rare = materialise(rare_columns(texts, blocks), "columns")
+    texts = _texts(named.join(chosen, F.col("doc_id") == F.col("id")).select("id", "h1", "h2", "text"))
+    rare = materialise(rare_columns(texts, blocks, hot), "columns")
+    entries, all_shared = (int(x or 0) for x in rare.agg(F.sum(F.size("shingles")), F.sum("shared")).first())
+    groups = max(partitions, all_shared // BLOCK_ENTRIES + 1)
     column = rare.select("id", "n", "shared", "central", F.posexplode("shingles").alias("place", "shingle"))
-    centre = column.groupBy("shingle").agg(F.max_by(F.struct("id", "n", "shared", "place"), F.struct("central", -F.col("id"))).alias("c"))
-    stars = column.join(centre, "shingle").filter(F.col("id") != F.col("c.id")).filter(can_link("", "c.")).select(F.col("id").alias("u"), F.col("c.id").alias("v")).distinct()
-    links = materialise(compare(stars, texts), "links")
+    centre = column.groupBy("shingle").agg(F.max_by(F.struct("id", "n", "shared", "place"), F.struct("central", -F.col("id"))).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    stars = meet(column, materialise(centre, "centres"), "shingle", entries).filter(F.col("id") != F.col("c.id")).filter(can_link("", "c."))
+    stars = materialise(stars.select(F.least("id", "c.id").alias("u"), F.greatest("id", "c.id").alias("v")).distinct(), "pairs")
+    links = materialise(product(stars, rare, groups), "links")
     found = materialise(connected_components(links), "components")
     placed = rare.join(found, rare.id == found.node, "left").select("id", "n", "shared", F.coalesce("component", "id").alias("component"), F.posexplode("shingles").alias("place", "shingle"))
-    counted = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
-    mixed = counted.groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    open_columns = materialise(placed.join(mixed, "shingle"), "open")
-    # only classes outside a column's main component have anyone left to meet
-    left, right = open_columns.filter("component <> main").alias("l"), open_columns.drop("main").select(*[F.col(c).alias(f"{c}_") for c in placed.columns])
-    rest = left.join(right, (F.col("shingle") == F.col("shingle_")) & (F.col("component") != F.col("component_")) & can_link("", "", "_"))
-    rest = rest.select(F.least("id", "id_").alias("u"), F.greatest("id", "id_").alias("v")).distinct()
-    done = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = materialise(compare(rest.join(done, ["u", "v"], "left_anti"), texts), "links")
+    counted = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counted.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("k")).filter("parts > 1").drop("parts")
+    rest = unsettled(materialise(meet(placed, materialise(mixed, "mixed"), "shingle", entries).drop("k"), "open"))
+    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(stars, ["u", "v"], "left_anti")
+    more = materialise(product(materialise(rest, "pairs"), rare, groups), "links")
     last = connected_components(links.unionByName(more)).select(F.col("node"), F.col("component").alias("found"))
-    # rows without a class take a key that no class has
-    named_sets = sets.withColumn("c1", F.when(F.col("n") > 0, F.col("h1")).otherwise(F.xxhash64("doc_id"))).withColumn("c2", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("h2")))
-    members = classes.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "id").join(last, F.col("id") == F.col("node"), "left").select("c1", "c2", F.coalesce("found", "id").alias("component_id"))
-    return named_sets.join(members, ["c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    members = materialise(classes.join(last, F.col("id") == F.col("node"), "left").select(F.struct("h1", "h2").alias("class"), "k", F.coalesce("found", "id").alias("component_id")), "classes")
+    rows = sets.filter(in_class).select("doc_id", "n", F.struct("h1", "h2").alias("class"))
+    placed_rows = meet(rows, members, "class", described.count()).select("doc_id", "n", "component_id")
+    alone = sets.filter(~in_class).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return placed_rows.unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
 def _texts(rows: DataFrame) -> DataFrame:

@@ -136,6 +136,54 @@ def test_components_with_null_ids(spark):
     assert ngram_join.one_of_each(docs).count() == 3
 
 
+@pytest.mark.parametrize("share", [70, 84, 88, 92])
+def test_pages_of_one_template(spark, share):
+    """Pages whose text is a template but for some words: none, or all, link; sizes differ."""
+    rows = [(i, " ".join([f"t{k}" for k in range(share * 2)] + [f"own{i}x{k}" for k in range(2 * (100 - share) + i % 7)])) for i in range(40)]
+    assert sorted(map(tuple, ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())) == brute_components(rows)
+
+
+def test_size_bands_lose_no_pair(spark):
+    draw = random.Random(5)
+    rows = []
+    for i in range(150):
+        n = draw.randint(1, 60)
+        shared = draw.randint(-(-80 * n // 100), n)
+        part = draw.randint(0, 3)
+        rows.append((draw.randrange(3), i, n, shared, draw.randint(0, shared - -(-80 * n // 100)), part, draw.randrange(2)))
+    columns = spark.createDataFrame(rows, "shingle long, id long, n long, shared long, place int, component long, main long")
+    main = {r[0]: r[6] for r in rows}
+    columns = columns.drop("main").join(spark.createDataFrame(list(main.items()), "shingle long, main long"), "shingle").select(*columns.columns)
+
+    def can(x, y):
+        left = min(x[3] - x[4], y[3] - y[4])
+        return 100 * min(x[2], y[2]) >= 80 * max(x[2], y[2]) and 180 * left >= 80 * (x[2] + y[2])
+
+    want = {frozenset((x[1], y[1])) for x in rows for y in rows if x[1] < y[1] and x[0] == y[0] and x[5] != y[5] and (x[5] != main[x[0]] or y[5] != main[y[0]]) and can(x, y)}
+    got = [frozenset((r["u"], r["v"])) for r in ngram_join.unsettled(columns).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    pages = spark.createDataFrame([(7, i, 100, 85, 0, i, 0) for i in range(5000)], columns.schema)
+    assert ngram_join.unsettled(pages).count() == 0  # no pair of them is walked
+
+
+@pytest.mark.parametrize("least", [ngram_join.LEAST_SENT, 2])
+def test_components_with_often_shared_columns_sent(spark, monkeypatch, least):
+    monkeypatch.setattr(ngram_join, "LEAST_SENT", least)
+    rows = corpus(9, 90)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert sorted(map(tuple, ngram_join.components(docs).collect())) == brute_components([(r[0], r[1]) for r in rows])
+
+
+def test_text_beyond_one_slice(spark):
+    draw = random.Random(8)
+    long = " ".join(f"w{draw.randrange(10**6)}" for _ in range(400_000))  # above 2 MB
+    rows = [(1, long), (2, long + " end"), (3, "short text of a few words"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r[0], r[2]) for r in ngram_join.components(docs).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.digests(docs).collect()}
+    assert got == {1: (400_000, 0), 2: (400_001, 400_000), 3: (6, 0), 4: (0, 0)}
+
+
 def test_connected_components(spark):
     draw = random.Random(0)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(draw.randrange(200, 260), draw.randrange(200, 260)) for _ in range(40)]
