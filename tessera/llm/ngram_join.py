@@ -381,7 +381,10 @@ def partial_counts(table: pa.Table) -> pa.Table:
 
 
 def product(pairs: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
-    """The pairs (u, v) of ``pairs`` (distinct) whose sets (id, n, shared, entries) link, by summed partial counts of the cells."""
+    """The pairs (u, v) of ``pairs`` (distinct) whose sets (id, n, shared, entries) link, by summed partial counts of the cells.
+
+    A cell has the pairs of some u, and a copy of each set that these need; so v may be in any number of pairs.
+    """
     group = F.pmod(F.xxhash64("u"), F.lit(groups))
     ranges = F.posexplode(F.sequence(F.lit(0), F.lit(RANGES - 1)))
     none = F.lit(None)
@@ -445,14 +448,15 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     column = rare.select("id", "n", "shared", "central", F.posexplode("shingles").alias("place", "shingle"))
     centre = column.groupBy("shingle").agg(F.max_by(F.struct("id", "n", "shared", "place"), F.struct("central", -F.col("id"))).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     stars = meet(column, materialise(centre, "centres"), "shingle", entries).filter(F.col("id") != F.col("c.id")).filter(can_link("", "c."))
-    stars = materialise(stars.select(F.least("id", "c.id").alias("u"), F.greatest("id", "c.id").alias("v")).distinct(), "pairs")
+    stars = materialise(stars.select(F.col("id").alias("u"), F.col("c.id").alias("v")).distinct(), "pairs")  # u isn't the centre: many may share one
     links = materialise(product(stars, rare, groups), "links")
     found = materialise(connected_components(links), "components")
     placed = rare.join(found, rare.id == found.node, "left").select("id", "n", "shared", F.coalesce("component", "id").alias("component"), F.posexplode("shingles").alias("place", "shingle"))
     counted = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counted.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("k")).filter("parts > 1").drop("parts")
     rest = unsettled(materialise(meet(placed, materialise(mixed, "mixed"), "shingle", entries).drop("k"), "open"))
-    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(stars, ["u", "v"], "left_anti")
+    done = stars.unionAll(stars.select("v", "u"))
+    rest = rest.join(done, ["u", "v"], "left_anti")
     more = materialise(product(materialise(rest, "pairs"), rare, groups), "links")
     last = connected_components(links.unionByName(more)).select(F.col("node"), F.col("component").alias("found"))
     members = materialise(classes.join(last, F.col("id") == F.col("node"), "left").select(F.struct("h1", "h2").alias("class"), "k", F.coalesce("found", "id").alias("component_id")), "classes")
