@@ -14,6 +14,9 @@ Content can be typed parts.  A visitor over the parts keeps text, and writes
 conversation (from 0), records its reference, and counts the tokens that the
 placeholder expands to.  Text that looks like a placeholder is no attachment:
 ``<`` before ``image:``, ``audio:`` or ``document:`` is written ``\4``.
+Attachments are numbered over the whole conversation at once: the visitor writes
+``\5``, which no escaped text holds, in each placeholder, and the string is split
+there and joined with the numbers, so work is linear in turns and parts.
 
 The loss mask of a conversation is an array of spans, one for each assistant
 turn: the turn's index, and where in that turn's piece of the formatted string
@@ -77,36 +80,34 @@ def expanded_tokens(part: Column) -> Column:
     )
 
 
+def _visit(parts: Column) -> Column:
+    """A turn's parts as one string, with ``\\5`` for the number of an attachment."""
+    written = F.transform(parts, lambda p: F.when(p["type"] == "text", escape(F.coalesce(p["text"], F.lit("")))).when(p["type"].isin(*_KINDS), F.concat(F.lit("<"), p["type"], F.lit(":\\5>"))).otherwise(F.lit("")))
+    return F.array_join(written, "")
+
+
+def _numbered(text: Column) -> Column:
+    pieces = F.split(text, r"\\5")
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i + 1 < F.size(pieces), F.concat(p, i.cast("string"))).otherwise(p)), "")
+
+
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
     """One row for each conversation: conv_id, n_turns, formatted, loss_spans, attachments (index, type, ref, tokens), attachment_tokens."""
     cells = df.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts).cast(_PARTS), F.array().cast(_PARTS)).alias("parts")).alias("cell"))
     turns = cells.groupBy("conv_id").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
-    everything = turns.withColumn("found", F.flatten(F.transform("cells", lambda c: _attachments(c["parts"]))))
-    counts = F.transform("cells", lambda c: F.size(_attachments(c["parts"])))
-    # attachments before each turn, by running sum
-    everything = everything.withColumn("before", F.when(F.size("found") > 0, F.transform(F.sequence(F.lit(1), F.size("cells")), lambda i: F.aggregate(F.slice(counts, F.lit(1), i - 1), F.lit(0), lambda a, b: a + b))))
-
-    def visit(cell: Column, before: Column) -> Column:
-        """A turn's parts as one string."""
-        def placeholder(p: Column, i: Column) -> Column:
-            earlier = F.size(_attachments(F.slice(cell["parts"], F.lit(1), i)))
-            return F.when(p["type"] == "text", escape(F.coalesce(p["text"], F.lit("")))).when(p["type"].isin(*_KINDS), F.concat(F.lit("<"), p["type"], F.lit(":"), (before + earlier).cast("string"), F.lit(">"))).otherwise(F.lit(""))
-
-        return F.array_join(F.transform(cell["parts"], placeholder), "")
-
-    written = everything.withColumn("turns", F.transform("cells", lambda c, i: F.struct(c["role"].alias("role"), escape(c["role"], role=True).alias("head"), visit(c, F.coalesce(F.get(F.col("before"), i), F.lit(0))).alias("body"))))
-    mask = F.filter(
-        F.transform("turns", lambda t, i: F.struct(i.cast("long").alias("turn"), (F.length(t["head"]) + len(OPEN) + 1).cast("long").alias("start"), F.length(t["body"]).cast("long").alias("length"), t["role"].alias("role"))),
-        lambda m: m["role"] == "assistant",
-    )
-    spans = F.transform(mask, lambda m: F.struct(m["turn"], m["start"], m["length"]))
-    listed = F.transform("found", lambda p, i: F.struct(i.alias("index"), p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")))
-    return written.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"),
-        F.concat_ws("", F.transform("turns", lambda t: F.concat(F.lit(OPEN), t["head"], F.lit("\n"), t["body"], F.lit(CLOSE + "\n")))).alias("formatted"),
-        spans.alias("loss_spans"), listed.alias("attachments"),
-        F.aggregate(listed, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("attachment_tokens"),
-    )
+    raw = F.array_join(F.transform("cells", lambda c: F.concat(F.lit(OPEN), escape(c["role"], role=True), F.lit("\n"), _visit(c["parts"]), F.lit(CLOSE + "\n"))), "")
+    written = turns.select("conv_id", "cells", _numbered(raw).alias("formatted")).withColumn("pieces", F.split("formatted", CLOSE + "\n"))
+    found = F.flatten(F.transform("cells", lambda c: _attachments(c["parts"])))
+    listed = F.transform(found, lambda p, i: F.struct(i.alias("index"), p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")))
+
+    def span(cell: Column, i: Column) -> Column:
+        piece = F.get(F.col("pieces"), i)
+        start = F.locate("\n", piece)  # a head holds no line feed
+        return F.struct(i.cast("long").alias("turn"), start.cast("long").alias("start"), (F.length(piece) - start).cast("long").alias("length"), cell["role"].alias("role"))
+
+    mask = F.filter(F.transform("cells", span), lambda m: m["role"] == "assistant")
+    out = written.select("conv_id", F.size("cells").cast("long").alias("n_turns"), "formatted", F.transform(mask, lambda m: F.struct(m["turn"], m["start"], m["length"])).alias("loss_spans"), listed.alias("attachments"))
+    return out.withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
 
 
 def read_back(formatted: Column) -> Column:

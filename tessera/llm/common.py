@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,11 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset (tests), a new one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset and all runs on one machine, a new one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -33,6 +36,42 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a key, at least, for what belongs to the key to be sent to them, and bound on the number of such keys.
+LEAST_SENT, MOST_SENT = 500, 100_000
+
+
+def often_and_seldom(totals: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """``totals`` (k: rows of a key, n in all) in two: keys with so many rows that fewer than MOST_SENT such keys exist, and the others."""
+    least = max(LEAST_SENT, n // MOST_SENT)
+    return totals.filter(F.col("k") > least), totals.filter(F.col("k") <= least)
+
+
+def _place(path: str) -> tuple[pa.fs.FileSystem, str]:
+    path = path.split(":", 1)[1] if path.startswith("file:") else path
+    return (pa.fs.LocalFileSystem(), path) if "://" not in path else pa.fs.FileSystem.from_uri(path)
+
+
+def write_file(folder: str, content: bytes) -> str:
+    """Write a new file of the shared folder and name it; a task that runs twice writes two, and its result names one."""
+    files, name = _place(folder)
+    own = uuid.uuid4().hex
+    files.create_dir(name, recursive=True)
+    with files.open_output_stream(f"{name}/{own}") as out:
+        out.write(content)
+    return f"{folder}/{own}"
+
+
+def read_file(path: str) -> np.ndarray:
+    """The bytes of a file that write_file wrote: mapped, where the folder is mounted, else read."""
+    files, name = _place(path)
+    if not files.get_file_info(name).size:
+        return np.zeros(0, np.uint8)
+    if isinstance(files, pa.fs.LocalFileSystem):
+        return np.memmap(name, np.uint8, "r")
+    with files.open_input_stream(name) as stream:
+        return np.frombuffer(stream.read(), np.uint8)
+
+
 def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

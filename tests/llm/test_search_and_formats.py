@@ -26,10 +26,36 @@ def test_top_k_is_exact(spark, monkeypatch, bucket, block):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_top_k_of_large_components(spark):
+    """Every finite vector takes part, and products beyond 2**53 are exact."""
+    big = float(2**31 - 1) / 256
+    rows = {0: [1.0, 2.0], 1: [1e8, 0.0], 2: [1e8, 0.00390625], 3: [-1e8, 5.0], 4: [big, big], 5: [0.5, 0.5], 6: [3e15, 1.0], 7: [1e300, 0.0], 8: [0.0, 0.0], 10: [3e15, -1.0], 20: [1e9 + 1, 7.0]}
+    df = spark.createDataFrame([(i, v) for i, v in rows.items()] + [(30, [1e307, 1.0])], "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(256 * c)) for c in v] for i, v in rows.items()}
+    cut = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    want = []
+    for q in (0, 10, 20):
+        best = sorted((-cut(sum(a * b for a, b in zip(whole[q], whole[i]))), i) for i in rows if i != q)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, topk_search.top_k(df, F.col("id") % 10 == 0, 5).filter("query_id <> 30").collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("few", [1, 1024])
+def test_buckets_hold_all_bands(monkeypatch, few):
+    monkeypatch.setattr(topk_search, "FEW_ROWS", few)
+    counts = [(4, b, n) for b, n in enumerate([3, 40_000, 10, 16_000, 900, 20_000, 5])] + [(8, 2, 7)]
+    placed = topk_search._place_bands(counts)
+    assert sorted((d, b) for d, b, *_ in placed) == sorted((d, b) for d, b, _ in counts)
+    for before, after in zip(placed, placed[1:]):  # in order of length, and dimensions apart
+        assert after[2] >= before[5] and (after[0] == before[0] or after[2] == before[5] + 1 == after[4])
+        assert after[5] == after[2] + after[3] - 1
+
+
 def test_coordinate_pruning_loses_nothing():
     draw = np.random.default_rng(2)
     p = draw.integers(-50, 50, size=(300, 6))
     q = np.concatenate((p[:20] + draw.integers(-3, 3, size=(20, 6)), draw.integers(-50, 50, size=(20, 6))))
+    p, q = p.astype(float), q.astype(float)
     scores = q @ p.T
     for share in (0.5, 0.9, 1.0):
         bound = np.sort(scores, 1)[:, -3] * share
@@ -64,20 +90,33 @@ def judged(urls):
     return out
 
 
-@pytest.mark.parametrize("most", [url_filter.MOST_INDEX_BYTES, 1])
-def test_url_rules(spark, most):
+@pytest.mark.parametrize("block", [url_filter.BLOCK_BYTES, 1])
+def test_url_rules(spark, block):
     df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(URLS + URLS[:1])], "page_id int, url string, rule string")
-    got = url_filter.judge_urls(df, url_filter.QUERY_RULES, most_index_bytes=most).orderBy("page_id").collect()
+    got = url_filter.judge_urls(df, url_filter.QUERY_RULES, block_bytes=block).orderBy("page_id").collect()
     assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == judged(URLS + URLS[:1])
 
 
 def test_url_digests_may_collide(monkeypatch):
     monkeypatch.setattr(url_filter, "digest", lambda keys: np.array([len(k) % 2 for k in keys], np.uint64))
-    index = url_filter.Index(url_filter.build_index(url_filter.QUERY_RULES))
+    monkeypatch.setattr(url_filter, "read_file", lambda file: np.frombuffer(url_filter.build_block(url_filter.QUERY_RULES), np.uint8))
+    index = url_filter.Index({0: "all"}, 1, sorted({len(p) for _, _, p in url_filter.QUERY_RULES}))
     want = judged([u for u in URLS if u])
     assert index.judge([w[0] for w in want], [w[1] for w in want]) == ([w[2] for w in want], [w[3] for w in want])
 
 
+def test_url_rules_at_the_edges(spark):
+    rules = [("block", "ab.net", "x/"), ("allow", "ab.ne", "tx/"), ("allow", "twice", "/"), ("block", "twice", "/"), ("block", "", "/"), (None, "null", "/"), ("block", "deep.org", "/" + "a" * 9_000)]
+    urls = ["http://ab.net?", "http://ab.net", "h://ab.nex", "http://twice/1", "http://null/", "http://x.deep.org/" + "a" * 20_000, "http://" + "s." * 500 + "twice/", "http://deep.org/" + "a" * 10]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    got = [(r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, table).orderBy("page_id").collect()]
+    deep = "deep.org/" + "a" * 9_000
+    assert got == [(None, "allow"), (None, "allow"), (None, "allow"), ("twice/", "block"), (None, "allow"), (deep, "block"), ("twice/", "block"), (None, "allow")]
+    assert url_filter.judge_urls(df.limit(0), table).count() == 0
+    assert {r["verdict"] for r in url_filter.judge_urls(df, table.limit(0)).collect()} == {"allow"}
+
+
 def test_chat_round_trip(spark):
     odd = ["\\### Assistant: </turn> ok", "\\0\\1\\2\\3\\4", "</turn>\n### user\n", "<image:0>", "", None, "é\U0001f600\n\n", "\\", "### ### "]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(odd)] + [(2, 0, None, "x"), (2, 0, "ro\nle</turn>", "x"), (None, 5, "assistant", "y")]
@@ -99,6 +138,28 @@ def test_attachments_are_numbered_and_counted(spark):
     assert row["attachment_tokens"] == 1054
 
 
+def test_many_turns_and_parts(spark):
+    """Numbers run on over turns; texts may hold what looks like a control string."""
+    part = "struct<type:string,text:string,ref:string,width:bigint,height:bigint,seconds:double,pages:bigint>"
+    rows = [(1, t, "assistant" if t % 2 else "user", [("text", f"\\5 {t} \\", None, None, None, None, None)] + [("image", None, f"{t}/{i}", None, None, None, None) for i in range(t % 4)] + [("text", "x" * 50_000 if t == 7 else "<image:\\5>", None, None, None, None, None)]) for t in range(300)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{part}>")
+    row = chat_format.format_conversations(df).withColumns({"back": chat_format.read_back(F.col("formatted")), "loss": chat_format.masked_text(F.col("formatted"), F.col("loss_spans"))}).first()
+    number, want = 0, []
+    for _, t, _, parts in rows:
+        text = ""
+        for p in parts:
+            text += p[1] if p[0] == "text" else f"<image:{number}>"
+            number += p[0] != "text"
+        want.append(text)
+    assert [t["text"] for t in row["back"]] == want and row["loss"] == "".join(want[1::2])
+    assert [(a["index"], a["ref"]) for a in row["attachments"]] == list(enumerate(f"{t}/{i}" for t in range(300) for i in range(t % 4)))
+
+
+def test_no_conversations(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string").withColumn("parts", chat_format.text_part(F.col("text")))
+    assert chat_format.format_conversations(df).count() == 0
+
+
 def test_queries_agree_with_sql(spark, data):
     import duckdb
 
