@@ -9,18 +9,23 @@ alone costs no alignment), the words around the seeds are aligned with the item
 (Smith-Waterman over words, linear gaps); an alignment that reaches ``least`` of
 the score of a perfect copy is a leak, so edited or paraphrased copies count too.
 
-The test items are a stated query set: they travel to the documents in blocks of
-at most BLOCK_BYTES of text, so no document moves, and a broadcast has a fixed
-bound however large the benchmark is.  Work on a document doesn't depend on
-others.
+The test items are a stated query set: tasks put them in blocks of about BLOCK_BYTES
+of text, index each block's n-grams and write the index to the shared folder; all
+tasks over documents then take the blocks one after the other, and keep the last few.
+So no document and no item passes the driver, documents are read once, and memory has
+a fixed bound however large the benchmark is.
 
 Defined results: null or empty texts and items match nothing; an item with fewer
-words than the seed length is its own seed; repeated items are items of their own;
+words than the seed length is its own seed; repeated items are items of their own; an
+item with a null id is looked for like any other, and its id is null in the result;
 repeated documents are judged alike; extra columns stay out of the way.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces, text_buffer
+from tessera.llm.common import pieces, read_file, shared_folder, text_buffer, write_file
 from tessera.llm.words import LOOSE, LOWER, find_words, hash_windows, hash_words, windows
 
 SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
 BLOCK_BYTES = 4 << 20
+#: Blocks that a worker keeps in memory.
+KEPT_BLOCKS = 8
 #: Words of items that are looked up in texts at once, and a factor that tells texts apart.
 MOST_WORDS, MIX = 1 << 18, np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,7 +58,7 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Items:
     """Word hashes of a block of items, and their n-grams: sorted hashes, each with its item and place."""
 
-    ids: list[int]
+    ids: pa.Array
     words: np.ndarray
     ptr: np.ndarray
     grams: np.ndarray  # distinct, sorted
@@ -62,8 +69,8 @@ class Items:
     filter: np.ndarray
 
     @classmethod
-    def build(cls, ids: list[int], texts: list[str | None]) -> Items:
-        words, ptr = _words(pa.array(texts, pa.string()))
+    def build(cls, ids: pa.Array, texts: pa.Array) -> Items:
+        words, ptr = _words(texts)
         first, item = windows(ptr, SEED_WORDS)
         width = np.full(len(first), SEED_WORDS)
         few = np.flatnonzero((np.diff(ptr) < SEED_WORDS) & (np.diff(ptr) > 0))
@@ -155,52 +162,66 @@ def leaks(items: Items, column: pa.Array, least: float) -> list[tuple[int, int,
     return [(t, i, *x) for (t, i), x in best.items()]
 
 
-def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Items]:
-    """The test items in blocks of bounded size, in the order of their ids; the driver holds one block at a time."""
-    ids, texts, size = [], [], 0
-    for row in benchmark.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).na.drop().orderBy("id", "t").toLocalIterator():
-        ids.append(row["id"])
-        texts.append(row["t"])
-        size += len(row["t"])
-        if size >= BLOCK_BYTES:
-            yield Items.build(ids, texts)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield Items.build(ids, texts)
+def write_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> list[str]:
+    """Files with the indexed blocks of the test items."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(key).alias("id"), F.col(text).alias("t")).filter("t IS NOT NULL")
+    blocks = (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK_BYTES + 1
+    folder = f"{shared_folder(spark)}/items-{uuid.uuid4().hex}"
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("id", "ascending"), ("t", "ascending")]).combine_chunks()
+        content = pickle.dumps(Items.build(table.column("id").combine_chunks(), table.column("t").combine_chunks()))
+        return pa.table({"file": [write_file(folder, content)], "block": table.column("block")[:1]})
+
+    # texts of one length may repeat an id, so both decide the block
+    named = items.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)))
+    return [r["file"] for r in named.groupBy("block").applyInArrow(build, "file string, block long").orderBy("block").collect()]  # a name for each 4 MB of items
+
+
+_KEPT: OrderedDict[str, Items] = OrderedDict()
+
+
+def _block(file: str) -> Items:
+    if file in _KEPT:
+        _KEPT.move_to_end(file)
+    else:
+        _KEPT[file] = pickle.loads(read_file(file))
+        if len(_KEPT) > KEPT_BLOCKS:
+            _KEPT.popitem(last=False)
+    return _KEPT[file]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, score (share of a perfect copy's), seeds, first_word, end_word: the place in the document's words."""
     own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    kind = own.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, score double, seeds int, first_word long, end_word long"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for items in item_blocks(benchmark):
-        block = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, "text"):
-                if rows := leaks(block.value, batch.column(1), least):
+    kinds = own.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    files = write_blocks(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            for file in files:
+                items = _block(file)
+                if rows := leaks(items, batch.column(1), least):
                     row, item, score, seeds, first, end = zip(*rows)
-                    ids = [block.value.ids[i] for i in item]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(ids, pa.int64()), pa.array(score), pa.array(seeds, pa.int32()), pa.array(first, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "score", "seeds", "first_word", "end_word"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), items.ids.take(pa.array(item)), pa.array(score), pa.array(seeds, pa.int32()), pa.array(first, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "score", "seeds", "first_word", "end_word"])
 
-        out = out.unionByName(own.mapInArrow(run, schema))
-    return out
+    return own.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, seeds int, first_word long, end_word long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no leak, with their own columns."""
-    for items in item_blocks(benchmark):
-        block = docs.sparkSession.sparkContext.broadcast(items)
+    files = write_blocks(benchmark)
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, text):
-                bad = {r[0] for r in leaks(block.value, batch.column(batch.schema.get_field_index(text)), least)}
-                yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)])) if bad else batch
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text):
+            for file in files:
+                bad = {r[0] for r in leaks(_block(file), batch.column(batch.schema.get_field_index(text)), least)}
+                if bad:
+                    batch = batch.filter(pa.array([i not in bad for i in range(batch.num_rows)]))
+            yield batch
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from tessera.llm import bpe, decontamination, licenses, ngram_join, quality, substring_dedup, toxicity
+from pyspark.sql import functions as F
+from tessera.llm import bpe, common, decontamination, licenses, ngram_join, quality, substring_dedup, toxicity
 from tessera.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -166,9 +167,9 @@ def test_size_bands_lose_no_pair(spark):
     assert ngram_join.unsettled(pages).count() == 0  # no pair of them is walked
 
 
-@pytest.mark.parametrize("least", [ngram_join.LEAST_SENT, 2])
+@pytest.mark.parametrize("least", [common.LEAST_SENT, 2])
 def test_components_with_often_shared_columns_sent(spark, monkeypatch, least):
-    monkeypatch.setattr(ngram_join, "LEAST_SENT", least)
+    monkeypatch.setattr(common, "LEAST_SENT", least)
     rows = corpus(9, 90)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
     assert sorted(map(tuple, ngram_join.components(docs).collect())) == brute_components([(r[0], r[1]) for r in rows])
@@ -270,6 +271,17 @@ def test_leaks_with_one_seed(spark):
     assert {r["doc_id"] for r in decontamination.decontaminate(docs, table).collect()} == {6}
 
 
+@pytest.mark.parametrize("size", [decontamination.BLOCK_BYTES, 40])
+def test_items_of_any_id_and_length(spark, monkeypatch, size):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+    monkeypatch.setattr(decontamination, "KEPT_BLOCKS", 1)
+    items = spark.createDataFrame([("a", "one"), ("b", "two words"), (None, "an item without any id at all"), ("c", "repeated item of some words"), ("c", "repeated item of some words"), ("d", None), ("e", " .,")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "there is one here"), (2, "these are Two, words"), (None, "x an item without any id at all y"), (3, "the repeated item of some words"), (4, "nothing"), (None, "else"), (5, None)], "doc_id long, text string")
+    got = sorted(map(str, [(r["doc_id"], r["item_id"], r["score"]) for r in decontamination.find_leaks(docs, items).collect()]))
+    assert got == sorted(map(str, [(1, "a", 1.0), (2, "b", 1.0), (None, None, 1.0), (3, "c", 1.0), (3, "c", 1.0)]))
+    assert sorted((r["text"] or "" for r in decontamination.decontaminate(docs, items).collect())) == ["", "else", "nothing"]
+
+
 def test_bpe_agrees_with_the_library(spark):
     from tokenizers import Tokenizer
 
@@ -294,9 +306,9 @@ def test_bpe_merges_long_and_short_words_alike():
         assert coder.word(word) == coder._long(word)
 
 
-@pytest.mark.parametrize("most", [licenses.MOST_DIRECTORIES, 0])
-def test_licences_and_inheritance(spark, monkeypatch, most):
-    monkeypatch.setattr(licenses, "MOST_DIRECTORIES", most)
+@pytest.mark.parametrize("least", [common.LEAST_SENT, 0])
+def test_licences_and_inheritance(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "LEAST_SENT", least)
     rows = [
         ("a/LICENSE", "Released under the MIT License.\nsome text"), ("a/b/c/x.py", "print"), ("a/b/y.py", None), ("z.py", "hi"), (None, "Licensed under CC BY-NC 4.0."),
         ("a/d/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/d/q/r.py", ""), ("a/d/own.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("z.py", "hi"),
@@ -307,6 +319,80 @@ def test_licences_and_inheritance(spark, monkeypatch, most):
     assert got == sorted(want, key=str)
 
 
+def test_licence_wording(spark):
+    acme = "All rights reserved by ACME, do not pass on to anybody"
+    header = "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\nint main() {}\n\nvoid other() {}"
+    texts = {"a.c": "// SPDX-License-Identifier: MIT\ncode", "b.c": "# SPDX-License-Identifier: GPL-3.0-or-later", "c.c": "// SPDX-License-Identifier: Unknown-1.0", "d.c": header, "e.c": acme.upper() + "\nint x;",
+             "f.c": "Version 2.0", "g.c": "the license", "h.c": "License", "i.c": "word " * 500_000 + "\n# SPDX-License-Identifier: Apache-2.0", "j.c": "...\n---\n.-.", "k.c": "any of the work under version 3"}
+    rows = list(texts.items()) + [(f"p{i}.c", "any words of the common kind under which this is to be read") for i in range(20)]
+    out = licenses.scan(spark.createDataFrame(rows, "path string, text string"), licenses.TEMPLATES | {"ACME": [acme]})
+    got = {r["path"]: r["license"] for r in out.collect() if r["license"]}
+    assert got == {"a.c": "MIT", "b.c": "GPL-3.0", "d.c": "GPL-3.0", "e.c": "ACME", "i.c": "Apache-2.0"}
+
+
+def test_equal_scores_and_repeated_files(spark):
+    rows = [("d/x", "one same wording here"), ("d/x", "one same wording here"), ("d/LICENSE", "one same wording here"), ("d/COPYING", "one same wording here"), ("d/y", "nothing")]
+    out = licenses.scan(spark.createDataFrame(rows, "path string, text string"), {"B": ["one same wording here"], "A": ["one same wording here"]})
+    assert sorted((r["path"], r["license"], r["license_from"]) for r in out.collect()) == [("d/COPYING", "A", "own"), ("d/LICENSE", "A", "own"), ("d/x", "A", "own"), ("d/x", "A", "own"), ("d/y", "A", "d")]
+
+
+def brute_licences(rows, templates):
+    """Licence and score of each (path, text) by plain dictionaries."""
+    find = lambda t: re.findall(r"\w+(?:[.-]\w+)*", t.lower())
+    lines = [line for _, t in rows for line in (t or "").split("\n") if find(line)]
+    df = defaultdict(int)
+    for line in lines:
+        for t in set(find(line)):
+            df[t] += 1
+
+    def vector(text):
+        tf = defaultdict(int)
+        for t in find(text):
+            tf[t] += 1
+        w = {t: c * (np.log((1 + len(lines)) / (1 + max(df[t], 1))) + 1) for t, c in tf.items()}
+        norm = sum(x * x for x in w.values()) ** 0.5
+        return {t: x / norm for t, x in w.items()}
+
+    known = [(name, vector(t)) for name, some in sorted(templates.items()) for t in some]
+    holders = defaultdict(set)
+    for name, v in known:
+        for t in v:
+            holders[t].add(name)
+    out = []
+    for path, text in rows:
+        found, paragraph = [], []
+        for line in [*(text or "").split("\n"), ""]:
+            if find(line):
+                paragraph.append(line)
+                found.append(line)
+            else:
+                found += ["\n".join(paragraph)] if len(paragraph) > 1 else []
+                paragraph = []
+        if path and re.search(licenses.FILE_NAME, path) and find(text or ""):
+            found.append(text)
+        best = (0.0, None)
+        for p in found:
+            v = vector(p)
+            for name, t in known:
+                s = round(sum(x * v.get(k, 0) for k, x in t.items()), 9)
+                own = {k for k in t if holders[k] == {name}}
+                good = own & set(v) if own else sum(x * x for k, x in t.items() if k in v) >= 0.5
+                if s >= licenses.LEAST and good and s > best[0]:
+                    best = (s, name)
+        out.append((path, best[1], best[0]))
+    return out
+
+
+def test_licence_scan_against_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select(F.concat_ws("/", "source", "lang", F.when(F.col("doc_id") % 9 == 0, "LICENSE").otherwise(F.col("doc_id").cast("string"))).alias("path"), "text")
+    rows = [tuple(r) for r in docs.collect()]
+    if any(ord(c) > 127 for _, t in rows for c in t or ""):  # bytes beyond ASCII are letters here
+        rows = [(p, "".join(c if ord(c) < 128 or c.isalnum() else "x" for c in t or "")) for p, t in rows]
+    got = licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()
+    own = sorted(((r["path"], r["license"], round(r["license_score"], 6)) for r in got if r["license_from"] == "own"), key=str)
+    assert own == sorted(((p, n, round(s, 6)) for p, n, s in brute_licences(rows, licenses.TEMPLATES) if n), key=str) and own
+
+
 @pytest.mark.parametrize("most", [licenses.MOST_COUNTED, 3])
 def test_licence_scores_depend_on_shares(spark, monkeypatch, most):
     monkeypatch.setattr(licenses, "MOST_COUNTED", most)
