@@ -49,7 +49,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, pieces, text_buffer
+from tessera.llm.common import materialise, often_and_seldom, pieces, text_buffer
 from tessera.llm.components import connected_components
 from tessera.llm.words import LOWER, SPACE, find_words, hash_windows, hash_words, mix, windows
 
@@ -57,9 +57,9 @@ WORDS = 5
 #: Least similarity in percent, and c of the first step in percent.
 PERCENT, EXTRA = 80, 10
 #: Entries of a block, about; entries that a task collects before it sends; most hot shingles (16 bytes each).
-BLOCK_ENTRIES, SEND_ENTRIES, MOST_HOT = 1 << 20, 1 << 20, 1 << 20
-#: Ranges of shingles in the product; rows of a key, at least, for it to be sent to them, and bound on such keys; width of a band of sizes.
-RANGES, LEAST_SENT, MOST_SENT, BAND = 4, 500, 100_000, 1.05
+BLOCK_ENTRIES, SEND_ENTRIES, MOST_HOT = 1 << 20, 1 << 19, 1 << 20
+#: Ranges of shingles in the product, width of a band of sizes, and groups over which one set's pairs of the second product are dealt.
+RANGES, BAND, SPREAD = 4, 1.05, 64
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +264,7 @@ def first_survivors(docs: DataFrame, blocks: int, hot: tuple[np.ndarray, np.ndar
 
 
 def rare_columns(texts: DataFrame, blocks: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Step 2 over (id, text): (id, n, shared, central, shingles, entries), for each class that shares enough.
+    """Step 2 over (id, h1, h2, text): (id, n, shared, central, shingles, entries), for each class that shares enough.  Of rows that share an id, those count whose set is the class's.
 
     ``shingles``: the rarest of its shared shingles; ``entries``: all of them in order, as one string for each range.
     """
@@ -274,9 +274,10 @@ def rare_columns(texts: DataFrame, blocks: int, hot: tuple[np.ndarray, np.ndarra
         sender = Sender(blocks, known.value)
         out = lambda rows, hot: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([hot] * len(rows))], names=["block", "blob", "hot"])
         for batch in pieces(batches, "text"):
-            shingles, ptr = shingle_sets(batch.column(1))
+            shingles, ptr = shingle_sets(batch.column(3))
             n, ids = np.diff(ptr), np.asarray(batch.column(0))
-            rows = sender.new_rows(ids, n)
+            a, b = set_hashes(shingles, ptr)
+            rows = sender.new_rows(ids, n * ((a == np.asarray(batch.column(1))) & (b == np.asarray(batch.column(2)))))
             if not len(rows):
                 continue
             taken, owner = _taken(shingles, ptr, rows, n[rows])
@@ -331,7 +332,7 @@ def rare_columns(texts: DataFrame, blocks: int, hot: tuple[np.ndarray, np.ndarra
             entries.append([x.tobytes() for x in np.split(own, np.searchsorted(own, edges))])
         return pa.table({"id": ids[begin][good], "n": n[good], "shared": shared[good], "central": central, "shingles": lists, "entries": pa.array(entries, pa.list_(pa.binary()))})
 
-    sent = texts.select("id", "text").mapInArrow(send, "block long, blob binary, hot boolean").groupBy("block").applyInArrow(count, "to long, blob binary")
+    sent = texts.select("id", "h1", "h2", "text").mapInArrow(send, "block long, blob binary, hot boolean").groupBy("block").applyInArrow(count, "to long, blob binary")
     return sent.groupBy("to").applyInArrow(choose, "id long, n long, shared long, central double, shingles array<long>, entries array<binary>")
 
 
@@ -380,12 +381,12 @@ def partial_counts(table: pa.Table) -> pa.Table:
     return pa.table({"u": u[good], "v": v[good], "need": need[good], "both": both[good]})
 
 
-def product(pairs: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
+def product(pairs: DataFrame, sets: DataFrame, groups: int, spread: int = 1) -> DataFrame:
     """The pairs (u, v) of ``pairs`` (distinct) whose sets (id, n, shared, entries) link, by summed partial counts of the cells.
 
-    A cell has the pairs of some u, and a copy of each set that these need; so v may be in any number of pairs.
+    A cell has the pairs of some u, and a copy of each set that these need; so v may be in any number of pairs, and u too, if they are spread over groups.
     """
-    group = F.pmod(F.xxhash64("u"), F.lit(groups))
+    group = F.pmod(F.xxhash64("u", F.pmod("v", F.lit(spread))), F.lit(groups))
     ranges = F.posexplode(F.sequence(F.lit(0), F.lit(RANGES - 1)))
     none = F.lit(None)
     asked = pairs.select(group.alias("g"), "u", "v", ranges.alias("r", "__r")).select("g", "r", "u", "v", none.cast("long").alias("n"), none.cast("long").alias("shared"), none.cast("binary").alias("data"))
@@ -398,9 +399,8 @@ def product(pairs: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
 
 def meet(rows: DataFrame, totals: DataFrame, key: str, n: int) -> DataFrame:
     """``rows`` (n of them) joined with the row of ``totals`` (key, k: its rows, and others) of their key; keys with many rows are sent to these."""
-    least = max(LEAST_SENT, n // MOST_SENT)
-    often, seldom = totals.filter(F.col("k") > least), totals.filter(F.col("k") <= least)
-    met = rows.join(F.broadcast(often), key, "left")  # fewer than n / least <= MOST_SENT keys
+    often, seldom = often_and_seldom(totals, n)
+    met = rows.join(F.broadcast(often), key, "left")  # fewer than MOST_SENT keys
     there = F.col("k").isNotNull()
     return met.filter(there).unionByName(met.filter(~there).select(*rows.columns).join(seldom, key))
 
@@ -441,7 +441,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     hot = hot_shingles(described, blocks)
     alive = first_survivors(named, blocks, hot).select(F.col("class").alias("h1"))
     chosen = classes.join(alive, "h1", "left_semi").select("id", "h1", "h2")
-    texts = _texts(named.join(chosen, F.col("doc_id") == F.col("id")).select("id", "h1", "h2", "text"))
+    texts = named.join(chosen, F.col("doc_id") == F.col("id"))
     rare = materialise(rare_columns(texts, blocks, hot), "columns")
     entries, all_shared = (int(x or 0) for x in rare.agg(F.sum(F.size("shingles")), F.sum("shared")).first())
     groups = max(partitions, all_shared // BLOCK_ENTRIES + 1)
@@ -457,7 +457,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rest = unsettled(materialise(meet(placed, materialise(mixed, "mixed"), "shingle", entries).drop("k"), "open"))
     done = stars.unionAll(stars.select("v", "u"))
     rest = rest.join(done, ["u", "v"], "left_anti")
-    more = materialise(product(materialise(rest, "pairs"), rare, groups), "links")
+    more = materialise(product(materialise(rest, "pairs"), rare, groups, SPREAD), "links")
     last = connected_components(links.unionByName(more)).select(F.col("node"), F.col("component").alias("found"))
     members = materialise(classes.join(last, F.col("id") == F.col("node"), "left").select(F.struct("h1", "h2").alias("class"), "k", F.coalesce("found", "id").alias("component_id")), "classes")
     rows = sets.filter(in_class).select("doc_id", "n", F.struct("h1", "h2").alias("class"))
@@ -466,18 +466,6 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return placed_rows.unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
-def _texts(rows: DataFrame) -> DataFrame:
-    """Rows (id, h1, h2, text) whose text has that set: of rows that share an id, the class's own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            a, b = set_hashes(*shingle_sets(batch.column(3)))
-            good = (a == np.asarray(batch.column(1))) & (b == np.asarray(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["id", "text"]).filter(pa.array(good))
-
-    return rows.mapInArrow(run, "id long, text string")
-
-
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row for each component: that of its smallest id; rows with a null id and texts without words stay."""
     kept = components(docs, key, text).filter(F.col("component_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
