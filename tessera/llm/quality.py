@@ -18,7 +18,7 @@ only, every score is the (smoothed) share of label 1, 0.5 if nothing is known.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -175,12 +175,21 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = LEAVES_DE
     return forest
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """At most ``most`` labelled documents outside the held-out fold: those with the smallest hash of their id."""
+def training_features(docs: DataFrame, labels: DataFrame, label: str, most: int, features: Callable[[pa.Array], pa.Array], kind: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(label, x) of at most ``most`` labelled documents outside the held-out fold: those with the smallest hash of their id, then of their text.
+
+    ``features`` turns texts into the column x in the tasks that read them, so texts don't travel.
+    """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64(key), key).limit(most)
-    # at most ``most`` rows of 12 bytes
-    return docs.select(F.col(key).alias("train_id"), F.col(text).alias("text")).join(F.broadcast(chosen.withColumnRenamed(key, "train_id")), "train_id").orderBy(F.xxhash64("train_id"), F.xxhash64("text")).limit(most)
+    chosen = known.orderBy(F.xxhash64(key), key).limit(most)  # at most ``most`` rows of 12 bytes
+    rows = docs.select(F.col(key).alias("train_id"), F.col(text).alias("text")).join(F.broadcast(chosen.withColumnRenamed(key, "train_id")), "train_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], features(batch.column(0))], names=["h1", "h2", "label", "x"])
+
+    made = rows.select("text", F.xxhash64("train_id").alias("h1"), F.xxhash64("text").alias("h2"), "label").mapInArrow(run, f"h1 long, h2 long, label int, x {kind}")
+    return made.orderBy("h1", "h2").limit(most).select("label", "x")
 
 
 def held_out(key: str = "doc_id"):
@@ -189,12 +198,11 @@ def held_out(key: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS) -> Forest:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            x = statistics(*text_buffer(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["label", "x"])
+    def features(column: pa.Array) -> pa.Array:
+        x = statistics(*text_buffer(column))
+        return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
 
-    rows = training_rows(docs, labels, label, most).select("train_id", "text", "label").mapInArrow(run, "label int, x array<double>").collect()
+    rows = training_features(docs, labels, label, most, features, "array<double>").collect()
     return fit(np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r["label"] for r in rows], float))
 
 

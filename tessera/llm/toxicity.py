@@ -11,8 +11,10 @@ weigh together more than they do alone.  Each document's sums are taken for a
 whole batch at once.
 
 Weights are learnt by AdaGrad from at most TRAIN_ROWS labelled rows (those with
-the smallest hash of their id), whole texts.  Only terms whose share of toxic
-documents stands out there have weights.  Every row is scored.
+the smallest hash of their id), whole texts.  Every place that occurs there has a
+weight and factors while the machine is fitted, as a term that tells nothing alone may
+tell much beside another; a penalty keeps those at 0 whose documents' errors don't
+outweigh it.  Places that don't occur there weigh nothing.  Every row is scored.
 
 Defined results: a null or empty text scores the logistic of w0; repeated rows get
 the same score; labels other than 0 and 1 aren't learnt from; without rows to
@@ -31,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import pieces, text_buffer
-from tessera.llm.quality import held_out, training_rows
-from tessera.llm.words import LOOSE, LOWER, find_words, hash_words
+from tessera.llm.quality import held_out, training_features
+from tessera.llm.words import LOOSE, LOWER, find_words, gather, hash_words
 
 TRAIN_ROWS = 12_000
-BITS, FACTORS, EPOCHS, RATE, DECAY, STEM = 22, 4, 20, 0.2, 2e-4, 6
-LEAST_DOCUMENTS, LEAST_Z, MOST_TERMS = 5, 5.0, 8192
+BITS, FACTORS, STEM = 22, 4, 6
+EPOCHS, FREE_EPOCHS, BATCH, RATE, FACTOR_RATE, SPREAD = 20, 20, 64, 0.2, 0.1, 0.05
+#: Errors, summed over a term's documents, that its weight and its factors must outweigh to leave 0; the part of these penalties that later epochs keep.
+LASSO, FACTOR_LASSO, LATER = 4.0, 20.0, 0.25
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,22 +57,9 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (key & np.uint64((1 << BITS) - 1)).astype(np.int64), np.searchsorted(key >> np.uint64(BITS), np.arange(len(offsets), dtype=np.uint64))
 
 
-def chosen_places(documents: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Places whose share of label 1 differs from the whole sample's by LEAST_Z standard errors, at most MOST_TERMS of them, in order."""
-    every, seen = np.unique(np.concatenate([*documents, np.zeros(0, np.int64)]).astype(np.int64), return_counts=True)
-    hits = np.zeros(len(every))
-    at, n = np.unique(np.concatenate([*(d for d, t in zip(documents, y) if t), np.zeros(0, np.int64)]).astype(np.int64), return_counts=True)
-    hits[np.searchsorted(every, at)] = n
-    p = y.mean()
-    z = np.abs(hits - seen * p) / np.sqrt(seen * p * (1 - p))
-    z[seen < LEAST_DOCUMENTS] = 0
-    best = np.argsort(-z, kind="stable")[:MOST_TERMS]
-    return np.sort(every[best[z[best] >= LEAST_Z]])
-
-
 @dataclass
 class Machine:
-    """Weights of the chosen places; all other places weigh nothing."""
+    """Weights of the places that were learnt, in order; all other places weigh nothing."""
 
     w0: float
     places: np.ndarray
@@ -90,55 +81,88 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(place, ptr), -30, 30)))
 
 
+@dataclass
+class _Batch:
+    """Entries of some documents: distinct places, which of them each entry is, its document, and how often each place occurs."""
+
+    at: np.ndarray
+    back: np.ndarray
+    times: np.ndarray
+    of: np.ndarray
+    y: np.ndarray
+
+
+def _batches(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, y: np.ndarray, order: np.ndarray) -> list[_Batch]:
+    out = []
+    for start in range(0, len(order), BATCH):
+        own = order[start : start + BATCH]
+        at, back, times = np.unique(gather(flat, begin[own], size[own]), return_inverse=True, return_counts=True)
+        out.append(_Batch(at, back, times, np.repeat(np.arange(len(own)), size[own]), y[own]))
+    return out
+
+
 def fit(documents: list[np.ndarray], y: np.ndarray, seed: int = 0) -> Machine:
+    """Weights from documents (distinct places each) and their labels.
+
+    Penalised epochs come first: a weight, or a term's factors together, leave 0 only if the errors of the term's documents outweigh the penalty, of which each
+    document carries its part.  Terms that left 0 are then fitted on under a share LATER of the penalty.
+    """
     positive = y.sum() if len(y) else 0
     w0 = float(np.log((positive + 0.5) / (len(y) - positive + 0.5)))
     if not len(y) or y.min() == y.max():
-        return Machine(w0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
-    places = chosen_places(documents, y)
+        return Machine(w0, np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
+    size = np.array([len(d) for d in documents])
+    places, flat, seen = np.unique(np.concatenate(documents), return_inverse=True, return_counts=True)
     draw = np.random.default_rng(seed)
-    w, v = np.zeros(len(places)), draw.normal(0, 0.05, (len(places), FACTORS))
-    documents = [np.searchsorted(places, d[np.isin(d, places)]) for d in documents]
-    gw, gv, g0 = np.full(w.shape, 1e-3), np.full(v.shape, 1e-3), 1e-3
-    for _ in range(EPOCHS):
-        order = draw.permutation(len(y))
-        for start in range(0, len(order), 64):
-            own = order[start : start + 64]
-            ids = np.concatenate([documents[i] for i in own])
-            of = np.repeat(np.arange(len(own)), [len(documents[i]) for i in own])
-            vi = v[ids]
-            sums = np.zeros((len(own), FACTORS))
-            np.add.at(sums, of, vi)
-            raw = w0 + np.bincount(of, w[ids], minlength=len(own)) + 0.5 * ((sums**2).sum(1) - np.bincount(of, (vi**2).sum(1), minlength=len(own)))
-            error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[own]
-            d0 = error.mean()
-            g0 += d0**2
-            w0 -= RATE * d0 / np.sqrt(g0)
-            at, back = np.unique(ids, return_inverse=True)
-            dw = np.bincount(back, error[of], minlength=len(at)) / len(own) + DECAY * w[at]
-            gw[at] += dw**2
-            w[at] -= RATE * dw / np.sqrt(gw[at])
-            dv = np.zeros((len(at), FACTORS))
-            np.add.at(dv, back, error[of][:, None] * (sums[of] - vi) / len(own))
-            dv += DECAY * v[at]
-            gv[at] += dv**2
-            v[at] -= 0.2 * RATE * dv / np.sqrt(gv[at])
-    return Machine(w0, places, w, v)
+    order = draw.permutation(len(y))
+    w, v = np.zeros(len(places)), draw.normal(0, SPREAD, (len(places), FACTORS))
+    for epochs, weight, factor_weight in ((EPOCHS, LASSO, FACTOR_LASSO), (FREE_EPOCHS, LATER * LASSO, LATER * FACTOR_LASSO)):
+        if weight < LASSO:
+            alive = (w != 0) | (v != 0).any(1)
+            kept = alive[flat]
+            ends = np.concatenate(([0], np.cumsum(kept)))
+            size = np.diff(ends[np.concatenate(([0], np.cumsum(size)))])
+            places, flat, seen, w, v = places[alive], (np.cumsum(alive) - 1)[flat[kept]], seen[alive], w[alive], v[alive]
+        batches = _batches(flat, np.cumsum(size) - size, size, y, order)
+        w_squares, v_squares, w0_squares = np.full(len(places), 1e-3), np.full(len(places), 1e-3), 1e-3
+        for _ in range(epochs):
+            for k in draw.permutation(len(batches)):
+                b = batches[k]
+                n, (wi, vi) = len(b.y), (w[b.at], v[b.at])
+                factors = vi[b.back]
+                sums = np.column_stack([np.bincount(b.of, c, minlength=n) for c in (wi[b.back], *factors.T, (vi**2).sum(1)[b.back])])
+                raw = w0 + sums[:, 0] + 0.5 * ((sums[:, 1:-1] ** 2).sum(1) - sums[:, -1])
+                error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - b.y
+                w0_squares += error.mean() ** 2
+                w0 -= RATE * error.mean() / np.sqrt(w0_squares)
+                share, own = b.times / (seen[b.at] * n), error[b.of]  # share: of a term's penalty
+                slope = np.bincount(b.back, own, minlength=len(b.at)) / n
+                w_squares[b.at] += slope**2
+                step = RATE / np.sqrt(w_squares[b.at])
+                moved = wi - step * slope
+                w[b.at] = np.sign(moved) * np.maximum(np.abs(moved) - step * share * weight, 0)
+                pull = own[:, None] * (sums[b.of, 1:-1] - factors)
+                slopes = np.column_stack([np.bincount(b.back, c, minlength=len(b.at)) for c in pull.T]) / n
+                v_squares[b.at] += (slopes**2).sum(1)
+                step = FACTOR_RATE / np.sqrt(v_squares[b.at])
+                moved = vi - step[:, None] * slopes
+                norm = np.sqrt((moved**2).sum(1))
+                v[b.at] = moved * (np.maximum(norm - step * share * factor_weight, 0) / np.maximum(norm, 1e-300))[:, None]
+    return Machine(w0, places, w.astype(np.float32), v.astype(np.float32))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_ROWS) -> Machine:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            place, ptr = terms(*text_buffer(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(place, pa.int32()))], names=["label", "x"])
+    def features(column: pa.Array) -> pa.Array:
+        place, ptr = terms(*text_buffer(column))
+        return pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(place, pa.int32()))
 
-    rows = training_rows(docs, labels, label, most).select("train_id", "text", "label").mapInArrow(run, "label int, x array<int>").toArrow()
+    rows = training_features(docs, labels, label, most, features, "array<int>").toArrow()
     return fit([np.asarray(x.values, dtype=np.int64) for x in rows.column("x")], np.asarray(rows.column("label"), dtype=float))
 
 
 def scored(docs: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the column ``score`` (replaced, if there is one)."""
-    model, kept = docs.sparkSession.sparkContext.broadcast(machine), docs.drop(name)  # MOST_TERMS * (FACTORS + 2) numbers at most
+    model, kept = docs.sparkSession.sparkContext.broadcast(machine), docs.drop(name)  # at most 2**BITS places, and the terms of TRAIN_ROWS texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):

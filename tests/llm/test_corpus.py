@@ -469,3 +469,107 @@ def test_flat_trees_agree_with_a_walk():
         return 1 / (1 + np.exp(-total))
 
     assert forest.score(x[:50]) == pytest.approx([walk(r) for r in x[:50]])
+
+
+@pytest.mark.parametrize("kind", ["agree", "meet"])
+def test_terms_that_tell_only_in_pairs(kind):
+    """Labels by the agreement of two terms, or by two frequent terms that meet in few documents: neither tells anything, or much, alone."""
+    draw = np.random.default_rng(5)
+
+    def data(n):
+        x, y = [], []
+        for _ in range(n):
+            own = set(draw.choice(np.arange(10, 400), 20, replace=False).tolist())
+            a, b = draw.random(2) < (0.5 if kind == "agree" else 0.05)
+            if kind == "meet" and draw.random() < 0.035:
+                a = b = True
+            y.append(float(a == b) if kind == "agree" else float((a and b) or draw.random() < 0.08))
+            x.append(np.array(sorted(own | ({1} if a else set()) | ({2} if b else set()))))
+        return x, np.array(y)
+
+    machine = toxicity.fit(*data(4000 if kind == "agree" else 12_000))
+    x, _ = data(1000)
+    scores = machine.score(np.concatenate(x), np.cumsum([0, *map(len, x)]))
+    both, one = (scores[[f(1 in d, 2 in d) for d in x]] for f in (lambda a, b: a and b, lambda a, b: a != b))
+    assert (both > 0.9).all() and (one < 0.5).mean() > 0.99
+
+
+def naive_terms(text):
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+    out = set()
+    for w in words:
+        w = bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+        one = np.frombuffer(w, np.uint8)
+        out.add(int(toxicity.hash_words(one, np.array([0]), np.array([len(w)]))[0] >> np.uint64(64 - toxicity.BITS)))
+        if len(w) > toxicity.STEM:
+            out.add(int((toxicity.hash_words(one, np.array([0]), np.array([toxicity.STEM]))[0] ^ np.uint64(1 << 63)) >> np.uint64(64 - toxicity.BITS)))
+    return out
+
+
+ODD_TEXTS = ["", None, "You IDIOT, you!", "idiot", "a b c d e f g " * 20, "É日本 Ünïcode-wörds", "x" * 5000, "one\ntwo two two. Three!\n\nthree\nthree\n", "|#$%&*| !! 123 ABC def.", "\n\n \t", "Ends here?\nEnds here?\nshort"]
+
+
+def test_toxicity_scores_against_plain_sums():
+    import pyarrow as pa
+
+    column = pa.array(ODD_TEXTS, pa.string())
+    place, ptr = toxicity.terms(*common.text_buffer(column))
+    assert [set(place[a:b].tolist()) for a, b in zip(ptr, ptr[1:])] == [naive_terms(t) for t in ODD_TEXTS]
+    assert all(len(set(place[a:b].tolist())) == b - a for a, b in zip(ptr, ptr[1:]))
+    draw = np.random.default_rng(1)
+    known = np.unique(place)[::2]
+    machine = toxicity.Machine(-0.3, known, draw.normal(size=len(known)), draw.normal(size=(len(known), toxicity.FACTORS)))
+    row = {int(p): i for i, p in enumerate(known)}
+    want = []
+    for t in ODD_TEXTS:
+        own = [row[p] for p in naive_terms(t) if p in row]
+        total = machine.w0 + sum(machine.w[i] for i in own) + sum(float(machine.v[i] @ machine.v[j]) for n, i in enumerate(own) for j in own[:n])
+        want.append(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+    assert machine.score(place, ptr) == pytest.approx(want)
+
+
+def naive_statistics(text):
+    """quality.FEATURES of one text by plain Python over its bytes."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    lines = [x for x in raw.split(b"\n") if x]
+    size, n, m = len(raw), len(words), len(lines)
+    per = lambda a, b: a / max(b, 1)
+    count = lambda chars: sum(raw.count(c) for c in chars)
+    one = [bytes([c]) for c in range(256)]
+    upper, stops = one[65:91], raw.count(b".")
+    most = max((words.count(w) for w in set(words)), default=0)
+    return [
+        np.log1p(size), np.log1p(n), np.log1p(m), per(size, n), per(n, m), per(n, stops), per(sum(len(w) > 12 for w in words), n), per(sum(len(w) < 3 for w in words), n),
+        per(len(set(words)), n), per(sum(a == b for a, b in zip(words, words[1:])), n), per(most, n), per(count(upper), size), per(count(one[48:58]), size), per(count([bytes([c]) for c in b".,;:!?'\"()-"]), size), per(count([bytes([c]) for c in b"#$%&*@^~_=+<>{}[]\\/`"]), size),
+        per(raw.count(b"|"), n), per(raw.count(b"!"), n), per(count(one[128:]), size), per(sum(w[:1] in upper for w in words), n), per(sum(x[-1:] in (b".", b"?") for x in lines), m),
+        per(sum(len(x) < 30 for x in lines), m), per(m - len(set(lines)), m), per(count([b" ", b"\t", b"\n", b"\v", b"\f", b"\r"]), size), per(stops, n),
+    ]
+
+
+def test_statistics_against_plain_counts():
+    import pyarrow as pa
+
+    got = quality.statistics(*common.text_buffer(pa.array(ODD_TEXTS, pa.string())))
+    assert got == pytest.approx(np.array([naive_statistics(t) for t in ODD_TEXTS]))
+
+
+@pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
+def test_classifier_queries_score_every_row(spark, data, module, label):
+    """The registered query's rows against the model applied to naive features of each text."""
+    import zlib
+
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    model = module.train(docs, labels)
+    out = {r["doc_id"]: r for r in module.query(spark, data).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(out) == len(rows) == docs.count()
+    cut = 0.3 if module is quality else 0.5
+    for r in rows:
+        if module is quality:
+            want = model.score(np.array([naive_statistics(r["text"])]))[0]
+        else:
+            own = np.array(sorted(naive_terms(r["text"])), np.int64)
+            want = model.score(own, np.array([0, len(own)]))[0]
+        got = out[r["doc_id"]]
+        assert got["score"] == pytest.approx(want, abs=1e-6) and got["predicted"] == int(got["score"] >= cut) and got["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
