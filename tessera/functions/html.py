@@ -6,7 +6,7 @@ import hashlib
 import html
 import re
 from collections import Counter
-from html.parser import HTMLParser
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,36 +18,35 @@ HIDDEN = {"script", "style", "nav", "header", "footer", "noscript", "iframe"}
 BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "section", "article"}
 
 
-class _Visible(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.hidden = 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.hidden += tag in HIDDEN
-        if tag in BLOCKS:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag: str) -> None:
-        self.hidden = max(0, self.hidden - (tag in HIDDEN))
-        if tag in BLOCKS:
-            self.parts.append("\n")
-
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.parts.append(data)
-
-
-def visible(raw: str | None) -> str | None:
-    """Text that a page shows, with single spaces and line feeds; null stays null."""
-    if raw is None:
+#: Comments, declarations and tags of a page.
+_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)[^>]*>", re.S)
+_RAW_END = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in ("script", "style")}
+
+
+def _shown(page: str) -> Iterator[str]:
+    """The character data between a page's markup, where nothing hides it, and a line feed for each block's edge."""
+    at, depth = 0, 0
+    while tag := _MARKUP.search(page, at):
+        if not depth:
+            yield html.unescape(page[at : tag.start()])
+        at, name = tag.end(), (tag["name"] or "").lower()
+        if name in BLOCKS:
+            yield "\n"
+        elif name in HIDDEN:
+            depth = max(depth - 1, 0) if tag["end"] else depth + 1
+            if not tag["end"] and name in _RAW_END:  # its content isn't markup
+                end = _RAW_END[name].search(page, at)
+                at = end.start() if end else len(page)
+    if not depth:
+        yield html.unescape(page[at:])
+
+
+def visible(page: str | None) -> str | None:
+    """Text that a page shows: its lines without outer white space, single spaces in them, and no empty ones; null stays null."""
+    if page is None:
         return None
-    parser = _Visible()
-    parser.feed(raw)
-    parser.close()
-    text = re.sub(r"[ \t\r\f\v]+", " ", html.unescape("".join(parser.parts)))
-    return re.sub(r"\s*\n\s*", "\n", text).strip()
+    lines = (re.sub(r"[ \t\r\f\v]+", " ", line).strip() for line in "".join(_shown(page)).split("\n"))
+    return "\n".join(line for line in lines if line)
 
 
 @F.pandas_udf(T.StringType())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,12 +51,24 @@ def all_grams(text: Column, sizes: tuple[int, ...]) -> Column:
     return run(text)
 
 
+def gram_set(text: str | None, size: int) -> np.ndarray:
+    """64-bit hashes of a normalised text's distinct n-grams, in order; a shorter text is its own gram, an empty one has none."""
+    t = re.sub(r"[^0-9a-zA-Z\u4e00-\u9fff]+", "", text or "").lower()
+    c = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    width = min(size, len(c))
+    h = np.zeros(len(c) - width + 1 if width else 0, np.uint64)
+    for k in range(width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : k + len(h)]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique((h ^ (h >> np.uint64(29))).view(np.int64))
+
+
 def grams(text: Column, size: int = 5) -> Column:
-    """Distinct n-grams of a normalised text; a shorter one is its own gram, an empty one has none."""
+    """Hashes of the distinct n-grams of a normalised text, as longs."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<long>")
     def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: sorted(set(gram_list(t, (size,)))) or [x for x in ["".join(gram_list(t, (1,)))] if x])
+        return column.map(lambda t: gram_set(t, size))
 
     return run(text)
 
@@ -102,7 +115,7 @@ def cut_at_boundary(text: Column, most: int, marks: tuple[str, ...] = ("。", "
     out = F.lit(None).cast("string")
     for mark in reversed(marks):
         at = F.length(head) - F.instr(F.reverse(head), mark) + 1
-        out = F.when((F.instr(head, mark) > 0) & (at >= most / 2), head.substr(F.lit(1), at)).otherwise(out)
+        out = F.when((F.instr(head, mark) > 0) & (at > most / 2), head.substr(F.lit(1), at)).otherwise(out)
     return F.when(F.length(text) <= most, text).otherwise(F.coalesce(out, head))
 
 

@@ -1,4 +1,4 @@
-"""As-of joins without a shuffle per event: both sides meet in one ordered window per key, or a calendar is probed by range."""
+"""As-of joins without a shuffle per event: both sides meet in one ordered window per key, or on the dates of a calendar."""
 
 from __future__ import annotations
 
@@ -33,16 +33,17 @@ def asof_forward(events: DataFrame, facts: DataFrame, on: list[str], event_time:
 
 
 def on_calendar(events: DataFrame, calendar: DataFrame, day: str, strict: bool = False) -> DataFrame:
-    """Add day_idx and trade_date of the first calendar day at or (``strict``) after ``day``.
+    """Add day_idx and trade_date of the first calendar day at or (``strict``) after ``day``; null where none is left.
 
-    The calendar is turned into one interval per trading day, and its rows (one per trading day) are sent to the events.
+    Each trading day is given the dates that lead to it (one row a date, so the dimension stays as small as a calendar), and events meet it by date.  Dates before
+    the first trading day lead to it too.
     """
-    # floor day of each interval: a day d belongs to the first trading day >= d
-    before = F.lag("trade_date").over(W.orderBy("trade_date"))
-    spans = calendar.select("day_idx", "trade_date", before.alias("__low"))
-    d = F.col(day)
-    inside = ((F.col("__low") <= d) | F.col("__low").isNull()) & (d < F.col("trade_date")) if strict else ((F.col("__low") < d) | F.col("__low").isNull()) & (d <= F.col("trade_date"))
-    return events.join(F.broadcast(spans), inside, "left").drop("__low")
+    back = F.lit(1 if strict else 0)
+    own = calendar.select("day_idx", "trade_date", F.date_sub("trade_date", back).alias("__to"), F.lag("trade_date").over(W.orderBy("trade_date")).alias("__before"))
+    after = F.coalesce(F.date_add("__before", F.lit(0 if strict else 1)), F.col("__to"))
+    dates = own.withColumn("__d", F.explode(F.sequence(F.least(after, F.col("__to")), F.col("__to")))).select("__d", "day_idx", "trade_date")
+    first = calendar.select(F.date_sub(F.min("trade_date"), back)).scalar()
+    return events.withColumn("__d", F.greatest(F.col(day).cast("date"), first)).join(dates, "__d", "left").drop("__d")
 
 
 def containing_period(documents: DataFrame, periods: DataFrame, day: str, start: str = "period_start", end: str = "period_end") -> DataFrame:
@@ -55,8 +56,13 @@ def containing_period(documents: DataFrame, periods: DataFrame, day: str, start:
     return keyed.join(first, "__id", "left").select(*documents.columns, F.col(f"__p.{start}").alias(start), F.col(f"__p.{end}").alias(end))
 
 
-def latest_released(targets: DataFrame, as_of: DataFrame, value: str = "actual", before: Column | None = None) -> DataFrame:
-    """For each row of ``as_of`` (as_of date, and columns of its own) the value of the latest target released by then."""
-    keyed = as_of.withColumn("__k", F.lit(0))
-    facts = targets.select(F.lit(0).alias("__k"), "release_date", value, "period_end")
-    return asof_backward(keyed, facts.dropDuplicates(["__k", "release_date"]), ["__k"], "as_of", "release_date", [value, "period_end"]).drop("__k")
+def latest_released(targets: DataFrame, as_of: DataFrame, value: str = "actual", day: str = "as_of") -> DataFrame:
+    """Rows with a day, and the value, period_end and release_date of the latest target released by then (of several that day, the last period's).
+
+    A release holds until the day before the next one, so releases become one row for each date, and rows meet them by date.
+    """
+    facts = targets.groupBy("release_date").agg(F.max_by(F.struct(value, "period_end"), "period_end").alias("__v"))
+    until = F.coalesce(F.date_sub(F.lead("release_date").over(W.orderBy("release_date")), F.lit(1)), F.col("release_date"))
+    dates = facts.withColumn("__until", until).withColumn("__d", F.explode(F.sequence("release_date", "__until"))).select("__d", f"__v.{value}", "__v.period_end", "release_date")
+    last = targets.select(F.max("release_date")).scalar()
+    return as_of.withColumn("__d", F.least(F.col(day).cast("date"), last)).join(dates, "__d", "left").drop("__d")

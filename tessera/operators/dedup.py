@@ -32,17 +32,17 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def near_pairs(docs: DataFrame, threshold: float = 0.88, size: int = 5, period: str = "period_end") -> DataFrame:
     """(earlier, later): similar documents of one period.  ``docs`` has doc_id, seq, text and the period.
 
-    A pair of similarity t shares at least t of the smaller set's grams, so it meets among the first (1 - t) of that set's grams by frequency.
+    A pair of similarity t shares at least t * n of the smaller set's n grams.  So that set shares n' >= t * n of its grams with anybody, and the pair meets among the
+    rarest n' - t * n + 1 of these; the larger set may hold them anywhere.  Sets are 64-bit hashes; pairs that meet are compared whole.
     """
-    sets = docs.select("doc_id", "seq", F.col(period).alias("__p"), grams(F.col("text"), size).alias("g")).filter(F.size("g") > 0)
-    sets = saved(sets)  # read four times
+    sets = saved(docs.select("doc_id", "seq", F.col(period).alias("__p"), grams(F.col("text"), size).alias("g")).filter(F.size("g") > 0))
     each = sets.select("doc_id", "__p", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    counted = each.join(each.groupBy("__p", "gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), ["__p", "gram"])
-    # all shared grams of the smaller set from its rare end; the larger set may hold them anywhere
-    missing = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("doc_id"))
-    ranked = counted.withColumn("__r", F.row_number().over(W.partitionBy("doc_id").orderBy("df", "gram")) + missing)
-    probe = ranked.filter(F.col("__r") <= F.floor(F.col("n") * (1 - threshold)) + 1).select("__p", "gram", F.col("doc_id").alias("a"), "n")
-    found = probe.join(counted.select("__p", "gram", F.col("doc_id").alias("b"), F.col("n").alias("m")), ["__p", "gram"]).filter("a <> b AND n <= m").select("a", "b").distinct()
+    known = each.groupBy("__p", "gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = saved(each.join(known, ["__p", "gram"]))
+    least = F.ceil(F.col("n") * threshold)
+    small = shared.groupBy("doc_id", "__p", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("s")).filter(F.size("s") >= least)
+    probe = small.select("__p", "n", F.col("doc_id").alias("a"), F.explode(F.slice("s", F.lit(1), (F.size("s") - least + 1).cast("int"))["gram"]).alias("gram"))
+    found = probe.join(shared.select("__p", "gram", F.col("doc_id").alias("b"), F.col("n").alias("m")), ["__p", "gram"]).filter("a <> b AND n <= m").select("a", "b").distinct()
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("g").alias("ga"), F.col("seq").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("g").alias("gb"), F.col("seq").alias("sb"))
     met = found.join(left, "a").join(right, "b").filter(overlap_similarity(F.col("ga"), F.col("gb")) >= threshold)
     return met.select(F.least("sa", "sb").alias("earlier"), F.greatest("sa", "sb").alias("later")).distinct()

@@ -15,7 +15,8 @@ def rule_signals(predicates: DataFrame, most: int = 3) -> tuple[DataFrame, DataF
     """(signals, support) of every combination of predicates that are active together in a document.
 
     ``predicates``: doc_id, period_end, name, value, direction, intensity, confidence, lag.  A signal is the mean over a period's documents of the sign of their
-    directions times their mean strength, moved ahead by the rule's median lag; periods that meet there add up.
+    directions times their mean strength, moved ahead by the rule's median lag; periods that meet there add up.  Signals are
+    rounded to 12 digits, so that equal ones don't differ by the order of their sums.
     """
     live = predicates.filter(F.col("value")).withColumn("strength", F.abs(F.col("direction") * F.col("intensity") * F.col("confidence")))
     docs = live.groupBy("doc_id", "period_end").agg(F.collect_list("name").alias("names"), F.map_from_entries(F.collect_list(F.struct("name", F.struct("strength", "direction", "lag", "confidence")))).alias("m"))  # a fixed schema of predicates
@@ -25,7 +26,7 @@ def rule_signals(predicates: DataFrame, most: int = 3) -> tuple[DataFrame, DataF
     lags = parts.groupBy("conditions").agg(F.bround(F.percentile("lag", 0.5)).cast("int").alias("rule_lag"), F.signum(F.sum("direction")).cast("int").alias("expected_direction"), F.avg("confidence").alias("evidence"), F.count_distinct("doc_id").alias("support_documents"), F.count_distinct("period_end").alias("support_periods"))
     source = by_doc.groupBy("conditions", "period_end").agg(F.avg(F.signum("d") * F.col("s")).alias("v"))
     moved = source.join(lags.select("conditions", "rule_lag"), "conditions").withColumn("target_end", advance_period(F.col("period_end"), F.col("rule_lag")))
-    return moved.groupBy("conditions", "target_end").agg(F.sum("v").alias("signal")), lags
+    return moved.groupBy("conditions", "target_end").agg(F.round(F.sum("v"), 12).alias("signal")), lags
 
 
 def rule_quality(signals: DataFrame, support: DataFrame, targets: DataFrame, least_documents: int = 12, least_periods: int = 6, least_history: int = 8) -> DataFrame:

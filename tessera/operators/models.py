@@ -44,7 +44,8 @@ def gram(df: DataFrame, features: list[str], target: str) -> DataFrame:
     return sums.select(F.explode(F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"__{k}").alias("value")) for k, (a, b) in enumerate(pairs)])).alias("g")).select("g.*")
 
 
-def _moments(df: DataFrame, features: list[str], target: str) -> tuple[int, np.ndarray]:
+def moments(df: DataFrame, features: list[str], target: str) -> tuple[int, np.ndarray]:
+    """Number of complete rows, and the sums of products of 1, the features and the target."""
     names = ["1", *features, target]
     m = np.zeros((len(names), len(names)))
     for r in gram(df.na.drop(subset=[*features, target]), features, target).collect():  # width squared rows
@@ -58,31 +59,30 @@ def solve(a: np.ndarray, b: np.ndarray, least: float = 1e-10) -> np.ndarray:
     return np.linalg.lstsq(a, b, rcond=least)[0]
 
 
-def ridge(df: DataFrame, features: list[str], target: str, alpha: float, standardise: bool = True) -> Linear:
-    """Ridge over standardised features (population deviation; a constant feature has scale 1), with a free intercept."""
-    n, m = _moments(df, features, target)
-    if not n:
-        zero = (0.0,) * len(features)
-        return Linear(tuple(features), zero, zero, (1.0,) * len(features), 0.0)
+def _scaled(n: int, m: np.ndarray, standardise: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Means, scales, and the covariances of scaled features with each other and with the target (population; a constant feature has scale 1)."""
     mean = m[0] / n
     cov = m / n - np.outer(mean, mean)
     scale = np.sqrt(np.maximum(np.diag(cov)[1:-1], 0))
     scale = np.where((scale > 1e-12) & standardise, scale, 1.0)
-    z = cov[1:-1, 1:-1] / np.outer(scale, scale) * n
-    beta = solve(z + alpha * np.eye(len(features)), cov[1:-1, -1] / scale * n)
+    return mean, scale, cov[1:-1, 1:-1] / np.outer(scale, scale), cov[1:-1, -1] / scale
+
+
+def ridge_of(n: int, m: np.ndarray, features: list[str], alpha: float, standardise: bool = True) -> Linear:
+    """Ridge from the moments of n rows, with a free intercept."""
+    if not n:
+        zero = (0.0,) * len(features)
+        return Linear(tuple(features), zero, zero, (1.0,) * len(features), 0.0)
+    mean, scale, a, b = _scaled(n, m, standardise)
+    beta = solve(a * n + alpha * np.eye(len(features)), b * n)
     return Linear(tuple(features), tuple(beta), tuple(mean[1:-1]), tuple(scale), float(mean[-1]))
 
 
-def elastic_net(df: DataFrame, features: list[str], target: str, alpha: float, l1: float, rounds: int = 300, tolerance: float = 1e-8) -> Linear:
-    """Coordinate descent on the aggregated moments of standardised features."""
-    n, m = _moments(df, features, target)
+def elastic_net_of(n: int, m: np.ndarray, features: list[str], alpha: float, l1: float, rounds: int = 300, tolerance: float = 1e-8) -> Linear:
+    """Coordinate descent on the moments of n rows, over standardised features."""
     if not n:
-        return ridge(df, features, target, alpha)
-    mean = m[0] / n
-    cov = m / n - np.outer(mean, mean)
-    scale = np.sqrt(np.maximum(np.diag(cov)[1:-1], 0))
-    scale = np.where(scale > 1e-12, scale, 1.0)
-    a, b = cov[1:-1, 1:-1] / np.outer(scale, scale), cov[1:-1, -1] / scale
+        return ridge_of(n, m, features, alpha)
+    mean, scale, a, b = _scaled(n, m)
     beta = np.zeros(len(features))
     for _ in range(rounds):
         largest = 0.0
@@ -95,6 +95,14 @@ def elastic_net(df: DataFrame, features: list[str], target: str, alpha: float, l
     return Linear(tuple(features), tuple(beta), tuple(mean[1:-1]), tuple(scale), float(mean[-1]))
 
 
+def ridge(df: DataFrame, features: list[str], target: str, alpha: float, standardise: bool = True) -> Linear:
+    return ridge_of(*moments(df, features, target), features, alpha, standardise)
+
+
+def elastic_net(df: DataFrame, features: list[str], target: str, alpha: float, l1: float, rounds: int = 300, tolerance: float = 1e-8) -> Linear:
+    return elastic_net_of(*moments(df, features, target), features, alpha, l1, rounds, tolerance)
+
+
 def expanding_line(df: DataFrame, x: str, y: str, order: str, keys: list[str] = [], least: int = 3) -> DataFrame:
     """Add fit: each row's prediction by the least-squares line through the rows before it; null with fewer than ``least``."""
     w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,18 +53,44 @@ def probe_duplicate(incoming: DataFrame, corpus: DataFrame, least_title: int = 1
     return met.withColumns({"duplicate_of": F.coalesce("by_url", "by_title"), "duplicate_by": how}).drop("__u", "__t", "by_url", "by_title")
 
 
+def word_pattern(words: list[str]) -> str:
+    """A pattern that, at any place of a text, gives the longest of ``words`` that begins there: a trie, so a place costs as many steps as the word is long."""
+    trie: dict = {}
+    for word in filter(None, words):
+        node = trie
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        ways = [re.escape(c) + written(below) for c, below in sorted(node.items()) if c]
+        inner = ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+        return "" if not ways else f"(?:{inner})?" if "" in node else inner
+
+    return f"(?=({written(trie)}))" if trie else "(?!)()"
+
+
+def words_in(docs: DataFrame, words: list[str], text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(id, word): each of ``words`` (a lexicon of bounded size) that a text holds, found in one pass over it."""
+    distinct = sorted({w for w in words if w})
+    inner = [(w, v) for w in distinct for v in {w[i:j] for i in range(len(w)) for j in range(i + 1, len(w) + 1)} & set(distinct)]
+    held = docs.sparkSession.createDataFrame(inner or [("", "")], "__found string, word string")  # what else stands in each word
+    found = docs.select(id, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(word_pattern(distinct)), F.lit(1)))).alias("__found")).filter("__found <> ''")
+    return found.join(F.broadcast(held), "__found").select(id, "word").distinct()
+
+
 def link_entities(docs: DataFrame, aliases: DataFrame, sectors: DataFrame | None = None) -> DataFrame:
     """(doc_id, entity, confidence, basis): entities whose alias stands in the text (the longest, once each); else by words of their sector.
 
-    ``aliases`` (entity, alias, exact) and ``sectors`` (entity, word) are dimension tables.
+    ``aliases`` (entity, alias, exact) and ``sectors`` (entity, word) are lexicons: dimensions that the driver may hold.
     """
-    met = docs.join(F.broadcast(aliases), F.contains(docs["text"], aliases["alias"]))
-    best = met.groupBy("doc_id", "entity").agg(F.min_by(F.struct("alias", "exact"), F.struct(-F.length("alias"), "alias")).alias("m"))
+    named = words_in(docs, [r["alias"] for r in aliases.select("alias").distinct().collect()]).withColumnRenamed("word", "alias").join(F.broadcast(aliases), "alias")
+    best = named.groupBy("doc_id", "entity").agg(F.min_by(F.struct("alias", "exact"), F.struct(-F.length("alias"), "alias")).alias("m"))
     direct = best.select("doc_id", "entity", F.when(F.col("m.exact"), 0.98).otherwise(0.95).alias("confidence"), F.col("m.alias").alias("basis"))
     if sectors is None:
         return direct
-    rest = docs.join(direct.select("doc_id").distinct(), "doc_id", "left_anti")
-    theme = rest.join(F.broadcast(sectors), F.contains(rest["text"], sectors["word"])).groupBy("doc_id", "entity").agg(F.min("word").alias("basis"))
+    found = words_in(docs, [r["word"] for r in sectors.select("word").distinct().collect()]).join(direct.select("doc_id").distinct(), "doc_id", "left_anti")
+    theme = found.join(F.broadcast(sectors), "word").groupBy("doc_id", "entity").agg(F.min("word").alias("basis"))
     return direct.unionByName(theme.select("doc_id", "entity", F.lit(0.91).alias("confidence"), "basis"))
 
 

@@ -80,12 +80,43 @@ def return_rules(events: DataFrame, least_terms: int = 2, most_terms: int = 3, l
     by_document = spread.groupBy("conditions", "doc_id").agg(F.avg("excess").alias("r"), F.avg("evidence").alias("e"), F.max(half_year(F.col("event_time"))).alias("half"))
     means = by_document.groupBy("conditions").agg(F.count(F.lit(1)).alias("support_count"), F.count_if(F.col("r") > 0).alias("positive_count"), F.avg("r").alias("avg_return"), F.coalesce(F.avg("e"), F.lit(0.0)).alias("avg_evidence"))
     halves = by_document.groupBy("conditions", "half").agg(F.avg("r").alias("m")).groupBy("conditions").agg(F.count(F.lit(1)).alias("period_count"), F.count_if(F.col("m") > 0).alias("positive_period_count"))
-    breadth = spread.groupBy("conditions").agg(F.count_distinct("entity").alias("entity_count"), F.count_distinct("event_time").alias("date_count"))
+    breadth = spread.groupBy("conditions").agg(F.count_distinct("entity").alias("entity_count"), F.count_distinct("event_time").alias("date_count"), F.count(F.lit(1)).alias("covered"), F.sum(F.xxhash64("event_id").cast("decimal(38,0)")).alias("cover"))
     met = means.filter(F.col("support_count") >= least_documents).join(halves, "conditions").join(breadth, "conditions").crossJoin(F.broadcast(whole))
     parts = rule_score(F.col("positive_count"), F.col("support_count"), F.col("avg_return"), F.col("all_mean"), F.col("all_scale"), F.col("positive_period_count"), F.col("period_count"), F.col("support_count"), F.col("entity_count"), F.col("avg_evidence"), F.size("conditions"))
     return met.withColumn("components", parts).withColumn("score", F.col("components.score"))
 
 
+#: What a return rule needs to qualify, and how many qualified ones are kept.
+LEAST_SUPPORT, LEAST_WIN_RATE, LEAST_RETURN, LEAST_EVIDENCE, LEAST_ENTITIES, LEAST_DATES, MOST_QUALIFIED = 5, 0.50, 0.0, 0.75, 5, 5, 12
+
+
+def select_rules(rules: DataFrame, most: int = MOST_QUALIFIED, least_evidence: float = LEAST_EVIDENCE) -> DataFrame:
+    """Rules of ``return_rules`` with status and rule_id, best first: qualified ones, then by score and support; of rules that cover the same events the first.
+
+    The list ends with the ``most``-th qualified rule.  If none qualifies, it is the first ``most`` candidates, whatever they cover.  A rulebook is a dimension.
+    """
+    good = (F.col("support_count") >= LEAST_SUPPORT) & (F.col("positive_count") / F.col("support_count") >= LEAST_WIN_RATE) & (F.col("avg_return") >= LEAST_RETURN)
+    good = good & (F.col("avg_evidence") >= least_evidence) & (F.col("entity_count") >= LEAST_ENTITIES) & (F.col("date_count") >= LEAST_DATES)
+    order = [F.desc("__q"), F.desc("score"), F.desc("support_count"), F.size("conditions"), "conditions"]
+    # equal sets of events have the same size and the same sum of their ids' hashes
+    ranked = rules.withColumn("__q", good.cast("int")).withColumn("__first", F.row_number().over(W.partitionBy("covered", "cover").orderBy(*order)) == 1).withColumn("__any", F.max("__q").over(W.partitionBy()))
+    kept = ranked.filter(F.col("__first") | (F.col("__any") == 0))
+    before = F.coalesce(F.sum("__q").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = kept.withColumns({"__b": before, "__i": F.row_number().over(W.orderBy(*order))})
+    chosen = numbered.filter(F.when(F.col("__any") == 1, F.col("__b") < most).otherwise(F.col("__i") <= most))
+    return chosen.withColumns({"rule_id": F.format_string("R%03d", "__i"), "status": F.when(F.col("__q") == 1, "qualified").otherwise("candidate")}).drop("__q", "__first", "__any", "__b", "__i", "cover")
+
+
+def rule_diagnostics(rules: DataFrame, events: DataFrame, until: str, since: str, least_terms: int = 2, most_terms: int = 3) -> DataFrame:
+    """(rule_id, discovery_documents, discovery_dates, discovery_entities, discovery_return, oos_documents, oos_return): what a rule's events did up to ``until`` and from ``since``."""
+    spread = events.withColumn("conditions", F.explode(combinations(F.col("names"), most_terms, least_terms))).join(F.broadcast(rules.select("rule_id", "conditions")), "conditions")
+    early, late = F.col("event_time") <= F.lit(until).cast("date"), F.col("event_time") >= F.lit(since).cast("date")
+    documents = spread.groupBy("rule_id", "doc_id").agg(F.avg(F.when(early, F.col("excess"))).alias("a"), F.avg(F.when(late, F.col("excess"))).alias("b"))
+    means = documents.groupBy("rule_id").agg(F.count("a").alias("discovery_documents"), F.coalesce(F.avg("a"), F.lit(0.0)).alias("discovery_return"), F.count("b").alias("oos_documents"), F.coalesce(F.avg("b"), F.lit(0.0)).alias("oos_return"))
+    breadth = spread.filter(early).groupBy("rule_id").agg(F.count_distinct("event_time").alias("discovery_dates"), F.count_distinct("entity").alias("discovery_entities"))
+    return means.join(breadth, "rule_id", "left").na.fill(0, ["discovery_dates", "discovery_entities"])
+
+
 def rule_matches(conditions: Column, values: Column, least: float = 0.5) -> Column:
     """All of a rule's conditions (``a AND b``) reach ``least`` in a map of predicate scores."""
     return F.forall(F.split(conditions, " AND "), lambda c: F.coalesce(F.element_at(values, F.trim(c)), F.lit(0.0)) >= least)

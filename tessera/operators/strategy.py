@@ -126,3 +126,22 @@ def settle(decisions: DataFrame, main: DataFrame, bars: DataFrame) -> DataFrame:
         .when(F.col("exit_date").isNull(), "exit_pending").when(F.col("entry_open").isNull() | F.col("exit_open").isNull(), "contract_bar_missing").otherwise("settled")
     )
     return met.withColumn("settlement", reason).withColumn("market_open_return", F.when(F.col("settlement") == "settled", F.col("exit_open") / F.col("entry_open") - 1))
+
+
+def quarterly_increments(rows: DataFrame, base: str, other: str, per_year: int = YEAR) -> DataFrame:
+    """(quarter, observations, annualized_difference) of the days that both strategies have."""
+    days = paired_differences(rows, base, other)
+    quarter = F.concat(F.year("trade_date").cast("string"), F.lit("Q"), F.quarter("trade_date").cast("string"))
+    return days.groupBy(quarter.alias("quarter")).agg(F.count(F.lit(1)).alias("observations"), (F.avg("difference") * per_year).alias("annualized_difference"))
+
+
+def weight_grid(trend: DataFrame, text: DataFrame, returns: DataFrame, weights: list[float], until: str, since: str, cost_bps: float = 5.0) -> DataFrame:
+    """Metrics of the additive strategy for each weight on days after ``since`` up to ``until``, and which weight is chosen: the largest Sharpe ratio, then the smaller weight.
+
+    ``trend``: day_idx, trend_score; ``text``: day_idx, active_text_score.  Positions and returns after ``until`` aren't read.
+    """
+    own = trend.join(text, "day_idx").select("day_idx", *[additive(F.col("trend_score"), F.col("active_text_score"), w).alias(f"w{i}") for i, w in enumerate(weights)])
+    rows = strategy_rows(own, returns.filter(F.col("trade_date") <= F.lit(until).cast("date")), [f"w{i}" for i in range(len(weights))], [cost_bps])
+    metrics = strategy_metrics(rows.filter(F.col("trade_date") > F.lit(since).cast("date")), ["strategy"])
+    named = metrics.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), F.substring("strategy", 2, 10).cast("int"))).drop("strategy")
+    return named.withColumn("chosen", F.row_number().over(W.orderBy(F.desc("sharpe"), "weight")) == 1)  # a row for each weight

@@ -62,6 +62,14 @@ text_scores AS (
   FROM main m LEFT JOIN placed p ON p.day_idx BETWEEN m.day_idx - 4 AND m.day_idx GROUP BY 1)"""
 
 
+def _scores(spark: SparkSession, sf_dir: str):
+    """(day_idx, trend_score, active_text_score) of each day, and returns."""
+    b, m, ret = _parts(spark, sf_dir)
+    trend = strategy.trend_scores(market.same_contract_momentum(m, b, [20]), "1999-01-01", VALIDATION_END).filter("day_idx >= 20")
+    text = strategy.decayed_text_scores(_text_events(spark, sf_dir, m), m)
+    return trend.select("day_idx", "trend_score").join(text, "day_idx"), ret
+
+
 def _positions(spark: SparkSession, sf_dir: str):
     b, m, ret = _parts(spark, sf_dir)
     momentum = market.same_contract_momentum(m, b, [20])

@@ -84,9 +84,9 @@ def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dup_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as new documents against pages: every link's first page."""
+    """Pages as new documents against pages; every second one comes without its link."""
     pages = v.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))
-    return retrieval.probe_duplicate(pages, pages).select("doc_id", "duplicate_of", "duplicate_by")
+    return retrieval.probe_duplicate(pages.withColumn("url", F.when(F.col("doc_id") % 2 == 0, F.col("url"))), pages).select("doc_id", "duplicate_of", "duplicate_by")
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,10 +107,10 @@ s AS (SELECT q.vec_id AS query_id, p.vec_id, p.label, sum(q.z * p.z) AS similari
 
 
 def sparse_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test items against test items by their character grams."""
+    """Test items whose id is divisible by 100 against all by their character grams."""
     items = v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     grams = retrieval.gram_counts(items)
-    out = retrieval.sparse_cosine(grams.filter("doc_id < 10"), grams)
+    out = retrieval.sparse_cosine(grams.filter("doc_id % 100 = 0"), grams)
     return out.select("left_id", "right_id", r(F.col("cosine")).alias("cosine"))
 
 
@@ -126,7 +126,8 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = v.table(spark, sf_dir, "benchmark").select("item_id", html.text_vector("text").alias("vector"))
-    return items.select("item_id", F.size("vector").alias("dims"), r(retrieval.dot(F.col("vector"), F.col("vector"))).alias("length_squared"))
+    shown = F.array_join(F.transform("vector", lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",")
+    return items.select("item_id", F.size("vector").alias("dims"), F.size(F.filter("vector", lambda x: x != 0)).alias("used"), F.sha2(shown, 256).alias("digest"))
 
 
 def burst_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,12 +210,17 @@ def ledger_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frozen_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts of frozen prefixes, and whether they still have their digests after the table grew."""
-    orders = v.table(spark, sf_dir, "orders")
-    before = ledger.freeze({"orders": (orders, "o_orderdate")}, "1998-12-31")
-    grown = orders.unionByName(orders.limit(0))
-    now = ledger.freeze({"orders": (grown.repartition(5), "o_orderdate")}, "1998-12-31")
-    return before.join(now.select("name", F.col("digest").alias("now")), "name").select("name", "rows", (F.col("digest") == F.col("now")).alias("unchanged"))
+    """Orders up to 1996 are frozen under three names; then one table grows behind the day, rows of another change, and a third loses some: what no longer agrees."""
+    orders, until = v.table(spark, sf_dir, "orders"), "1996-12-31"
+    frozen = F.col("o_orderdate").cast("date") <= F.lit(until).cast("date")
+    later = orders.withColumns({"o_orderkey": F.col("o_orderkey") + 100_000_000, "o_orderdate": F.date_add(F.col("o_orderdate").cast("date"), 3000).cast(orders.schema["o_orderdate"].dataType)})
+    now = {
+        "grown": orders.unionByName(later.select(*orders.columns)).repartition(5),
+        "edited": orders.withColumn("o_totalprice", F.when((F.col("o_orderkey") % 100 == 0) & frozen, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))),
+        "cut": orders.filter("o_orderkey % 100 <> 1"),
+    }
+    manifest = ledger.freeze({name: (orders, "o_orderdate") for name in now}, until)
+    return ledger.changed(manifest, ledger.freeze({name: (df, "o_orderdate") for name, df in now.items()}, until))
 
 
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,13 +263,13 @@ SQL = {
     "text_fingerprint_dedup": f"WITH {DATED}, x AS (SELECT doc_id, publish_time, sha256({_NORMAL}) AS fingerprint FROM dated) SELECT arg_min(doc_id, {{'a': publish_time, 'b': doc_id}}) AS doc_id, min(publish_time) AS publish_time, fingerprint FROM x GROUP BY fingerprint",
     "near_dup_probe": f"""WITH {_URLS}, p AS (SELECT page_id AS doc_id, normal_url, lower(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '[^0-9a-zA-Z\\x{{4e00}}-\\x{{9fff}}]+', '', 'g')) AS t FROM pages JOIN urls USING (page_id)),
 a AS (SELECT normal_url, min(doc_id) AS by_url FROM p WHERE normal_url <> '' GROUP BY 1), b AS (SELECT t, min(doc_id) AS by_title FROM p WHERE length(t) >= 12 GROUP BY 1)
-SELECT doc_id, coalesce(by_url, by_title) AS duplicate_of, CASE WHEN by_url IS NOT NULL THEN 'url' WHEN by_title IS NOT NULL THEN 'title' ELSE 'new' END AS duplicate_by FROM p LEFT JOIN a USING (normal_url) LEFT JOIN b USING (t)""",
+SELECT doc_id, coalesce(by_url, by_title) AS duplicate_of, CASE WHEN by_url IS NOT NULL THEN 'url' WHEN by_title IS NOT NULL THEN 'title' ELSE 'new' END AS duplicate_by FROM p LEFT JOIN a ON p.normal_url = a.normal_url AND doc_id % 2 = 0 LEFT JOIN b USING (t)""",
     "cosine_topk": f"WITH {_COSINE} SELECT query_id, rank::INTEGER AS rank, vec_id, round(similarity, 6) + 0.0 AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 3",
     "label_contexts": f"WITH {_COSINE} SELECT query_id, label, vec_id, round(similarity, 6) + 0.0 AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 1",
     "sparse_cosine": f"""WITH t AS (SELECT item_id, {_NORMAL} AS t FROM benchmark),
 g AS (SELECT item_id, unnest(list_concat(list_transform(range(1, length(t)), lambda i: t[i:i + 1]), list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2]))) AS gram FROM t),
 c AS (SELECT item_id, gram, count(*) AS n FROM g GROUP BY 1, 2), w AS (SELECT item_id, gram, n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS w FROM c)
-SELECT a.item_id AS left_id, b.item_id AS right_id, round(sum(a.w * b.w), 6) + 0.0 AS cosine FROM w a JOIN w b ON a.gram = b.gram AND a.item_id <> b.item_id WHERE a.item_id < 10 GROUP BY 1, 2""",
+SELECT a.item_id AS left_id, b.item_id AS right_id, round(sum(a.w * b.w), 6) + 0.0 AS cosine FROM w a JOIN w b ON a.gram = b.gram AND a.item_id <> b.item_id WHERE a.item_id % 100 = 0 GROUP BY 1, 2""",
     "text_lengths_of_sentences": "SELECT lang, count(*) AS documents, sum(len(list_filter(list_transform(string_split(regexp_replace(text, '([。！？!?；;])', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '')))::BIGINT AS sentences FROM documents GROUP BY lang",
     "burst_window": """WITH c AS (SELECT user_id AS entity, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT entity, day::VARCHAR AS day, n, (sum(n) OVER (PARTITION BY entity ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW))::BIGINT AS last_7, coalesce(sum(n) OVER (PARTITION BY entity ORDER BY day RANGE BETWEEN INTERVAL 36 DAYS PRECEDING AND INTERVAL 7 DAYS PRECEDING), 0)::BIGINT AS before_30 FROM c""",
@@ -286,7 +292,8 @@ SELECT problem, count(*) AS n FROM (SELECT 'no_audit_row' AS problem FROM x WHER
 SELECT 'immutable_field_changed' AS conflict, count(*) AS n FROM inc SEMI JOIN held USING (id) WHERE id % 20 = 0
 UNION ALL SELECT 'second_id_for_owner', count(DISTINCT i.id) FROM inc i JOIN held h ON h.owner = i.owner AND h.id <> i.id
 UNION ALL SELECT 'appended', count(*) FROM inc ANTI JOIN held USING (id)""",
-    "frozen_prefix": "SELECT 'orders' AS name, count(*) AS rows, true AS unchanged FROM orders WHERE o_orderdate::DATE <= DATE '1998-12-31'",
+    "frozen_prefix": """WITH f AS (SELECT count(*) AS frozen_rows, count(*) FILTER (o_orderkey % 100 = 0) AS edits, count(*) FILTER (o_orderkey % 100 = 1) AS cuts FROM orders WHERE o_orderdate::DATE <= DATE '1996-12-31')
+SELECT 'edited' AS name, frozen_rows, frozen_rows AS rows_now FROM f WHERE edits > 0 UNION ALL SELECT 'cut', frozen_rows, frozen_rows - cuts FROM f WHERE cuts > 0""",
     "upserted": """WITH inc AS (SELECT CASE WHEN c_custkey % 8 = 0 THEN c_custkey + 10000000 ELSE c_custkey END AS doc_id, 'NEW' AS segment FROM customer WHERE c_custkey % 4 = 0),
 u AS (SELECT c_custkey AS doc_id, c_mktsegment AS segment FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM inc) UNION ALL SELECT * FROM inc)
 SELECT segment, count(*) AS n, max(doc_id) AS last_id FROM u GROUP BY 1""",
