@@ -147,3 +147,8 @@ def link_class(url: Column, classes: list[tuple[str, str]], default: str = "othe
 
 def is_web_url(url: Column) -> Column:
     return F.coalesce(url.rlike(r"^https?://[^/]+"), F.lit(False))
+
+
+def first_snippets(text: Column, most: int = 12) -> Column:
+    """The first distinct sentences of a text, as they stand there."""
+    return F.slice(F.array_distinct(sentences(text)), 1, most)

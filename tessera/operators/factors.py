@@ -96,3 +96,23 @@ def burst(events: DataFrame, entity: str = "entity", day: str = "day") -> DataFr
     w = W.partitionBy(entity).orderBy("__d")
     both = {"last_7": F.sum("n").over(w.rangeBetween(-6, 0)), "before_30": F.coalesce(F.sum("n").over(w.rangeBetween(-36, -7)), F.lit(0))}
     return counts.withColumns(both).drop("__d")
+
+
+def dense_panel(factors: DataFrame, returns: DataFrame, entity: str = "entity", day: str = "trade_date", factor: str = "factor_value", value: str = "excess") -> DataFrame:
+    """(day, entity, factor, value) for every entity with a return on a day on which any entity has a factor; 0 where it has none, the sum where it has several."""
+    days = factors.select(day).distinct()
+    sums = factors.groupBy(day, entity).agg(F.sum(factor).alias(factor))
+    return returns.select(day, entity, value).join(days, day, "left_semi").join(sums, [day, entity], "left").select(day, entity, F.coalesce(factor, F.lit(0.0)).alias(factor), value)
+
+
+def cohort_rank(value: str, keys: list[str]) -> Column:
+    """Place of a value between its cohort's least and largest, from 0 to 1; 0.5 in a cohort without spread."""
+    w = W.partitionBy(*keys)
+    low, high = F.min(value).over(w), F.max(value).over(w)
+    return F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(0.5)
+
+
+def dominant(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """The most frequent value of each group; of several the one that comes first by ``order``."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("__first"))
+    return counts.groupBy(*keys).agg(F.max_by(F.struct(value, "n"), F.struct("n", -F.col("__first"))).alias("__b")).select(*keys, f"__b.{value}", "__b.n")

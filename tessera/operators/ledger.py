@@ -62,3 +62,11 @@ def append_new(ledger: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "doc_id") -> DataFrame:
     """Existing rows, replaced by incoming ones of the same key, and new ones."""
     return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming)
+
+
+def reveal(manifest: DataFrame, now: DataFrame, revealed: DataFrame) -> None:
+    """Allow one reveal of held-back results: fails if any frozen input has changed, or if a result was revealed before (``revealed`` has rows)."""
+    if revealed.limit(1).count():
+        raise ValueError("the result was revealed before")
+    if names := [r["name"] for r in changed(manifest, now).select("name").orderBy("name").collect()]:  # a row for each frozen table
+        raise ValueError("frozen inputs have changed: " + ", ".join(names))

@@ -49,6 +49,11 @@ def same_contract_momentum(main: DataFrame, bars: DataFrame, horizons: list[int]
     return out
 
 
+def continuous_momentum(main: DataFrame, horizons: list[int]) -> DataFrame:
+    """momentum_{h}d over the continuous closes: for histories that come without bars of single contracts."""
+    return main.select("day_idx", "trade_date", "contract", "close", *[(F.col("close") / F.lag("close", h).over(_by_day()) - 1).alias(f"momentum_{h}d") for h in horizons])
+
+
 def forward_labels(documents: DataFrame, main: DataFrame, bars: DataFrame, horizon: int = 5, threshold: float = 0.01, day: str = "publish_time") -> DataFrame:
     """Open-to-open return of ``horizon`` trading days from the first day after publication, in the contract that was main the day before.
 

@@ -154,3 +154,13 @@ def concentration(df: DataFrame, block: str, value: str) -> DataFrame:
     """Largest block's share of all positive improvement; 1 without any."""
     blocks = df.groupBy(block).agg(F.sum(value).alias("s")).select(F.greatest("s", F.lit(0.0)).alias("s"))
     return blocks.agg(F.when(F.sum("s") > 0, F.max("s") / F.sum("s")).otherwise(1.0).alias("concentration"))
+
+
+def contributions(df: DataFrame, model: Linear, keys: list[str], top: int = 8, z_clip: float | None = None) -> DataFrame:
+    """(keys, feature, contribution, rank): the features that move each row's prediction most, by absolute contribution, then name."""
+    parts = []
+    for name, b, m, s in zip(model.features, model.coefficients, model.means, model.scales):
+        z = (F.col(name) - m) / s
+        parts.append(F.struct((b * (clip(z, -z_clip, z_clip) if z_clip else z)).alias("contribution"), F.lit(name.strip("`")).alias("feature")))
+    ordered = F.array_sort(F.transform(F.array(*parts), lambda p: F.struct(-F.abs(p["contribution"]), p["feature"], p["contribution"].alias("contribution"))))
+    return df.select(*keys, F.posexplode(F.slice(ordered, 1, top)).alias("rank", "p")).select(*keys, "p.feature", "p.contribution", (F.col("rank") + 1).alias("rank"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import period_end
+from tessera.functions import text
 from tessera.functions.numbers import rounded as r
-from tessera.operators import annotation, corpus, events, routes, rules, strategy
+from tessera.operators import annotation, corpus, events, factors, market, routes, rules, strategy
 from tessera.plans import market_queries, rule_queries
 from tessera.plans import views as v
 from tessera.plans.text_queries import _NORMAL_URL, _long_features
@@ -176,11 +177,39 @@ def fact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.fact_documents(series, DISCOVERY_END, "shipped").select("doc_id", "title", "content", "publish_time")
 
 
+def continuous_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.continuous_momentum(v.main(spark, sf_dir), [20]).select("day_idx", r(F.col("momentum_20d")).alias("momentum_20d"))
+
+
+def dense_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' months with a large discount as factors, on all suppliers' bars."""
+    bars = v.entity_bars(spark, sf_dir)
+    known = bars.filter("factor >= 0.06").select("trade_date", "entity", F.col("factor").alias("factor_value"))
+    out = factors.dense_panel(known, bars.select("trade_date", "entity", (F.col("close") / F.col("open") - 1).alias("excess")))
+    return out.select("trade_date", "entity", r(F.col("factor_value")).alias("factor_value"), r(F.col("excess")).alias("excess"))
+
+
+def cohort_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = v.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", r(factors.cohort_rank("n_chars", ["lang", "source"])).alias("place"))
+
+
+def dominant_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent event type of each user."""
+    events_ = v.table(spark, sf_dir, "events")
+    return factors.dominant(events_.select("user_id", "event_type", "event_id"), ["user_id"], "event_type", "event_id")
+
+
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = v.table(spark, sf_dir, "documents").select("doc_id", text.first_snippets(F.col("text"), 3).alias("s"))
+    return docs.select("doc_id", F.size("s").alias("n"), F.array_join("s", "|").alias("snippets"))
+
+
 QUERIES = {
     q.__name__: q
-    for q in (selected_rules, rule_diagnostics, quarterly_increment, weight_grid, assembled_corpus, fact_documents, research_predicates, document_links, event_rows, frozen_rules_matched, candidate_scores, signed_fusion, signed_validation, learnable_documents, route_rows, route_comparison, simple_baselines)
+    for q in (continuous_momentum, dense_factors, cohort_ranks, dominant_types, snippets, selected_rules, rule_diagnostics, quarterly_increment, weight_grid, assembled_corpus, fact_documents, research_predicates, document_links, event_rows, frozen_rules_matched, candidate_scores, signed_fusion, signed_validation, learnable_documents, route_rows, route_comparison, simple_baselines)
 }
-DATES = {"route_rows": ["period_end"], "simple_baselines": ["period_end"], "assembled_corpus": ["publish_time"], "fact_documents": ["publish_time"]}
+DATES = {"route_rows": ["period_end"], "simple_baselines": ["period_end"], "assembled_corpus": ["publish_time"], "fact_documents": ["publish_time"], "dense_factors": ["trade_date"]}
 
 
 def _first(text: str, words: tuple[str, ...]) -> str:
@@ -220,6 +249,12 @@ _NUM = lambda c: f"regexp_replace(printf('%.6f', ({c})::DOUBLE), '\\.?0+$', '')"
 _MOVED = f"CASE WHEN change > 0 THEN 'rose by ' || {_NUM('change')} WHEN change < 0 THEN 'fell by ' || {_NUM('-change')} ELSE 'is unchanged' END"
 
 SQL = {
+    "continuous_momentum": f"WITH {v.MAIN} SELECT day_idx::INTEGER AS day_idx, round(close / lag(close, 20) OVER (ORDER BY trade_date) - 1, 6) + 0.0 AS momentum_20d FROM main",
+    "dense_factors": f"WITH {v.ENTITY_BARS} SELECT trade_date, entity, round(CASE WHEN factor >= 0.06 THEN factor ELSE 0 END, 6) + 0.0 AS factor_value, round(close / open - 1, 6) + 0.0 AS excess FROM ebars WHERE trade_date IN (SELECT trade_date FROM ebars WHERE factor >= 0.06)",
+    "cohort_ranks": "WITH x AS (SELECT doc_id, n_chars, min(n_chars) OVER w AS a, max(n_chars) OVER w AS b FROM documents WINDOW w AS (PARTITION BY lang, source)) SELECT doc_id, round(CASE WHEN b > a THEN (n_chars - a) / (b - a) ELSE 0.5 END, 6) + 0.0::DOUBLE AS place FROM x",
+    "dominant_types": "SELECT user_id, arg_min(event_type, {'a': -n, 'b': first}) AS event_type, max(n) AS n FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1, 2) GROUP BY 1",
+    "snippets": """WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([。！？!?；;])', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '') AS s FROM documents),
+d AS (SELECT doc_id, list_filter(s, lambda x, i: list_position(s, x) = i)[1:3] AS s FROM s) SELECT doc_id, len(s)::INTEGER AS n, array_to_string(s, '|') AS snippets FROM d""",
     "selected_rules": f"""{_COMBOS_WITH_ID}{_EVENT_SETS}, scored AS (SELECT x.*, s.covered, s.cover, (x.support_count >= 5 AND positive_count / x.support_count >= 0.5 AND x.avg_return >= 0 AND x.ev >= 0.3 AND entity_count >= 5 AND date_count >= 5)::INT AS q, f.score, string_split(x.conditions, ' AND ') AS names
   FROM x JOIN sets s USING (conditions) JOIN (SELECT conditions, score FROM (SELECT conditions, support_count{_RULE_SCORE})) f USING (conditions)),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY covered, cover ORDER BY q DESC, score DESC, support_count DESC, terms, names) = 1 AS is_first, max(q) OVER () AS has_good FROM scored),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tessera.functions import lexicon
-from tessera.operators import annotation, corpus, events, routes, rules
+from tessera.operators import annotation, corpus, events, ledger, models, routes, rules
 
 DOC = "doc_id string, source_type string, source_name string, title string, content string, publish_time date"
 DAY = date(2026, 1, 5)
@@ -142,3 +142,19 @@ def test_routes_against_numpy(spark):
     assert out["text_coverage"] == 1.0 and out["mae"] < out["base_mae"] and out["qualified"]
     chosen = routes.choose_route(routes.compare_routes(rows, features.unionByName(features.withColumn("route", F.lit("rules"))), ["base", "rules"]), routes.with_text(rows, features, ["t.x"]), "base").first()
     assert chosen["selected_route"] == "rules" and chosen["data_sufficient"]
+
+
+def test_reveal_is_guarded(spark):
+    manifest, other = (spark.createDataFrame([("t", 1, d)], "name string, rows long, digest string") for d in ("a", "b"))
+    none = spark.createDataFrame([], "x int")
+    ledger.reveal(manifest, manifest, none)
+    with pytest.raises(ValueError, match="changed: t"):
+        ledger.reveal(manifest, other, none)
+    with pytest.raises(ValueError, match="before"):
+        ledger.reveal(manifest, manifest, spark.range(1))
+
+
+def test_contributions_by_size(spark):
+    model = models.Linear(("a", "b", "c"), (1.0, -5.0, 2.0), (0.0, 1.0, 0.0), (1.0, 1.0, 2.0), 0.5)
+    got = models.contributions(spark.createDataFrame([(1, 3.0, 2.0, 6.0)], "k int, a double, b double, c double"), model, ["k"], 2).collect()
+    assert [tuple(r) for r in got] == [(1, "c", 6.0, 1), (1, "b", -5.0, 2)]
