@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tessera.llm.common import pieces
+
 #: Words that a worker remembers; then a new memo starts, and the one before is kept for what it still serves.
 MEMO_WORDS = 400_000
 #: Longer pre-tokens (runs of one kind of character) aren't remembered, and are merged by a heap.
@@ -32,6 +34,8 @@ MEMO_CHARACTERS = 64
 #: Fixed value: the pre-token pattern of byte-level BPE (the vocabulary's published pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = 1 << 60
+#: Text whose tokens are held at once.
+SLICE_BYTES = 256 << 10
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,8 +56,9 @@ class ByteBPE:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.ids = vocabulary
-        #: Rank of the pair of adjacent parts a, b, under a * 65536 + b; the part that a rank makes.
-        self.rank = {vocabulary[x] << 16 | vocabulary[y]: i for i, (x, y) in enumerate((raw(x), raw(y)) for x, y in pairs)}
+        #: Bits of an id; rank of the pair of adjacent parts a, b, under a << bits | b; the part that a rank makes.
+        self.bits = max(vocabulary.values()).bit_length()
+        self.rank = {vocabulary[x] << self.bits | vocabulary[y]: i for i, (x, y) in enumerate((raw(x), raw(y)) for x, y in pairs)}
         self.made = [vocabulary[raw(x) + raw(y)] for x, y in pairs]
         self.byte = [vocabulary[bytes([i])] for i in range(256)]
         self.bytes_of = {v: k for k, v in vocabulary.items()} | {v: k.encode() for k, v in self.special.items()}
@@ -64,9 +69,9 @@ class ByteBPE:
 
     def word(self, word: bytes) -> tuple[int, ...]:
         """Token ids of one pre-token."""
-        rank, made = self.rank.get, self.made
+        rank, made, bits = self.rank.get, self.made, self.bits
         parts = [self.byte[c] for c in word]
-        ranks = [rank(a << 16 | b, _NONE) for a, b in zip(parts, parts[1:])]
+        ranks = [rank(a << bits | b, _NONE) for a, b in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == _NONE:
@@ -75,9 +80,9 @@ class ByteBPE:
             parts[i] = made[least]
             del parts[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank(parts[i] << 16 | parts[i + 1], _NONE)
+                ranks[i] = rank(parts[i] << bits | parts[i + 1], _NONE)
             if i:
-                ranks[i - 1] = rank(parts[i - 1] << 16 | parts[i], _NONE)
+                ranks[i - 1] = rank(parts[i - 1] << bits | parts[i], _NONE)
         return tuple(parts)
 
     def _plain(self, text: str, out: list[tuple[int, ...]]) -> None:
@@ -102,9 +107,9 @@ class ByteBPE:
         """As ``word``, with a heap of pairs: a run of thousands of bytes without a boundary costs n log n, not n * n."""
         from heapq import heapify, heappop, heappush
 
-        n, rank = len(word), self.rank
+        n, rank, bits = len(word), self.rank, self.bits
         part, end, before = [self.byte[c] for c in word], list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = lambda i: rank.get(part[i] << 16 | part[end[i]]) if end[i] < n else None
+        pair = lambda i: rank.get(part[i] << bits | part[end[i]]) if end[i] < n else None
         heap = [(r, i) for i in range(n) if (r := pair(i)) is not None]
         heapify(heap)
         while heap:
@@ -159,10 +164,8 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(content.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            for first in range(0, len(texts), 256):
-                part = batch.slice(first, 256)
-                rows = [bpe.encode(t or "") for t in texts.slice(first, 256).to_pylist()]
+            for part in pieces(iter([batch]), text, SLICE_BYTES):
+                rows = [bpe.encode(t or "") for t in part.column(part.schema.get_field_index(text)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(pa.int32()))], names=[*part.schema.names, ids])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
