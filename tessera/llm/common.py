@@ -13,8 +13,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text handled at once by a kernel; keeps a task's temporary arrays near 50 MB.
-CHUNK_BYTES = 2 << 20
+#: Text handled at once by a kernel; keeps a task's temporary arrays near 25 MB.
+CHUNK_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -76,6 +76,14 @@ def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it needs not to be a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n + 1 offsets into them; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

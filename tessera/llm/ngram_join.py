@@ -49,7 +49,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, often_and_seldom, pieces, text_buffer
+from tessera.llm.common import free_name, materialise, often_and_seldom, pieces, text_buffer
 from tessera.llm.components import connected_components
 from tessera.llm.words import LOWER, SPACE, find_words, hash_windows, hash_words, mix, windows
 
@@ -468,8 +468,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row for each component: that of its smallest id; rows with a null id and texts without words stay."""
-    kept = components(docs, key, text).filter(F.col("component_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(kept, docs[key].cast("long") == F.col("__gone"), "left_anti")
+    name = free_name(docs, "__gone")
+    gone = components(docs, key, text).filter(F.col("component_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[key].cast("long") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

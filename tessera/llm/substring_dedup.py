@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, pieces, text_buffer
+from tessera.llm.common import free_name, materialise, pieces, text_buffer
 from tessera.llm.words import SPACE, find_words, gather, hash_windows, hash_words, windows
 
 WINDOW, MINIMISER = 20, 4
 #: Packed text in a bucket, about, and in what a task collects before it sends.
-BUCKET_BYTES, SEND_BYTES = 24 << 20, 16 << 20
+BUCKET_BYTES, SEND_BYTES = 10 << 20, 8 << 20
 #: At most so many hot minimisers are told to the tasks (16 bytes each).
 MOST_HOT = 1 << 20
 _MARKS = "doc_id long, print long, start int, n int, digest binary"
@@ -278,15 +278,17 @@ def kept_words(text: str | None, runs: list[dict] | None) -> tuple[list[bytes],
 
 
 def _with_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    found = removals(docs, key, text).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("runs").alias("__runs"))
-    return docs.join(found, (docs[key].cast("long") == F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__print")), "left").drop("__id", "__print")
+    """``docs`` with a last column of runs."""
+    own, prints, runs = (free_name(docs, n) for n in ("__id", "__print", "__runs"))
+    found = removals(docs, key, text).select(F.col("doc_id").alias(own), F.col("print").alias(prints), F.col("runs").alias(runs))
+    return docs.join(found, (docs[key].cast("long") == F.col(own)) & (F.xxhash64(docs[text]) == F.col(prints)), "left").drop(own, prints)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the kept words, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text):
             n, gone, sha = [], [], []
             for value, runs in zip(batch.column(1), batch.column(2)):
                 kept, words = kept_words(value.as_py(), runs.as_py())
@@ -303,7 +305,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """``docs`` with repeated windows removed: a text that loses words is its kept words joined by one space; one that loses all goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text):
             t = batch.schema.get_field_index(text)
             out, stays = [], []
             for value, runs in zip(batch.column(t).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):

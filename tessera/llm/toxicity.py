@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces, text_buffer
+from tessera.llm.common import free_name, pieces, text_buffer
 from tessera.llm.quality import held_out, training_features
 from tessera.llm.words import LOOSE, LOWER, find_words, gather, hash_words
 
@@ -97,7 +97,7 @@ def _batches(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, y: np.ndarra
     for start in range(0, len(order), BATCH):
         own = order[start : start + BATCH]
         at, back, times = np.unique(gather(flat, begin[own], size[own]), return_inverse=True, return_counts=True)
-        out.append(_Batch(at, back, times, np.repeat(np.arange(len(own)), size[own]), y[own]))
+        out.append(_Batch(at.astype(np.int32), back.astype(np.int32), times, np.repeat(np.arange(len(own), dtype=np.int32), size[own]), y[own]))
     return out
 
 
@@ -113,6 +113,7 @@ def fit(documents: list[np.ndarray], y: np.ndarray, seed: int = 0) -> Machine:
         return Machine(w0, np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
     size = np.array([len(d) for d in documents])
     places, flat, seen = np.unique(np.concatenate(documents), return_inverse=True, return_counts=True)
+    flat = flat.astype(np.int32)
     draw = np.random.default_rng(seed)
     order = draw.permutation(len(y))
     w, v = np.zeros(len(places)), draw.normal(0, SPREAD, (len(places), FACTORS))
@@ -122,7 +123,7 @@ def fit(documents: list[np.ndarray], y: np.ndarray, seed: int = 0) -> Machine:
             kept = alive[flat]
             ends = np.concatenate(([0], np.cumsum(kept)))
             size = np.diff(ends[np.concatenate(([0], np.cumsum(size)))])
-            places, flat, seen, w, v = places[alive], (np.cumsum(alive) - 1)[flat[kept]], seen[alive], w[alive], v[alive]
+            places, flat, seen, w, v = places[alive], (np.cumsum(alive, dtype=np.int32) - 1)[flat[kept]], seen[alive], w[alive], v[alive]
         batches = _batches(flat, np.cumsum(size) - size, size, y, order)
         w_squares, v_squares, w0_squares = np.full(len(places), 1e-3), np.full(len(places), 1e-3), 1e-3
         for _ in range(epochs):
@@ -148,7 +149,7 @@ def fit(documents: list[np.ndarray], y: np.ndarray, seed: int = 0) -> Machine:
                 moved = vi - step[:, None] * slopes
                 norm = np.sqrt((moved**2).sum(1))
                 v[b.at] = moved * (np.maximum(norm - step * share * factor_weight, 0) / np.maximum(norm, 1e-300))[:, None]
-    return Machine(w0, places, w.astype(np.float32), v.astype(np.float32))
+    return Machine(w0, places.astype(np.int64), w.astype(np.float32), v.astype(np.float32))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_ROWS) -> Machine:
@@ -157,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         return pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(place, pa.int32()))
 
     rows = training_features(docs, labels, label, most, features, "array<int>").toArrow()
-    return fit([np.asarray(x.values, dtype=np.int64) for x in rows.column("x")], np.asarray(rows.column("label"), dtype=float))
+    return fit([np.asarray(x.values) for x in rows.column("x")], np.asarray(rows.column("label"), dtype=float))
 
 
 def scored(docs: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:
@@ -182,7 +183,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.5, key: str =
 
 def reject(docs: DataFrame, machine: Machine, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't toxic, with their own columns."""
-    return scored(docs, machine, text, "__toxicity").filter(F.col("__toxicity") < threshold).drop("__toxicity")
+    name = free_name(docs, "__toxicity")
+    return scored(docs, machine, text, name).filter(F.col(name) < threshold).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,6 +298,36 @@ def test_bpe_agrees_with_the_library(spark):
     assert sums[1]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and sums[1]["n_tokens"] == len(ids)
 
 
+def test_bpe_ids_of_a_whole_table(spark, data):
+    from tokenizers import Tokenizer
+
+    library, rows = Tokenizer.from_file(VOCABULARY), {}
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        rows[r["doc_id"]] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    got = bpe.round_trip_digests(spark.read.parquet(f"{data}/documents.parquet"), VOCABULARY).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == rows and len(got) == len(rows)
+
+
+def test_bpe_decodes_odd_ids(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [None, 10_000_000, -1])], "doc_id long, token_ids array<int>")
+    assert [r["decoded"] for r in bpe.decode(df, VOCABULARY).orderBy("doc_id").collect()] == ["", "", ""]
+
+
+def test_bpe_with_ids_of_more_than_16_bits(tmp_path):
+    import json
+
+    spec = json.load(open(VOCABULARY))
+    top = max(spec["model"]["vocab"].values())
+    spec["model"]["vocab"] = {k: (i + 100_000 if i > 300 else i) for k, i in spec["model"]["vocab"].items()}
+    small, large, draw = bpe.ByteBPE(open(VOCABULARY).read()), bpe.ByteBPE(json.dumps(spec)), random.Random(4)
+    assert top < 1 << 16
+    for _ in range(100):
+        word = bytes(draw.choice(b"abcdethrs ") for _ in range(draw.randint(1, 40)))
+        want = tuple(i + 100_000 if i > 300 else i for i in small.word(word))
+        assert large.word(word) == want and large._long(word) == want
+
+
 def test_bpe_merges_long_and_short_words_alike():
     coder = bpe.ByteBPE(open(VOCABULARY).read())
     draw = random.Random(1)

@@ -67,3 +67,23 @@ def test_stages(spark, data):
             assert all(r["n_tokens"] == len(r["token_ids"]) for r in docs.collect()) and len(after) == len(before)
         before = after
     assert "corpus_pipeline" in sys.modules and corpus_pipeline.run(spark, data).count() == len(before)
+
+
+def test_stages_on_odd_tables(spark, data):
+    """Null and empty texts, null ids, repeated rows, columns with clashing names, and no rows at all."""
+    columns = "doc_id long, text string, lang string, source string, n_chars int, score double, component_id string, u string, `__toxicity` int"
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, None), (2, ""), (3, long), (3, long), (4, long + " tail"), (None, "some text of its own"), (None, None), (5, " \n\t"), (6, "few words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.5, "c", "u", 7) for i, t in rows], columns)
+    for name, stage in corpus_pipeline.STAGES:
+        before, empty = sorted(map(str, rows_of(docs))), stage(spark, docs.limit(0), data)
+        assert empty.count() == 0
+        docs = materialise(stage(spark, docs, data), "test")
+        after = sorted(map(str, rows_of(docs)))
+        if name == "ngram_join":  # of the two rows with id 3 and its near copy, the rows of the smallest id stay
+            assert after == [r for r in before if r != str((4, long + " tail"))]
+        elif name != "substring_dedup":
+            assert after == before
+        assert docs.columns[:9] == ["doc_id", "text", "lang", "source", "n_chars", "score", "component_id", "u", "__toxicity"]
+    out = {r["doc_id"]: r for r in docs.filter("doc_id IS NOT NULL").collect()}
+    assert out[6]["n_tokens"] == len(out[6]["token_ids"]) > 0 and out[1]["n_tokens"] == 0 and out[2]["n_tokens"] == 0
