@@ -99,10 +99,12 @@ def link_cascade(docs: DataFrame, pool: DataFrame, aliases: DataFrame, sector_wo
         named.join(F.broadcast(pool), "entity").join(read.select("doc_id", "title", "content"), "doc_id")
         .select("doc_id", "entity", "name", "sector", sure.alias("confidence"), F.concat(F.when(by_title(F.col("alias")), "title: ").otherwise("text: "), "alias").alias("evidence"), F.lit(0).alias("__step"), (-F.length("alias")).alias("__at"))
     )
+    direct = saved(direct)  # read twice, by what follows and by the result
     open_docs = read.filter(F.col("source_type").isin("policy", "news")).join(direct.select("doc_id").distinct(), "doc_id", "left_anti")
     is_policy = F.col("source_type") == "policy"
     steps = spark.createDataFrame([(s, w, i) for i, (s, w) in enumerate(sector_words)], "sector string, word string, at int")
     first_word = words_in(open_docs, [w for _, w in sector_words]).join(F.broadcast(steps), "word").groupBy("doc_id", "sector").agg(F.min_by("word", "at").alias("word"), F.min("at").alias("at"))
+    first_word = saved(first_word)
     by_sector = (
         first_word.join(open_docs.select("doc_id", "source_type"), "doc_id").join(F.broadcast(pool), "sector")
         .select("doc_id", "entity", "name", "sector", F.when(is_policy, words.SECTOR_LINK[0]).otherwise(words.SECTOR_LINK[1]).alias("confidence"), F.concat(F.lit("sector: "), "word").alias("evidence"), F.lit(1).alias("__step"), F.col("at").alias("__at"))
@@ -153,6 +155,7 @@ def relationship(text: Column, name: Column, step: Column) -> Column:
 
 def build_events(docs: DataFrame, links: DataFrame, type_of: Column | None = None) -> DataFrame:
     """One event for each link of a document that has an event type.  Numbers count all links, in the order of documents and their links, so they don't depend on types."""
+    links = saved(links)
     pressed = question_pressure(docs, links).withColumn("__pressed", F.lit(True))
     about = F.create_map(*[F.lit(x) for s, v in words.SECTORS.items() for x in (s, v[0])])
     path = F.create_map(*[F.lit(x) for s, v in words.SECTORS.items() for x in (s, v[1])])
