@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import period_end, period_start
+from tessera.operators.iterate import saved
 from tessera.operators.market import main_continuous
 
 #: Trading days up to which a bar counts as discovery or validation.
@@ -17,13 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of the contracts (return flag and line status) of line items: one aggregation, days times contracts rows."""
+    """Daily bars of the contracts (return flag and line status) of line items: one aggregation, whose days times contracts rows are written once for the plans that read them often."""
     lines = table(spark, sf_dir, "lineitem").select("l_shipdate", "l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     price, key = 10000 + F.col("l_extendedprice") / F.col("l_quantity") / 10, F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    return lines.groupBy(F.col("l_shipdate").cast("date").alias("trade_date"), F.concat("l_returnflag", "l_linestatus").alias("contract")).agg(
+    days = lines.groupBy(F.col("l_shipdate").cast("date").alias("trade_date"), F.concat("l_returnflag", "l_linestatus").alias("contract")).agg(
         F.min_by(price, key).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, key).alias("close"),
         F.sum("l_quantity").alias("volume"), F.count_distinct("l_orderkey").cast("double").alias("open_interest"),
     )
+    return saved(days)
 
 
 BARS = """bars AS (
