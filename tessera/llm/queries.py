@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat_format, decontamination, licenses, ngram_join, quality, substring_dedup, topk_search, toxicity, url_filter
+from tessera.llm import (
+    alignment, bpe, chat_format, decontamination, licenses, ngram_join, phrases, quality, simhash_trie, substring_dedup, topk_search, toxicity, url_filter,
+)
 from tessera.llm.common import scan
 
 
@@ -26,9 +28,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.query,
     "op9_licenses": licenses.query,
     "op10_chat_format": chat_format.query,
+    "op11_simhash": simhash_trie.query,
+    "op12_phrases": phrases.query,
+    "op13_alignment": alignment.query,
 }
 SQL: dict[str, str] = {
     "op4_url_filter": url_filter.SQL,
     "op6_topk_search": topk_search.SQL,
     "op10_chat_format": chat_format.SQL,
+    "op12_phrases": phrases.SQL,
 }
