@@ -1,9 +1,9 @@
 """Phrases whose words stay together, mined from shards (SON) and counted exactly.
 
 Each task cuts its texts into shards and mines each completely: words first (a
-phrase can't be more frequent than its words), then all runs of 2 to 4 words
-whose words are frequent, at a support lowered to the shard's share of its
-language, rounded up.  A phrase that no shard reports isn't frequent.  What the
+phrase can't be more frequent than its words), then pairs of frequent words, then
+runs of 3 and 4 words whose pairs are all candidates, at a support lowered to the
+shard's share of its language, rounded up.  A phrase that no shard reports isn't frequent.  What the
 shards report is summed by hash; as a shard that doesn't report a phrase holds it
 less often than its local support, the sum bounds the true count from above, and
 phrases below the support by that bound go as well.  Those left are a bitmap of
@@ -11,8 +11,8 @@ fixed size, by which a last pass over the texts counts candidates, now as
 strings, globally and exactly; false bits cost rows, never results.
 
 The support is an absolute count.  Once a shard is less than 1 / support of its
-language, its local support is 1: then only infrequent words and the bound over
-all shards sift phrases before the last pass, and the first pass's shuffle holds
+language, its local support is 1: then only infrequent words and pairs and the bound over
+all shards sift phrases before the last pass, and the mining's shuffles hold
 a hash (some 3 bytes when compressed) for each different phrase of a shard.
 
 Defined results: null and empty texts hold no words; a null language is ``und``;
@@ -42,8 +42,10 @@ BREAK = table(b".,;:!?\n\v\f\r")
 APART = BREAK | table(b" \t")
 #: Text of a shard; one piece without an end is never cut, so it makes a longer shard.
 SHARD_BYTES = 8 << 20
-#: Bits of the fixed bitmaps of frequent words and of candidates (2 and 32 MB), and of a bucket's number.
-WORD_BITS, PHRASE_BITS, MOST_BUCKET_BITS = 24, 28, 16
+#: Bits of the fixed bitmaps of frequent words and of candidates (2 and 16 MB), and of a bucket's number.
+WORD_BITS, PHRASE_BITS, MOST_BUCKET_BITS = 24, 27, 16
+#: Ranges of bytes that are gathered at once.
+RANGES = 1 << 17
 #: Words for each bucket of hashes.
 BUCKET_WORDS = 2 << 20
 #: Languages with at least a SHARE-th of all words have a lowered support; there are at most so many.  Those below aren't sifted locally.
@@ -55,6 +57,12 @@ def _seed(lang: str) -> np.uint64:
     return _U(xxhash.xxh64_intdigest(lang.encode()))
 
 
+def _ranges(values: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """As ``gather``, in blocks, as its indices take eight times the bytes."""
+    parts = [gather(values, first[at : at + RANGES], length[at : at + RANGES]) for at in range(0, len(first), RANGES)]
+    return np.concatenate(parts) if parts else values[:0]
+
+
 class Shard:
     """Lower-cased words of some pieces of one language."""
 
@@ -72,12 +80,12 @@ class Shard:
     def strings(self, first: np.ndarray, width: int) -> pa.Array:
         """Runs of ``width`` words from ``first``, joined by one space each."""
         size = self.end - self.start + 1
-        joined = gather(np.append(self.data, np.uint8(32)), self.start, size)
+        joined = _ranges(np.append(self.data, np.uint8(32)), self.start, size)
         stop = np.cumsum(size) - 1
         joined[stop] = 32
         begin, length = (stop - size + 1)[first], stop[first + width - 1] - (stop - size + 1)[first]
         offsets = np.append(0, np.cumsum(length))
-        return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(gather(joined, begin, length)))
+        return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(_ranges(joined, begin, length)))
 
     def word_ids(self) -> np.ndarray:
         """A number for each word; equal words have equal numbers."""
@@ -167,20 +175,30 @@ def word_bitmap(frequent: DataFrame) -> np.ndarray:
 
 
 def candidate_bitmap(texts: DataFrame, words: np.ndarray, totals: dict[str, int], total: int, support: int = SUPPORT, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
-    """The bits of all phrases that may occur ``support`` times, from complete mining of every shard at its share of the support."""
+    """The bits of all phrases that may occur ``support`` times: pairs first, then longer runs of such pairs."""
+    pairs = _mined(texts, words, None, range(2, 3), totals, total, support, shard_bytes)
+    return pairs if longest < 3 else pairs | _mined(texts, words, pairs, range(3, longest + 1), totals, total, support, shard_bytes)
+
+
+def _mined(texts: DataFrame, words: np.ndarray, pairs: np.ndarray | None, widths: range, totals: dict[str, int], total: int, support: int, shard_bytes: int) -> np.ndarray:
+    """The bits of runs of some widths, all of whose words and pairs have bits, from complete mining of every shard at its share of the support."""
     bucket_bits = min(max((max(total, 1) // BUCKET_WORDS).bit_length(), 3), MOST_BUCKET_BITS)
-    known = texts.sparkSession.sparkContext.broadcast((words, totals))
+    known = texts.sparkSession.sparkContext.broadcast((words, pairs, totals))  # bitmaps of fixed size, at most SHARE totals
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, of = known.value
+        bitmap, pair_bitmap, of = known.value
         for shard in shards(batches, shard_bytes):
             low = max(-(-support * len(shard.start) // of[shard.lang]), 1) if shard.lang in of else 1
             hashed = shard.hashes()
-            common = np.append(0, np.cumsum(~_has(bitmap, mix(hashed ^ shard.seed), WORD_BITS)))
+            # words, or pairs of a word and the next, that aren't frequent, before each word
+            rare, span = np.cumsum(np.append(False, ~_has(bitmap, mix(hashed ^ shard.seed), WORD_BITS))), 0
+            if pair_bitmap is not None:
+                pair = mix(hash_windows(hashed, np.arange(max(len(hashed) - 1, 0)), 2) ^ shard.seed)
+                rare, span = np.cumsum(np.append(False, ~_has(pair_bitmap, pair, PHRASE_BITS))), 1
             found = []
-            for width in range(2, longest + 1):
+            for width in widths:
                 first = shard.windows(width)
-                first = first[common[first + width] == common[first]]
+                first = first[rare[first + width - span] == rare[first]] if len(first) else first
                 found.append(mix(hash_windows(hashed, first, width) ^ shard.seed))
             phrase, n = np.unique(np.concatenate(found), return_counts=True)
             phrase, n = phrase[n >= low], np.minimum(n[n >= low], 255)
