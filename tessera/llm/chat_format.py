@@ -12,8 +12,11 @@ as each backslash starts such a pair, the way back is exact.
 Content can be typed parts.  A visitor over the parts keeps text, and writes
 ``<image:i>``, ``<audio:i>`` or ``<document:i>`` for the i-th attachment of the
 conversation (from 0), records its reference, and counts the tokens that the
-placeholder expands to.  Text that looks like a placeholder is no attachment:
-``<`` before ``image:``, ``audio:`` or ``document:`` is written ``\4``.
+placeholder expands to.  A part of any other type is written ``<other:i>`` and
+its text, if it has one; its own type and reference are recorded, with no tokens.
+A part without type is text.  Text that looks like a placeholder is no
+attachment: ``<`` before ``image:``, ``audio:``, ``document:`` or ``other:`` is
+written ``\4``.
 Attachments are numbered over the whole conversation at once: the visitor writes
 ``\5``, which no escaped text holds, in each placeholder, and the string is split
 there and joined with the numbers, so work is linear in turns and parts.
@@ -39,13 +42,14 @@ OPEN, CLOSE = "### ", "</turn>"
 #: Expansion of an attachment. Image: one token for each patch; audio: tokens for each second; document: tokens for each page.
 PATCH, AUDIO_RATE, PAGE_TOKENS = 14, 25, 512
 _KINDS = ("image", "audio", "document")
+_PLACES = (*_KINDS, "other")
 
 
 def escape(text: Column, role: bool = False) -> Column:
     out = F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\0")), F.lit(CLOSE), F.lit("\\1")), F.lit(OPEN), F.lit("\\2"))
     if role:
         return F.replace(out, F.lit("\n"), F.lit("\\3"))
-    for kind in _KINDS:
+    for kind in _PLACES:
         out = F.replace(out, F.lit(f"<{kind}:"), F.lit(f"\\4{kind}:"))
     return out
 
@@ -63,8 +67,12 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), none.cast("string").alias("ref"), none.cast("long").alias("width"), none.cast("long").alias("height"), none.cast("double").alias("seconds"), none.cast("long").alias("pages")))
 
 
+def _is_text(part: Column) -> Column:
+    return F.coalesce(part["type"] == "text", F.lit(True))
+
+
 def _attachments(parts: Column) -> Column:
-    return F.filter(F.coalesce(parts, F.array().cast(_PARTS)), lambda p: p["type"].isin(*_KINDS))
+    return F.filter(F.coalesce(parts, F.array().cast(_PARTS)), lambda p: ~_is_text(p))
 
 
 _PARTS = "array<struct<type:string,text:string,ref:string,width:bigint,height:bigint,seconds:double,pages:bigint>>"
@@ -82,7 +90,9 @@ def expanded_tokens(part: Column) -> Column:
 
 def _visit(parts: Column) -> Column:
     """A turn's parts as one string, with ``\\5`` for the number of an attachment."""
-    written = F.transform(parts, lambda p: F.when(p["type"] == "text", escape(F.coalesce(p["text"], F.lit("")))).when(p["type"].isin(*_KINDS), F.concat(F.lit("<"), p["type"], F.lit(":\\5>"))).otherwise(F.lit("")))
+    said = lambda p: escape(F.coalesce(p["text"], F.lit("")))
+    place = lambda kind: F.concat(F.lit("<"), kind, F.lit(":\\5>"))
+    written = F.transform(parts, lambda p: F.when(_is_text(p), said(p)).when(p["type"].isin(*_KINDS), place(p["type"])).otherwise(F.concat(place(F.lit("other")), said(p))))
     return F.array_join(written, "")
 
 
@@ -149,8 +159,8 @@ whole AS (
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
          coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
          sum(13 + length(replace(replace(replace(replace(role, '\', '\0'), '</turn>', '\1'), '### ', '\2'), chr(10), '\3'))
-           + length(replace(replace(replace(replace(replace(replace(text, '\', '\0'), '</turn>', '\1'), '### ', '\2'),
-               '<image:', '\4image:'), '<audio:', '\4audio:'), '<document:', '\4document:')))::BIGINT AS formatted_chars
+           + length(replace(replace(replace(replace(replace(replace(replace(text, '\', '\0'), '</turn>', '\1'), '### ', '\2'),
+               '<image:', '\4image:'), '<audio:', '\4audio:'), '<document:', '\4document:'), '<other:', '\4other:')))::BIGINT AS formatted_chars
   FROM rows GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
 FROM whole

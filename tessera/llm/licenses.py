@@ -293,8 +293,11 @@ class Matcher:
 
 def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST, path: str = "path", text: str = "text") -> DataFrame:
     """``files`` with license, license_score, license_from (own, the directory that it is inherited from, or null); columns of these names are replaced."""
-    kept = files.drop("license", "license_score", "license_from")
-    spark = files.sparkSession
+    named = files.drop("license", "license_score", "license_from")
+    # numbers for names, so that no column is named as one made here
+    names, spark = named.columns, files.sparkSession
+    kept = named.toDF(*[f"c{i}" for i in range(len(names))])
+    path, text = (f"c{names.index(c)}" for c in (path, text))
     own = kept.withColumn("__named", F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False)))
     frequency = write_frequencies(count_terms(own.select(text)), f"{shared_folder(spark)}/frequencies-{uuid.uuid4().hex}")
     matcher = spark.sparkContext.broadcast(Matcher(TEMPLATES if templates is None else templates, frequency, least))  # as large as the templates
@@ -306,7 +309,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least:
 
     judged = own.mapInArrow(judge, T.StructType([*kept.schema.fields, T.StructField("license", T.StringType()), T.StructField("license_score", T.DoubleType()), T.StructField("__file", T.BooleanType())]))
     judged = judged.withColumn("__dir", F.when(F.col(path).isNotNull(), F.when(F.col(path).contains("/"), F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)).otherwise(F.lit(""))))
-    return inherit(judged, kept.columns, path)
+    return inherit(judged, kept.columns, path).toDF(*names, "license", "license_score", "license_from")
 
 
 def inherit(judged: DataFrame, columns: list[str], path: str = "path") -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tessera.llm import alignment, phrases, simhash_trie
+from tessera.llm import alignment, chat_format, licenses, phrases, simhash_trie
 from tokenizers import Tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -285,3 +285,21 @@ def test_composition_of_fragments_is_associative(cuts, draw):
     groups = lambda *found: sorted(g for part in found for g in part if g)
     assert left == right == _fragment(cuts, tokens)[0]
     assert groups(cx, cy, cz, [g1, g2]) == groups(cx, cy, cz, [h1, h2]) == groups(_fragment(cuts, tokens)[1])
+
+
+def test_parts_of_other_types_keep_their_text_and_reference(spark):
+    part = "struct<type:string,text:string,ref:string,width:bigint,height:bigint,seconds:double,pages:bigint>"
+    parts = [("video", "caption <other:7> ", "v.mp4", None, None, None, None), (None, "kept", None, None, None, None, None), ("image", None, "i", None, None, None, None)]
+    row = chat_format.format_conversations(spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts array<{part}>")).first()
+    assert row["formatted"] == "### user\n<other:0>caption \\4other:7> kept<image:1></turn>\n"
+    assert [(a["index"], a["type"], a["ref"], a["tokens"]) for a in row["attachments"]] == [(0, "video", "v.mp4", 0), (1, "image", "i", 1)]
+
+
+def test_licence_scan_keeps_columns_named_as_its_own(spark):
+    mit = licenses.TEMPLATES["MIT"][0] if "MIT" in licenses.TEMPLATES else next(iter(licenses.TEMPLATES.values()))[0]
+    rows = [("a/LICENSE", mit, 5, 6, "n", "f", "k"), ("a/b/x.py", "print(1)", 7, None, "n", "f", "k"), (None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "path string, text string, __dir int, __named int, __file string, __near string, __key string")
+    found = {r["path"]: r for r in licenses.scan(df).collect()}
+    assert licenses.scan(df).columns == [*df.columns, "license", "license_score", "license_from"]
+    assert found["a/b/x.py"]["license"] == found["a/LICENSE"]["license"] and found["a/b/x.py"]["license_from"] == "a"
+    assert [tuple(found[r[0]])[:7] for r in rows] == rows

@@ -133,8 +133,8 @@ def test_attachments_are_numbered_and_counted(spark):
     two = [("audio", None, "s/2.wav", None, None, 1.01, None), ("document", None, "s/3.pdf", None, None, None, 2), ("text", None, None, None, None, None, None)]
     df = spark.createDataFrame([(1, 0, "user", one), (1, 1, "assistant", two), (1, 2, "user", None)], f"conv_id long, turn long, role string, parts array<{part}>")
     row = chat_format.format_conversations(df).withColumn("back", chat_format.read_back(F.col("formatted"))).first()
-    assert [t["text"] for t in row["back"]] == ["see <image:9><image:0>", "<audio:1><document:2>", ""]
-    assert [(a["index"], a["type"], a["ref"], a["tokens"]) for a in row["attachments"]] == [(0, "image", "s/1.png", 4), (1, "audio", "s/2.wav", 26), (2, "document", "s/3.pdf", 1024)]
+    assert [t["text"] for t in row["back"]] == ["see <image:9><image:0><other:1>", "<audio:2><document:3>", ""]
+    assert [(a["index"], a["type"], a["ref"], a["tokens"]) for a in row["attachments"]] == [(0, "image", "s/1.png", 4), (1, "video", "no", 0), (2, "audio", "s/2.wav", 26), (3, "document", "s/3.pdf", 1024)]
     assert row["attachment_tokens"] == 1054
 
 
