@@ -137,6 +137,14 @@ def visible_title(text: Column) -> Column:
     return F.regexp_replace(text, r"<[^>]+>", "")
 
 
+def tags_stripped(text: Column) -> Column:
+    """Text without tags, white space collapsed, the common named entities resolved once; null is empty."""
+    out = F.coalesce(text, F.lit(""))
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", "\u00a0"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"<[^>]+>", ""), r"[\s\x{a0}]+", " "))
+
+
 def link_class(url: Column, classes: list[tuple[str, str]], default: str = "other") -> Column:
     """The class of the first host part that the link holds."""
     out = F.lit(default)

@@ -34,8 +34,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean order value of each priority and period, released 18 days after the period."""
-    out = v.table(spark, sf_dir, "orders").groupBy(*KEYS, period_end(F.col("o_orderdate").cast("date")).alias("period_end")).agg((F.avg("o_totalprice") / 1000).alias("actual"))
+    """Mean order value of each priority and period in log points, released 18 days after the period."""
+    out = v.table(spark, sf_dir, "orders").groupBy(*KEYS, period_end(F.col("o_orderdate").cast("date")).alias("period_end")).agg((100 * F.log(F.avg("o_totalprice"))).alias("actual"))
     return out.withColumn("release_date", F.date_add("period_end", 18))
 
 
@@ -90,7 +90,7 @@ QUERIES = {"released_baselines": released_baselines, "period_models": period_mod
 DATES = {"released_baselines": ["period_end"], "period_models": ["period_end"], "walk_forward_forecasts": ["period_end"]}
 _PERIOD = "CASE WHEN month({0}) <= 2 THEN last_day(make_date(year({0}), 2, 1)) ELSE last_day({0}::DATE) END"
 SQL = {
-    "released_baselines": f"""WITH s AS (SELECT o_orderpriority AS p, {_PERIOD.format("o_orderdate")} AS e, avg(o_totalprice) / 1000 AS y FROM orders GROUP BY 1, 2),
+    "released_baselines": f"""WITH s AS (SELECT o_orderpriority AS p, {_PERIOD.format("o_orderdate")} AS e, 100 * ln(avg(o_totalprice)) AS y FROM orders GROUP BY 1, 2),
 k AS (SELECT *, lag(y) OVER (PARTITION BY p ORDER BY e) AS x, row_number() OVER (PARTITION BY p, month(e) ORDER BY e) AS nth FROM s),
 a AS (SELECT t.p, t.e, count(*) AS n, arg_max(k.y, k.e) AS latest, count(k.x) AS m, avg(k.x) AS mx, avg(k.y) FILTER (k.x IS NOT NULL) AS my, stddev_pop(k.x) AS sx, covar_pop(k.y, k.x) AS c,
   max(k.nth) FILTER (month(k.e) = month(t.e)) AS seen FROM s t JOIN k ON k.p = t.p AND k.e + 18 <= t.e GROUP BY 1, 2),
