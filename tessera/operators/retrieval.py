@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,14 +24,64 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+#: Queries and items of a block: a pair of blocks is one matrix product of at most some 100 MB.
+QUERY_BLOCK, ITEM_BLOCK = 512, 16_384
+#: Products that differ by less are computed again one by one, so that equal vectors have equal products wherever they lie.
+NEAR = 1e-9
+
+
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of length 1 as rows; a vector without length stays as it is."""
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = np.asarray(rows.flatten(), dtype=np.float64).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
+    length = np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+    return flat / np.where(length > 0, length, 1.0)
+
+
+def _nearest(q: pa.Table, p: pa.Table, k: int, per: list[str], id: str) -> pa.Table:
+    """The ``k`` nearest of a block of items to each of a block of queries, within each value of ``per``."""
+    of_q, of_p = _units(q.column("vector")), _units(p.column("vector"))
+    q_ids, p_ids = (np.asarray(t.column(id)) for t in (q, p))
+    group = np.zeros(len(p), np.int64)
+    for c in per:
+        code = np.asarray(pc.fill_null(p.column(c).combine_chunks().dictionary_encode().indices, -1)).astype(np.int64) + 1
+        group = np.unique(group * (int(code.max(initial=0)) + 1) + code, return_inverse=True)[1]
+    product, rows, columns = of_q @ of_p.T, [], []
+    for g in range(int(group.max(initial=-1)) + 1):
+        members = np.flatnonzero(group == g)
+        for i in range(len(q_ids)):
+            own = members[p_ids[members] != q_ids[i]]
+            if len(own) > k:
+                least = np.partition(product[i, own], len(own) - k)[len(own) - k]
+                own = own[product[i, own] >= least - NEAR]
+            exact = (of_p[own] * of_q[i]).sum(axis=1)
+            best = own[np.lexsort((p_ids[own], -exact))[:k]]
+            rows.append(np.full(len(best), i))
+            columns.append(best)
+    i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows, columns))
+    similarity = (of_q[i] * of_p[j]).sum(axis=1) if len(i) else np.zeros(0)
+    return pa.table({"query_id": pa.array(q_ids[i]), id: pa.array(p_ids[j]), **{c: p.column(c).combine_chunks().take(pa.array(j)) for c in per}, "similarity": pa.array(similarity)})
+
+
 def top_similar(queries: DataFrame, items: DataFrame, k: int, per: list[str] = [], id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The ``k`` nearest items (within each value of ``per``) of every query.  Queries are a small stated set, sent to the items."""
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
-    q = F.broadcast(queries.select(F.col(id).alias("query_id"), unit(F.col(vector)).alias("__q")))
-    met = items.select(F.col(id), *per, unit(F.col(vector)).alias("__v")).crossJoin(q).filter(F.col("query_id") != F.col(id))
-    scored = met.select("query_id", id, *per, dot(F.col("__q"), F.col("__v")).alias("similarity"))
+    """The ``k`` nearest items (within each value of ``per``) of every query, ties to the smaller id: query_id, id, per, similarity, rank.
+
+    Queries and items are dealt into blocks; each pair of blocks is a matrix product in one task that keeps its best, and
+    these are merged.  Nothing is sent to all tasks, and no pair of rows becomes a row.  Rows without id or vector take no part.
+    """
+    good = lambda df: df.filter(F.col(id).isNotNull() & F.col(vector).isNotNull())
+    blocks = lambda df, size: df.count() // size + 1
+    queries, items = good(queries), good(items)
+    nq, ni = blocks(queries, QUERY_BLOCK), blocks(items, ITEM_BLOCK)
+    block = lambda n: F.pmod(F.xxhash64(id), F.lit(n).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = queries.select(block(nq).alias("qb"), every(ni).alias("ib"), F.col(id), F.col(vector).alias("vector"))
+    p = items.select(every(nq).alias("qb"), block(ni).alias("ib"), F.col(id), *per, F.col(vector).alias("vector"))
+    kind = lambda c: items.schema[c].dataType.simpleString()
+    schema = ", ".join([f"query_id {kind(id)}", f"`{id}` {kind(id)}", *[f"`{c}` {kind(c)}" for c in per], "similarity double"])
+    met = q.groupBy("qb", "ib").cogroup(p.groupBy("qb", "ib")).applyInArrow(lambda a, b: _nearest(a, b, k, per, id), schema)
     w = W.partitionBy("query_id", *per).orderBy(F.desc("similarity"), id)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def gram_counts(docs: DataFrame, sizes: tuple[int, ...] = (2, 3), id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -216,3 +216,28 @@ def test_correlations_of_constant_groups(spark):
     got = {r["k"]: r["c"] for r in df.groupBy("k").agg(numbers.correlation_or_zero(F.col("x"), F.col("y")).alias("c")).collect()}
     assert got == pytest.approx({"a": 0.0, "b": 1.0, "c": 0.0})
     assert [tuple(r) for r in factors.rank_correlation(df, "x", "y", ["k"]).collect()] == [("b", 3, pytest.approx(1.0))]
+
+
+def test_nearest_vectors_by_blocks(spark, monkeypatch):
+    """Several blocks of each side, equal vectors, vectors without length, nulls, and groups of fewer than k."""
+    import numpy as np
+    from tessera.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "ITEM_BLOCK", 25)
+    draw = np.random.default_rng(3)
+    pool = [[0.0] * 4, *draw.integers(-99, 99, (39, 4)).astype(float).tolist()]
+    rows = [(i, [None, "a", "b"][i % 3] if i < 117 else "few", pool[int(draw.integers(0, 40))]) for i in range(119)] + [(500, "a", None), (None, "a", [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1) for i, _, v in rows[:119]}
+    for per in ([], ["label"]):
+        want = set()
+        for q in range(0, 119, 4):
+            groups = {}
+            for i, label, _ in rows[:119]:
+                if i != q:
+                    groups.setdefault(label if per else None, []).append((-round(float(unit[q] @ unit[i]), 9), i))
+            want |= {(q, i, n) for g in groups.values() for n, (_, i) in enumerate(sorted(g)[:3], 1)}
+        got = retrieval.top_similar(df.filter("vec_id % 4 = 0 AND vec_id < 119"), df, 3, per)
+        assert {(r["query_id"], r["vec_id"], r["rank"]) for r in got.collect()} == want
+    assert retrieval.top_similar(df.limit(0), df, 3).collect() == []
