@@ -40,6 +40,8 @@ def _units(column: pa.ChunkedArray) -> np.ndarray:
 
 def _nearest(q: pa.Table, p: pa.Table, k: int, per: list[str], id: str) -> pa.Table:
     """The ``k`` nearest of a block of items to each of a block of queries, within each value of ``per``."""
+    if not len(q) or not len(p):
+        q, p = q.slice(0, 0), p.slice(0, 0)
     of_q, of_p = _units(q.column("vector")), _units(p.column("vector"))
     q_ids, p_ids = (np.asarray(t.column(id)) for t in (q, p))
     group = np.zeros(len(p), np.int64)
