@@ -41,7 +41,7 @@ def test_query_agrees_with_sql(spark, data, con, name):
 
 
 #: Queries that SQL can't express, or not in useful time; each has a test below.
-BRUTE = {"ngram_near_dup", "greedy_dedup", "html_text", "hashed_embedding", "stable_rulebook", "ridge_forecast", "bootstrap_ci", "route_comparison"} | {"period_models", "walk_forward_forecasts", "marginal_text_effects", "single_text_model"}  # the last four in test_nowcast
+BRUTE = {"ngram_near_dup", "greedy_dedup", "html_text", "hashed_embedding", "stable_rulebook", "ridge_forecast", "bootstrap_ci", "route_comparison"} | {"period_models", "walk_forward_forecasts", "marginal_text_effects", "single_text_model", "study_signals"}  # in test_nowcast and test_study
 
 
 def test_every_query_is_held_against_something():
