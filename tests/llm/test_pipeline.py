@@ -19,7 +19,7 @@ def test_registered_queries(spark, data):
     docs = rows_of(spark.read.parquet(f"{data}/documents.parquet"))
     assert sorted(map(tuple, queries.QUERIES["op2_ngram_join"](spark, data).select("doc_id", "n_shingles", "component_id").collect())) == brute_components(docs)
     assert sorted(map(tuple, queries.QUERIES["op3_substring_dedup"](spark, data).collect())) == brute_windows(docs)
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert [r["decoded_sha256"] for r in queries.QUERIES["op5_bpe"](spark, data).orderBy("doc_id").collect()] == [hashlib.sha256(t.encode()).hexdigest() for _, t in sorted(docs)]
 
 
