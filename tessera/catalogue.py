@@ -8,10 +8,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans import candidate_queries, event_queries, fact_queries, macro_queries, market_queries, nowcast_queries, payload_queries, rule_queries, staging_queries, status_queries, study_queries, text_queries, update_queries
+from tessera.plans import candidate_queries, decision_queries, event_queries, fact_queries, macro_queries, market_queries, nowcast_queries, payload_queries, rule_queries, staging_queries, status_queries, study_queries, text_queries, update_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (market_queries, text_queries, rule_queries, macro_queries, status_queries, event_queries, nowcast_queries, payload_queries, update_queries, fact_queries, staging_queries, candidate_queries, study_queries)
+MODULES = (market_queries, text_queries, rule_queries, macro_queries, status_queries, event_queries, nowcast_queries, payload_queries, update_queries, fact_queries, staging_queries, candidate_queries, study_queries, decision_queries)
 FLAGSHIP = "strategy_metrics"
 
 
