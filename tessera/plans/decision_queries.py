@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from tessera.functions.numbers import rounded as r
 from tessera.operators import asof, decisions, ledger, market, quality, strategy
 from tessera.operators.decisions import Policy
+from tessera.operators.iterate import saved
 from tessera.plans import market_queries as mq
 from tessera.plans import views as v
 
 #: How each version adds text to its baseline, and by how much.
 CONFIRMED, QUALITY, STRICT = Policy("confirmed-v2", "confirm", 1.0), Policy("quality-v5", "overlay", 0.25), Policy("quality-v6", "overlay", 0.35)
 START, FROZEN = "1995-07-01", "1996-12-31"
+NUDGE = 1e-9  # quarters of short decimals end on a five; so they round alike whatever the order of a sum
 _MARKET = ["trade_date", "contract", "close_e4", "volume_"]
 _SIGNAL = ["doc_id", "publish_time", "score_e2"]
 
@@ -24,30 +26,30 @@ def _trend(main: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def _made(spark: SparkSession, sf_dir: str, versions: tuple[Policy, ...]) -> DataFrame:
+    """Decisions of some versions.  Days, and signals without their texts, are written once, as each version reads them several times."""
     b = v.bars(spark, sf_dir)
-    m = market.main_continuous(b)
-    days, signals = m.select("trade_date"), v.signals(spark, sf_dir)
+    m = saved(market.main_continuous(b))
+    days = m.select("trade_date")
+    signals = saved(asof.on_calendar(v.signals(spark, sf_dir), m.select("day_idx", "trade_date"), "publish_time"))
     whole = b.select("trade_date", "contract", F.floor(F.col("close") * 10000).alias("close_e4"), F.col("volume").cast("long").alias("volume_"))
     seen = signals.select("doc_id", "publish_time", F.floor(F.col("score") * 100 + 0.5).alias("score_e2"))
-    digests = decisions.prefix_digests(whole, "trade_date", _MARKET, days), decisions.prefix_digests(seen, "publish_time", _SIGNAL, days)
-    gates = {CONFIRMED: None, QUALITY: {}, STRICT: {"least": 0.2, "must_not": "uncertainty_high"}}
-    mature = strategy.mature_baseline(market.same_contract_momentum(m, b, [20, 60, 120]), market.next_open_returns(m, b)).select("day_idx", "position")
+    digests = saved(decisions.prefix_digests(whole, "trade_date", _MARKET, days)), saved(decisions.prefix_digests(seen, "publish_time", _SIGNAL, days))
+    gates = {QUALITY: {}, STRICT: {"least": 0.2, "must_not": "uncertainty_high"}}
+    mature = saved(strategy.mature_baseline(market.same_contract_momentum(m, b, [20, 60, 120]), market.next_open_returns(m, b)).select("day_idx", "position")) if any(p in gates for p in versions) else None
     out = None
     for policy in versions:
-        gate = gates[policy]
-        if gate is None:
-            baseline, kept = _trend(m, b).select("day_idx", F.when(F.col("momentum_20d").isNotNull() & (F.col("validation_std") > 0), F.col("trend_score")).alias("position")), signals
+        if policy in gates:
+            baseline, kept = mature, quality.gate(signals, excluded_sources=["src0"], **gates[policy]).filter("reject_reason IS NULL")
         else:
-            baseline, kept = mature, quality.gate(signals, excluded_sources=["src0"], **gate).filter("reject_reason IS NULL")
-        events = asof.on_calendar(kept, m.select("day_idx", "trade_date"), "publish_time").filter("day_idx IS NOT NULL")
-        one = decisions.decisions(policy, m, baseline, events, *digests, start=START)
+            baseline, kept = _trend(m, b).select("day_idx", F.when(F.col("momentum_20d").isNotNull() & (F.col("validation_std") > 0), F.col("trend_score")).alias("position")), signals
+        one = decisions.decisions(policy, m, baseline, kept.filter("day_idx IS NOT NULL"), *digests, start=START)
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def decision_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _made(spark, sf_dir, (CONFIRMED, QUALITY, STRICT))
-    numbers = [r(F.col(c)).alias(c) for c in ("baseline_position", "active_text_score", "enhanced_position", "position_delta")]
+    numbers = [r(F.col(c) + NUDGE).alias(c) for c in ("baseline_position", "active_text_score", "enhanced_position", "position_delta")]
     return made.select("strategy_version", "signal_date", "status", "decision_id", "selected_contract", *numbers, "active_signals", "market_input_sha256", "signal_input_sha256")
 
 
@@ -123,8 +125,8 @@ QUERIES = {q.__name__: q for q in (decision_records, recorded_decisions, mapped_
 DATES = {"decision_records": ["signal_date"], "mapped_forecasts": ["signal_market_date", "execution_trade_date"]}
 SQL = {
     "decision_records": f"""WITH {_MADE}
-SELECT strategy_version, trade_date AS signal_date, status, decision_id, contract AS selected_contract, round(base, 6) + 0.0 AS baseline_position, round(x, 6) + 0.0 AS active_text_score, round(CASE WHEN status = 'decided' THEN enhanced END, 6) + 0.0 AS enhanced_position,
-  round(CASE WHEN status = 'decided' THEN enhanced - base END, 6) + 0.0 AS position_delta, active_signals, market_input_sha256, signal_input_sha256 FROM made""",
+SELECT strategy_version, trade_date AS signal_date, status, decision_id, contract AS selected_contract, round(base + {NUDGE}, 6) + 0.0 AS baseline_position, round(x + {NUDGE}, 6) + 0.0 AS active_text_score, round(CASE WHEN status = 'decided' THEN enhanced END + {NUDGE}, 6) + 0.0 AS enhanced_position,
+  round(CASE WHEN status = 'decided' THEN enhanced - base END + {NUDGE}, 6) + 0.0 AS position_delta, active_signals, market_input_sha256, signal_input_sha256 FROM made""",
     "recorded_decisions": f"""WITH {_MADE},
 c AS (SELECT day_idx AS n FROM made WHERE strategy_version = '{CONFIRMED.version}' AND status = 'decided'),
 first_sent AS (SELECT CASE WHEN n % 9 = 3 THEN 'second' WHEN n % 6 = 0 THEN 'changed' WHEN n % 3 = 0 THEN 'already_recorded' ELSE 'recorded' END AS outcome, n % 6 = 0 AS differs FROM c),
