@@ -34,6 +34,10 @@ class Linear:
             out = out + b * (clip(z, -z_clip, z_clip) if z_clip else z)
         return out
 
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """Predictions of the rows of a matrix of the features."""
+        return self.intercept + (x - np.array(self.means)) / np.array(self.scales) @ np.array(self.coefficients)
+
 
 def gram(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """(i, j, value): sums of products of the features, the target and 1; one row of sums, unpivoted."""
@@ -150,10 +154,10 @@ def choose(grid: DataFrame, by: list[str]) -> DataFrame:
     return grid.agg(F.min_by(F.struct(*grid.columns), F.struct(*by)).alias("b")).select("b.*")
 
 
-def concentration(df: DataFrame, block: str, value: str) -> DataFrame:
-    """Largest block's share of all positive improvement; 1 without any."""
-    blocks = df.groupBy(block).agg(F.sum(value).alias("s")).select(F.greatest("s", F.lit(0.0)).alias("s"))
-    return blocks.agg(F.when(F.sum("s") > 0, F.max("s") / F.sum("s")).otherwise(1.0).alias("concentration"))
+def concentration(df: DataFrame, block: str, value: str, keys: list[str] = []) -> DataFrame:
+    """Largest block's share of all positive improvement, of each group; 1 without any."""
+    blocks = df.groupBy(*keys, block).agg(F.sum(value).alias("s")).select(*keys, F.greatest("s", F.lit(0.0)).alias("s"))
+    return blocks.groupBy(*keys).agg(F.when(F.sum("s") > 0, F.max("s") / F.sum("s")).otherwise(1.0).alias("concentration"))
 
 
 def contributions(df: DataFrame, model: Linear, keys: list[str], top: int = 8, z_clip: float | None = None) -> DataFrame:

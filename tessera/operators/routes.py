@@ -6,6 +6,8 @@ Every value of a row was released by the end of its period.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,37 +53,79 @@ def with_text(rows: DataFrame, features: DataFrame, names: list[str]) -> DataFra
     return out.withColumn("text_available", some)
 
 
-def _fit(kind: str, n: int, m, features: list[str], alpha: float) -> Linear:
-    return ridge_of(n, m, features, alpha) if kind == "ridge" else elastic_net_of(n, m, features, alpha, L1, 2000)
+def _moments(x: np.ndarray, y: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of complete rows, and the sums of products of 1, the features and the target."""
+    good = np.isfinite(y) & np.isfinite(x).all(axis=1)
+    z = np.column_stack([np.ones(good.sum()), x[good], y[good]])
+    return int(good.sum()), z.T @ z
 
 
-def alpha_by_time(rows: DataFrame, features: list[str], kind: str, order: str = "period_end", target: str = "target") -> float:
+def _fit(kind: str, x: np.ndarray, y: np.ndarray, alpha: float) -> Linear:
+    n, m = _moments(x, y)
+    names = [str(j) for j in range(x.shape[1])]
+    return ridge_of(n, m, names, alpha) if kind == "ridge" else elastic_net_of(n, m, names, alpha, L1, 2000)
+
+
+def _alpha_by_time(kind: str, x: np.ndarray, y: np.ndarray) -> float:
     """The penalty with the least absolute error on the last quarter of the rows, fitted on those before; ties go to the smaller."""
-    n = rows.count()
-    if n < LEAST_TO_TRY:
+    if len(y) < LEAST_TO_TRY:
         return PLAIN_ALPHA
-    placed = rows.withColumn("__i", F.row_number().over(W.orderBy(order)))
-    cut = max(LEAST_TO_FIT, int(n * 0.75))
-    size, m = moments(placed.filter(F.col("__i") <= cut), features, target)
-    errors = [F.avg(F.abs(F.col(target) - _fit(kind, size, m, features, a).predict())).alias(str(i)) for i, a in enumerate(ALPHAS)]
-    return min(zip(placed.filter(F.col("__i") > cut).agg(*errors).first(), ALPHAS))[1]
+    cut = max(LEAST_TO_FIT, int(len(y) * 0.75))
+    errors = []
+    for alpha in ALPHAS:
+        e = np.abs(y[cut:] - _fit(kind, x[:cut], y[:cut], alpha).values(x[cut:]))
+        errors.append(e[np.isfinite(e)].mean() if np.isfinite(e).any() else np.inf)
+    return min(zip(errors, ALPHAS))[1]
+
+
+def _evaluate(kind: str, x: np.ndarray, y: np.ndarray, latest: np.ndarray, split: np.ndarray, at: str, alpha: float | None = None) -> tuple[np.ndarray, float, float]:
+    """(forecasts, half width of their interval, penalty) of the rows of a split, by a model of the splits before it; with fewer than 3 rows to fit on, the latest value."""
+    on = np.isin(split, ["train"] if at == "validation" else ["train", "validation"])
+    here = split == at
+    if _moments(x[on], y[on])[0] < 3:
+        return latest[here], 0.0, 0.0
+    alpha = _alpha_by_time(kind, x[on], y[on]) if alpha is None else alpha
+    model = _fit(kind, x[on], y[on], alpha)
+    rest = y[on] - model.values(x[on])
+    return model.values(x[here]), INTERVAL * float(rest[np.isfinite(rest)].std()), alpha
+
+
+_PREDICTIONS = "route string, split string, model string, alpha double, period_end date, actual double, forecast double, base double, lower double, upper double, text_available boolean"
 
 
-def evaluate(rows: DataFrame, features: list[str], split: str, kind: str, alpha: float | None = None) -> tuple[DataFrame, float]:
-    """(predictions, penalty): forecast, its interval and the latest released value of each row of ``split``, by a model of the splits before it.
+def _predict(periods: pd.DataFrame) -> pd.DataFrame:
+    """All predictions of one route: its periods (eleven a year) are a group."""
+    periods = periods.sort_values("period_end")
+    own, y, latest = periods[OWN_PAST].to_numpy(float), periods["target"].to_numpy(float), periods["latest_released"].to_numpy(float)
+    x, split = np.column_stack([own, np.array([list(t) for t in periods["text"]], dtype=float).reshape(len(periods), -1)]), periods["split"].to_numpy()
+    parts = []
 
-    ``rows``: split (train, validation or oos), target, latest_released and the features.  With fewer than 3 rows to fit on, the forecast is the latest value.
+    def add(model: str, at: str, features: np.ndarray, kind: str, alpha: float | None = None) -> float:
+        forecast, width, alpha = _evaluate(kind, features, y, latest, split, at, alpha)
+        part = periods.loc[split == at, ["route", "split", "period_end", "text_available"]].assign(model=model, alpha=float(alpha), actual=y[split == at], base=latest[split == at], forecast=forecast)
+        parts.append(part.assign(lower=part["forecast"] - width, upper=part["forecast"] + width))
+        return alpha
+
+    for kind in ("ridge", "elastic_net"):
+        add(kind, "oos", x, kind, add(kind, "validation", x, kind))
+    add("no_text", "validation", own, "ridge")
+    return pd.concat(parts)[["route", "split", "model", "alpha", "period_end", "actual", "forecast", "base", "lower", "upper", "text_available"]]
+
+
+def route_predictions(rows: DataFrame, features: DataFrame, routes: list[str]) -> DataFrame:
+    """Forecasts and intervals of every route's ridge and elastic net on validation and, with the penalty chosen there, out of sample, and of the ridge without text on validation.
+
+    ``rows``: model_rows with a split (train, validation or oos); ``features``: route, period_end, feature_name, feature_value; 0 where a period has none.
+    Every route is one group of periods, so all models are fitted in one pass and no result goes by the driver.
     """
-    fitted_on = rows.filter(F.col("split").isin(*(["train"] if split == "validation" else ["train", "validation"])))
-    n, m = moments(fitted_on, features, "target") if features else (0, None)
-    if n < 3:
-        forecast, width, alpha = F.col("latest_released"), 0.0, 0.0
-    else:
-        alpha = alpha_by_time(fitted_on, features, kind) if alpha is None else alpha
-        model = _fit(kind, n, m, features, alpha)
-        forecast, width = model.predict(), INTERVAL * (fitted_on.agg(F.stddev_pop(F.col("target") - model.predict())).first()[0] or 0.0)
-    out = rows.filter(F.col("split") == split).select("period_end", F.col("target").alias("actual"), forecast.alias("forecast"), F.col("latest_released").alias("base"))
-    return out.withColumns({"lower": F.col("forecast") - width, "upper": F.col("forecast") + width}), alpha
+    wide = features.groupBy("route", "period_end", "feature_name").agg(F.first("feature_value").cast("double").alias("v"))
+    wide = wide.groupBy("route", "period_end").agg(F.map_from_entries(F.collect_list(F.struct("feature_name", "v"))).alias("__m"))
+    named = features.groupBy("route").agg(F.array_sort(F.collect_set("feature_name")).alias("__names"))  # a schema of features
+    each = rows.withColumn("route", F.explode(F.array(*[F.lit(r) for r in routes]))).join(named, "route", "left").join(wide, ["route", "period_end"], "left")
+    text = F.coalesce(F.transform("__names", lambda n: F.coalesce(F.try_element_at(F.col("__m"), n), F.lit(0.0))), F.array().cast("array<double>"))
+    each = each.withColumn("text", text).withColumn("text_available", F.exists("text", lambda x: F.abs(x) > 1e-12))
+    numbers = dict.fromkeys(["target", *OWN_PAST])
+    return each.select("route", "period_end", "split", *[F.col(c).cast("double").alias(c) for c in numbers], "text", "text_available").groupBy("route").applyInPandas(_predict, _PREDICTIONS)
 
 
 def baselines(rows: DataFrame, split: str) -> DataFrame:
@@ -101,38 +145,31 @@ def compare_routes(rows: DataFrame, features: DataFrame, routes: list[str], rule
     """One row for each route: its better model on validation, errors of it and of the model without text, text coverage, concentration, and whether the gates are passed.
 
     ``rows``: model_rows with a split; ``features``: route, period_end, feature_name, feature_value.  ``rule_prefixes``: prefixes of feature names that a route needs
-    to count as available.  Out-of-sample errors are reported with the penalty that validation chose, and decide nothing.
+    to count as available; a route without validation rows has no row.  Out-of-sample errors are reported with the penalty that validation chose, and decide nothing.
     """
-    rows, features = saved(rows), saved(features)
-    named: dict[str, list[str]] = {}
-    for r in features.select("route", "feature_name").distinct().collect():  # a schema of features
-        named.setdefault(r["route"], []).append(r["feature_name"])
-    out = None
-    base = saved(evaluate(rows, OWN_PAST, "validation", "ridge")[0])
-    for route in routes:
-        names = sorted(named.get(route, []))
-        own = saved(with_text(rows, features.filter(F.col("route") == route), names))
-        columns = OWN_PAST + [f"`{n}`" for n in names]
-        tried = {kind: evaluate(own, columns, "validation", kind) for kind in ("ridge", "elastic_net")}
-        late = {kind: evaluate(own, columns, "oos", kind, alpha)[0] for kind, (_, alpha) in tried.items()}
-        each = [p.withColumns({"model": F.lit(k), "split": F.lit("validation"), "alpha": F.lit(float(a))}) for k, (p, a) in tried.items()]
-        each += [p.withColumns({"model": F.lit(k), "split": F.lit("oos"), "alpha": F.lit(float(tried[k][1]))}) for k, p in late.items()]
-        each.append(base.withColumns({"model": F.lit("no_text"), "split": F.lit("validation"), "alpha": F.lit(0.0)}))
-        predictions = each[0]
-        for p in each[1:]:
-            predictions = predictions.unionByName(p)
-        covered = own.filter("split = 'validation'").agg(F.coalesce(F.avg(F.col("text_available").cast("double")), F.lit(0.0)).alias("text_coverage"))
-        errors = saved(forecast_errors(predictions, ["split", "model", "alpha"]))
-        best = errors.filter("split = 'validation' AND model <> 'no_text'").agg(F.min_by(F.struct("model", "alpha", "n", "mae", "rmse", "r2_vs_base", "direction_accuracy"), F.struct("mae", "rmse", F.when(F.col("model") == "ridge", 0).otherwise(1))).alias("b")).select("b.*")
-        model = (best.first() or {"model": "ridge"})["model"]
-        plain = errors.filter("model = 'no_text'").select(F.col("mae").alias("base_mae"), F.col("rmse").alias("base_rmse"), F.col("direction_accuracy").alias("base_direction_accuracy"))
-        oos = errors.filter(F.col("split") == "oos").filter(F.col("model") == model).select(F.col("mae").alias("oos_mae"), F.col("rmse").alias("oos_rmse"))
-        gains = base.select("period_end", F.abs(F.col("forecast") - F.col("actual")).alias("e0")).join(tried[model][0].select("period_end", F.abs(F.col("forecast") - F.col("actual")).alias("e1")), "period_end")
-        half = F.concat(F.year("period_end").cast("string"), F.when(F.month("period_end") <= 6, "H1").otherwise("H2"))
-        share = concentration(gains.select(half.alias("half"), F.greatest(F.col("e0") - F.col("e1"), F.lit(0.0)).alias("gain")), "half", "gain")
-        available = all(any(n.startswith(p) for n in names) for p in rule_prefixes.get(route, []))
-        one = best.join(plain).join(covered).join(share).join(oos, F.lit(True), "left").withColumns({"route": F.lit(route), "features": F.lit(len(names)), "available": F.lit(available)})  # one row each
-        out = one if out is None else out.unionByName(one)
+    made = saved(route_predictions(rows, features, routes))
+    late, plain = F.col("split") == "oos", F.col("model") == "no_text"
+    text = ~late & ~plain
+    errors = forecast_errors(made, ["route", "split", "model", "alpha"])
+    best = F.min_by(F.when(text, F.struct("model", "alpha", "n", "mae", "rmse", "r2_vs_base", "direction_accuracy")), F.when(text, F.struct("mae", "rmse", F.when(F.col("model") == "ridge", 0).otherwise(1))))
+    base = [F.max(F.when(plain, F.col(c))).alias(f"base_{c}") for c in ("mae", "rmse", "direction_accuracy")]
+    judged = errors.groupBy("route").agg(best.alias("b"), *base, F.collect_list(F.when(late, F.struct("model", "mae", "rmse"))).alias("__late"))  # two models
+    own = F.get(F.filter("__late", lambda x: x["model"] == F.col("b.model")), F.lit(0))
+    judged = judged.select("route", "b.*", *[f"base_{c}" for c in ("mae", "rmse", "direction_accuracy")], own["mae"].alias("oos_mae"), own["rmse"].alias("oos_rmse"))
+    tried = made.filter(~late).join(judged.select("route", F.col("model").alias("__model")), "route")
+    error, chosen = F.abs(F.col("forecast") - F.col("actual")), F.col("model") == F.col("__model")
+    months = tried.groupBy("route", "period_end").agg(
+        F.max(F.when(plain, error)).alias("e0"), F.max(F.when(chosen, error)).alias("e1"), F.max("text_available").alias("text"), F.max(F.when(chosen, F.col("actual").between(F.col("lower"), F.col("upper")))).alias("within"),
+    )
+    half = F.concat(F.year("period_end").cast("string"), F.when(F.month("period_end") <= 6, "H1").otherwise("H2"))
+    share = concentration(months.select("route", half.alias("half"), F.greatest(F.col("e0") - F.col("e1"), F.lit(0.0)).alias("gain")), "half", "gain", ["route"])
+    covered = months.groupBy("route").agg(F.avg(F.col("text").cast("double")).alias("text_coverage"), F.avg(F.col("within").cast("double")).alias("coverage_90"))
+    named = features.groupBy("route").agg(F.collect_set("feature_name").alias("__names"))
+    available = F.lit(True)
+    for route, prefixes in rule_prefixes.items():
+        for p in prefixes:
+            available = available & ((F.col("route") != route) | F.coalesce(F.exists("__names", lambda n: F.startswith(n, F.lit(p))), F.lit(False)))
+    out = judged.join(covered, "route").join(share, "route").join(named, "route", "left").withColumns({"features": F.coalesce(F.size("__names"), F.lit(0)), "available": available}).drop("__names")
     gates = F.col("available") & (F.col("n") >= LEAST_VALIDATION) & (F.col("mae") < F.col("base_mae")) & (F.col("rmse") < F.col("base_rmse")) & (F.col("direction_accuracy") >= F.col("base_direction_accuracy"))
     return out.withColumn("qualified", gates & (F.col("text_coverage") >= LEAST_COVERAGE) & (F.col("concentration") <= MOST_CONCENTRATION))
 

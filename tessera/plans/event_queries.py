@@ -123,7 +123,7 @@ def route_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = base.filter("feature_name = 'piped_rate'").withColumn("feature_name", F.lit("rule.piped"))
     features = base.withColumn("route", F.lit("base")).unionByName(base.unionByName(ruled).withColumn("route", F.lit("rules")))
     out = routes.compare_routes(_splits(spark, sf_dir), features.select("route", "period_end", "feature_name", "feature_value"), ["base", "rules"], {"rules": ["rule."]})
-    return out.select("route", "model", "alpha", "features", "available", "n", *[r(F.col(c), 5).alias(c) for c in ("mae", "rmse", "base_mae", "base_rmse", "text_coverage", "concentration", "oos_mae")], "qualified")
+    return out.select("route", "model", "alpha", "features", "available", "n", *[r(F.col(c), 5).alias(c) for c in ("mae", "rmse", "r2_vs_base", "direction_accuracy", "base_mae", "base_rmse", "base_direction_accuracy", "text_coverage", "coverage_90", "concentration", "oos_mae", "oos_rmse")], "qualified")
 
 
 def simple_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:

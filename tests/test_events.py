@@ -140,6 +140,23 @@ def test_routes_against_numpy(spark):
     else:
         assert out["mae"] <= errors["ridge"][0] + 1e-9
     assert out["text_coverage"] == 1.0 and out["mae"] < out["base_mae"] and out["qualified"]
+    made = routes.route_predictions(rows, features.unionByName(features.filter("period_end < '2000-01-01'").withColumn("route", F.lit("bare"))), ["base", "bare"]).toPandas().sort_values("period_end")
+    alpha, columns, every = errors["ridge"][2], [*routes.OWN_PAST, "t.x"], own[own.split != "oos"]
+    for at, on in (("validation", train), ("oos", every)):  # out of sample: the penalty of validation, fitted on both splits before
+        one = made[(made.route == "base") & (made.model == "ridge") & (made.split == at)]
+        width = routes.INTERVAL * (on["target"] - fit(on, on, columns, alpha)).std(ddof=0)
+        want = fit(on, own[own.split == at], columns, alpha)
+        assert one["forecast"].to_numpy() == pytest.approx(want) and one["upper"].to_numpy() == pytest.approx(want + width) and one["lower"].to_numpy() == pytest.approx(want - width)
+    bare = made[(made.route == "bare") & (made.split == "validation")]  # without features, every route is the model without text
+    assert bare[bare.model == "ridge"]["forecast"].to_numpy() == pytest.approx(bare[bare.model == "no_text"]["forecast"].to_numpy()) and not bare["text_available"].any()
+    best = made[(made.route == "base") & (made.split == "validation") & (made.model == out["model"])].reset_index()
+    plain = made[(made.route == "base") & (made.model == "no_text")].reset_index()
+    gain = np.maximum((plain["forecast"] - plain["actual"]).abs() - (best["forecast"] - best["actual"]).abs(), 0)
+    halves = gain.groupby(np.array([f"{d.year}{d.month <= 6}" for d in best["period_end"]])).sum()
+    assert out["concentration"] == pytest.approx(halves.max() / halves.sum()) and out["coverage_90"] == pytest.approx(best["actual"].between(best["lower"], best["upper"]).mean())
+    late = made[(made.route == "base") & (made.split == "oos") & (made.model == out["model"])]
+    assert (out["oos_mae"], out["oos_rmse"]) == pytest.approx(((late["forecast"] - late["actual"]).abs().mean(), np.sqrt(((late["forecast"] - late["actual"]) ** 2).mean())))
+    assert out["direction_accuracy"] == pytest.approx((((best["actual"] - best["base"]) >= 0) == ((best["forecast"] - best["base"]) >= 0)).mean())
     chosen = routes.choose_route(routes.compare_routes(rows, features.unionByName(features.withColumn("route", F.lit("rules"))), ["base", "rules"]), routes.with_text(rows, features, ["t.x"]), "base").first()
     assert chosen["selected_route"] == "rules" and chosen["data_sufficient"]
 
