@@ -85,12 +85,15 @@ def sentences(text: Column) -> Column:
 
 
 def has_any(text: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    """Plain searches that end at the first hit; halved, so that a long list is no deep expression."""
+    if len(words) > 1:
+        return has_any(text, words[: len(words) // 2]) | has_any(text, words[len(words) // 2 :])
+    return F.contains(text, F.lit(words[0])) if words else F.lit(False)
 
 
 def first_of(text: Column, words: list[str]) -> Column:
     """The first of ``words`` that the text holds, or null."""
-    return F.get(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w)), F.lit(0))
+    return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words], F.lit(None).cast("string"))
 
 
 def matches_groups(text: Column, groups: list[list[str]]) -> Column:
@@ -101,9 +104,9 @@ def matches_groups(text: Column, groups: list[list[str]]) -> Column:
     return out
 
 
-def evidence(text: Column, groups: list[list[str]], limit: int = 160) -> Column:
-    """The first sentence that matches all groups, cut to ``limit``; else a window around the first word found; else empty."""
-    whole = F.get(F.filter(sentences(text), lambda s: matches_groups(s, groups)), F.lit(0))
+def evidence(text: Column, groups: list[list[str]], limit: int = 160, parts: Column | None = None) -> Column:
+    """The first sentence that matches all groups, cut to ``limit``; else a window around the first word found; else empty.  ``parts``: the text's sentences, where they are at hand."""
+    whole = F.get(F.filter(sentences(text) if parts is None else parts, lambda s: matches_groups(s, groups)), F.lit(0))
     word = first_of(text, [w for g in groups for w in g])
     start = F.greatest(F.call_function("instr", text, word) - 40, F.lit(1))
     return F.coalesce(F.substring(whole, 1, limit), text.substr(start, F.lit(limit)), F.lit(""))

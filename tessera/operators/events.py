@@ -67,7 +67,9 @@ def research_predicates(docs: DataFrame, schema: dict[str, tuple[str, ...]] = wo
         }
         own |= {n: F.coalesce(told[n], own[n]) for n in told if n in own}
     # a source that is told by its kind counts even where its name is empty
-    held = {n: F.coalesce(e != "", F.lit(False)) | (F.coalesce(announced, F.lit(False)) if by_source and n == "authoritative_source" else F.lit(False)) for n, e in own.items()}
+    docs = docs.select("doc_id", *[e.alias(f"__{n}") for n, e in own.items()], *([F.coalesce(announced, F.lit(False)).alias("__announced")] if by_source else []))  # once, before they are exploded
+    own = {n: F.col(f"__{n}") for n in own}
+    held = {n: F.coalesce(e != "", F.lit(False)) | (F.col("__announced") if by_source and n == "authoritative_source" else F.lit(False)) for n, e in own.items()}
     rows = [F.struct(F.lit(n).alias("name"), held[n].alias("value"), F.coalesce(e, F.lit("")).alias("evidence_text"), F.when(held[n], 0.70).otherwise(0.65).alias("confidence")) for n, e in own.items()]
     return docs.select("doc_id", F.explode(F.array(*rows)).alias("p")).select("doc_id", "p.*")
 
@@ -203,9 +205,11 @@ def event_predicates(events: DataFrame, docs: DataFrame, priors: DataFrame) -> D
         "capacity_policy_support": (policy & any_of(words.CAPACITY)) | ((of == "capacity_expansion") & trusted),
     }
     row = lambda n, v, c: F.struct(F.lit(n).alias("name"), v.alias("value"), c.alias("confidence"))
-    rows = [row(n, v.cast("string"), F.when(v, words.EVENT_PREDICATES[n][0]).otherwise(words.EVENT_PREDICATES[n][1])) for n, v in values.items()]
+    held = {n: F.col(f"__{n}") for n in values}
+    rows = [row(n, v.cast("string"), F.when(v, words.EVENT_PREDICATES[n][0]).otherwise(words.EVENT_PREDICATES[n][1])) for n, v in held.items()]
     rows.append(row("event_evidence_strength", F.format_string("%.2f", F.col("evidence_strength")), F.lit(0.92)))
     rows.append(row("event_has_short_term_price_impact", F.format_string("%.2f", F.coalesce("posterior", F.lit(0.50))), F.lit(0.70)))
     met = events.select("event_id", "doc_id", "sector", "event_type", "evidence_strength").join(docs.select("doc_id", "source_type", "source_name", "title", "content"), "doc_id")
     met = met.join(F.broadcast(priors.select("event_type", "posterior")), "event_type", "left")  # a row for each event type
+    met = met.select("event_id", "evidence_strength", "posterior", *[v.alias(f"__{n}") for n, v in values.items()])  # once, before they are exploded
     return met.select("event_id", F.explode(F.array(*rows)).alias("p")).select("event_id", "p.*")

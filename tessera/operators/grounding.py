@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import period_end
-from tessera.functions.text import evidence, first_of, matches_groups
+from tessera.functions.text import evidence, first_of, matches_groups, sentences
 
 
 @dataclass(frozen=True)
@@ -43,18 +43,27 @@ def ground(docs: DataFrame, predicates: tuple[Predicate, ...] = MACRO, reliabili
 
     Intensity grows with evidence of 40 characters or more, confidence with the source's reliability and the share of distinct words.
     """
-    trust, t = F.lit(0.6) if reliability is None else reliability, F.col(text)
+    trust, numbers = F.lit(0.6) if reliability is None else reliability, range(len(predicates))
+    groups = [[list(g) for g in p.groups] for p in predicates]
+    t, hit = F.col("__text"), lambda i: F.col(f"__hit_{i}")
+    # step by step, as an exploded array would evaluate each of its parts anew: hits, then sentences of texts with any, then what only hits need
+    read = docs.select("doc_id", period_end(F.col(day)).alias("period_end"), F.col(text).alias("__text"), trust.alias("__trust"))
+    read = read.withColumns({f"__hit_{i}": F.coalesce(matches_groups(t, groups[i]), F.lit(False)) for i in numbers})
+    some = F.lit(False)
+    for i in numbers:
+        some = some | hit(i)
+    read = read.withColumn("__parts", F.when(some, sentences(t)))
+    share = lambda g: F.least(F.size(F.array_distinct(F.array(*[first_of(t, w) for w in g]))) / len(g), F.lit(1.0))
+    told = {f"__found_{i}": F.when(hit(i), evidence(t, groups[i], parts=F.col("__parts"))).otherwise("") for i in numbers} | {f"__share_{i}": F.when(hit(i), share(groups[i])) for i in numbers}
+    read = read.select("doc_id", "period_end", "__trust", *[hit(i) for i in numbers], *[c.alias(n) for n, c in told.items()])
 
-    def row(p: Predicate) -> Column:
-        groups = [list(g) for g in p.groups]
-        hit = F.coalesce(matches_groups(t, groups), F.lit(False))
-        share = F.least(F.size(F.array_distinct(F.array(*[first_of(t, g) for g in groups]))) / len(groups), F.lit(1.0))
-        found = F.when(hit, evidence(t, groups)).otherwise("")
+    def row(i: int, p: Predicate) -> Column:
+        held, found, portion = hit(i), F.col(f"__found_{i}"), F.col(f"__share_{i}")
         return F.struct(
-            F.lit(p.name).alias("name"), hit.alias("value"), F.when(hit, p.direction).otherwise(0).alias("direction"),
-            F.when(hit, 0.55 + 0.15 * share + 0.10 * (F.length(found) >= 40).cast("int")).otherwise(0.0).alias("intensity"),
-            F.when(hit, F.least(0.45 + 0.35 * trust + 0.15 * share, F.lit(0.95))).otherwise(F.least(F.lit(0.70), trust)).alias("confidence"),
+            F.lit(p.name).alias("name"), held.alias("value"), F.when(held, p.direction).otherwise(0).alias("direction"),
+            F.when(held, 0.55 + 0.15 * portion + 0.10 * (F.length(found) >= 40).cast("int")).otherwise(0.0).alias("intensity"),
+            F.when(held, F.least(0.45 + 0.35 * F.col("__trust") + 0.15 * portion, F.lit(0.95))).otherwise(F.least(F.lit(0.70), F.col("__trust"))).alias("confidence"),
             F.lit(p.lag).alias("lag"), found.alias("evidence_text"),
         )
 
-    return docs.select("doc_id", period_end(F.col(day)).alias("period_end"), F.explode(F.array(*[row(p) for p in predicates])).alias("p")).select("doc_id", "period_end", "p.*")
+    return read.select("doc_id", "period_end", F.explode(F.array(*[row(i, p) for i, p in enumerate(predicates)])).alias("p")).select("doc_id", "period_end", "p.*")
