@@ -128,10 +128,17 @@ def word_pattern(words: list[str]) -> str:
 def words_in(docs: DataFrame, words: list[str], text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, word): each of ``words`` (a lexicon of bounded size) that a text holds, found in one pass over it."""
     distinct = sorted({w for w in words if w})
-    inner = [(w, v) for w in distinct for v in {w[i:j] for i in range(len(w)) for j in range(i + 1, len(w) + 1)} & set(distinct)]
-    held = docs.sparkSession.createDataFrame(inner or [("", "")], "__found string, word string")  # what else stands in each word
-    found = docs.select(id, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(word_pattern(distinct)), F.lit(1)))).alias("__found")).filter("__found <> ''")
-    return found.join(F.broadcast(held), "__found").select(id, "word").distinct()
+    among, inner = set(distinct), {}  # what else stands in each word
+    for w in distinct:
+        parts = sorted({w[i:j] for i in range(len(w)) for j in range(i + 1, len(w) + 1)} & among)
+        if len(parts) > 1:
+            inner[w] = parts
+    found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(word_pattern(distinct)), F.lit(1)))
+    if inner:
+        held = F.create_map(*[x for w, parts in inner.items() for x in (F.lit(w), F.array(*[F.lit(v) for v in parts]))])
+        found = F.array_distinct(F.flatten(F.transform(found, lambda w: F.coalesce(F.try_element_at(held, w), F.array(w)))))
+    # outer, as a plain explode adds a filter that reads every text a second time
+    return docs.select(id, F.explode_outer(found).alias("word")).filter("word <> ''").distinct()
 
 
 def link_entities(docs: DataFrame, aliases: DataFrame, sectors: DataFrame | None = None) -> DataFrame:
