@@ -51,16 +51,25 @@ def all_grams(text: Column, sizes: tuple[int, ...]) -> Column:
     return run(text)
 
 
+#: Lower case of ASCII bytes, and those that aren't letters or digits.
+_LOWER, _DROPPED = bytes(range(256)).lower(), bytes(b for b in range(128) if not chr(b).isalnum())
+
+
 def gram_set(text: str | None, size: int) -> np.ndarray:
     """64-bit hashes of a normalised text's distinct n-grams, in order; a shorter text is its own gram, an empty one has none."""
-    t = re.sub(r"[^0-9a-zA-Z\u4e00-\u9fff]+", "", text or "").lower()
-    c = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    text = text or ""
+    if text.isascii():
+        c = np.frombuffer(text.encode().translate(_LOWER, _DROPPED), np.uint8).astype(np.uint64) + np.uint64(1)
+    else:
+        t = re.sub(r"[^0-9a-zA-Z\u4e00-\u9fff]+", "", text).lower()
+        c = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
     width = min(size, len(c))
     h = np.zeros(len(c) - width + 1 if width else 0, np.uint64)
     for k in range(width):
         h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : k + len(h)]
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique((h ^ (h >> np.uint64(29))).view(np.int64))
+    out = np.sort((h ^ (h >> np.uint64(29))).view(np.int64))
+    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
 
 
 def grams(text: Column, size: int = 5) -> Column:

@@ -3,7 +3,7 @@
 The ordered rule keeps the first of each group of conflicting documents, where a
 dropped document's keys don't count against later ones.  Two documents conflict if
 they share an id, a link or a fingerprint, or lie in one period and are similar.
-Conflicts are found by joins (near copies over shared grams, rare ones first), and
+Conflicts are found by keys and, for near copies, by pairs of blocks of a period, and
 the rule is then settled in rounds: in each, a document with no undecided earlier
 conflict is decided.  A round only joins the conflicts that are still open.
 """
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import grams, overlap_similarity
-from tessera.operators.iterate import saved, settled
+from tessera.functions.near import BLOCK_BYTES, block_pairs
+from tessera.operators.iterate import settled
 
 
 def keep_earliest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -32,20 +32,14 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def near_pairs(docs: DataFrame, threshold: float = 0.88, size: int = 5, period: str = "period_end") -> DataFrame:
     """(earlier, later): similar documents of one period.  ``docs`` has doc_id, seq, text and the period.
 
-    A pair of similarity t shares at least t * n of the smaller set's n grams.  So that set shares n' >= t * n of its grams with anybody, and the pair meets among the
-    rarest n' - t * n + 1 of these; the larger set may hold them anywhere.  Sets are 64-bit hashes; pairs that meet are compared whole.
+    Texts travel, not their grams: a period is cut into blocks of BLOCK_BYTES, and each of its texts meets every block once (``block_pairs``).
     """
-    sets = saved(docs.select("doc_id", "seq", F.col(period).alias("__p"), grams(F.col("text"), size).alias("g")).filter(F.size("g") > 0))
-    each = sets.select("doc_id", "__p", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    known = each.groupBy("__p", "gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = saved(each.join(known, ["__p", "gram"]))
-    least = F.ceil(F.col("n") * threshold)
-    small = shared.groupBy("doc_id", "__p", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("s")).filter(F.size("s") >= least)
-    probe = small.select("__p", "n", F.col("doc_id").alias("a"), F.explode(F.slice("s", F.lit(1), (F.size("s") - least + 1).cast("int"))["gram"]).alias("gram"))
-    found = probe.join(shared.select("__p", "gram", F.col("doc_id").alias("b"), F.col("n").alias("m")), ["__p", "gram"]).filter("a <> b AND n <= m").select("a", "b").distinct()
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("g").alias("ga"), F.col("seq").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("g").alias("gb"), F.col("seq").alias("sb"))
-    met = found.join(left, "a").join(right, "b").filter(overlap_similarity(F.col("ga"), F.col("gb")) >= threshold)
-    return met.select(F.least("sa", "sb").alias("earlier"), F.greatest("sa", "sb").alias("later")).distinct()
+    slim = docs.select("seq", F.xxhash64("doc_id").alias("id"), "text", F.col(period).alias("__p")).filter(F.col("doc_id").isNotNull() & F.col("__p").isNotNull())
+    blocks = slim.groupBy("__p").agg(F.greatest(F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES), F.lit(1)).alias("__n"))
+    dealt = slim.join(F.broadcast(blocks), "__p").withColumn("__own", F.pmod(F.xxhash64("seq"), "__n"))
+    cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__block")).withColumn("cell", F.xxhash64("__p", "__block")).withColumn("visits", F.col("__own") != F.col("__block"))
+    met = cells.select("cell", "visits", "seq", "id", "text").repartition("cell").sortWithinPartitions("cell", "visits")
+    return met.mapInArrow(lambda batches: block_pairs(batches, threshold, size), "earlier long, later long").distinct()
 
 
 def ordered_dedup(docs: DataFrame, keys: list[str], threshold: float = 0.88, order: list[str] = ["publish_time", "doc_id"], near: bool = True) -> DataFrame:

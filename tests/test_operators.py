@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tessera.functions import dates, numbers, scoring, text
 from tessera.functions.html import visible
-from tessera.operators import bootstrap, consensus, dedup, factors, ledger, market, models, quality, rules, strategy
+from tessera.operators import bootstrap, consensus, dedup, factors, iterate, ledger, market, models, quality, rules, strategy
 from tessera.sources import tables
 
 
@@ -80,6 +80,44 @@ def test_ordered_dedup_frees_what_a_dropped_document_blocked(spark):
     assert {r["doc_id"] for r in dedup.ordered_dedup(docs, ["url", "fp"], near=False).collect()} == {"A", "C", "D", "E"}
 
 
+def test_near_pairs_of_several_blocks_write_less_than_their_texts(spark, tmp_path, monkeypatch):
+    """Copies, contained and edited texts, one short text in many, and empty ones, over blocks of a few texts; the grams aren't written."""
+    from tessera.functions import near
+    from tessera.functions.text import gram_list
+
+    monkeypatch.setattr(dedup, "BLOCK_BYTES", 4_000, raising=False)
+    draw = random.Random(5)
+    words = [f"{draw.choice('bcdfg')}{draw.choice('aeiou')}{draw.choice('klmn')}{i % 7}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        text = " ".join(draw.choice(words) for _ in range(draw.choice((3, 40, 60))))
+        if i % 3 == 1 and rows[-1][2]:
+            old = rows[draw.randrange(len(rows))][2] or "x"
+            text = draw.choice((old, old + " " + text[:20], old[: len(old) * 9 // 10], old.replace(words[0], words[1])))
+        rows.append((i, date(2020, 1 + i % 2, 1), None if i % 41 == 0 else "" if i % 43 == 0 else text))
+    docs = spark.createDataFrame(rows, "doc_id long, period_end date, text string").withColumn("seq", F.col("doc_id") * 7 % 240)
+    seq = {i: i * 7 % 240 for i in range(240)}
+    sets = {}
+    for i, p, t in rows:
+        plain = "".join(gram_list(t, (1,)))
+        sets[i] = (p, set(gram_list(t, (5,))) or ({plain} if plain else set()))
+    similar = lambda a, b: bool(a and b) and len(a & b) / min(len(a), len(b)) >= 0.88
+    want = {tuple(sorted((seq[a], seq[b]))) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and similar(sets[a][1], sets[b][1])}
+    monkeypatch.setattr(iterate, "_folder", lambda session: str(tmp_path))
+    got = [tuple(r) for r in dedup.near_pairs(docs).collect()]
+    assert len(got) == len(set(got)) > 60 and set(got) == want
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()) < sum(len(t or "") for _, _, t in rows)
+    # few counters and hits at once
+    monkeypatch.setattr(near, "COUNTERS", 50)
+    monkeypatch.setattr(near, "HITS", 200)
+    block = near.Block(5)
+    for i, p, t in rows:
+        if p.month == 1:
+            block.add(t, seq[i], i)
+    block.close()
+    assert set(block.pairs(block, 0.88)) == {w for w in want if w[0] in {seq[i] for i, p, _ in rows if p.month == 1}}
+
+
 def test_ordered_dedup_against_a_loop(spark):
     draw = random.Random(4)
     rows = [(i, date(2020, 1, 1) + timedelta(days=draw.randrange(9)), f"u{draw.randrange(25)}", f"f{draw.randrange(25)}") for i in range(80)]
