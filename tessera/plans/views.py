@@ -119,13 +119,15 @@ signals AS (
 
 
 def entity_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly bars of suppliers, in five sectors, with a factor."""
-    lines = table(spark, sf_dir, "lineitem")
+    """Monthly bars of suppliers, in five sectors, with a factor: the mean discount, added up in the order of the stored rows, as ranks and thresholds tell sums of another order apart."""
+    lines = table(spark, sf_dir, "lineitem").select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    discounts = F.array_sort(F.collect_list(F.when(F.col("l_discount").isNotNull(), F.struct("__file", "__row", "l_discount"))))
+    mean = lambda x: F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, d: a + d["l_discount"]), F.size(x))
     price = F.col("l_extendedprice") / F.col("l_quantity")
     key = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     return lines.groupBy(F.trunc(F.col("l_shipdate").cast("date"), "month").alias("trade_date"), F.col("l_suppkey").alias("entity")).agg(
-        F.min_by(price, key).alias("open"), F.max_by(price, key).alias("close"), F.avg("l_discount").alias("factor"),
-    ).withColumn("sector", F.col("entity") % 5)
+        F.min_by(price, key).alias("open"), F.max_by(price, key).alias("close"), discounts.alias("factor"),
+    ).withColumn("factor", mean(F.col("factor"))).withColumn("sector", F.col("entity") % 5)
 
 
 ENTITY_BARS = """ebars AS (

@@ -40,6 +40,25 @@ def test_query_agrees_with_sql(spark, data, con, name):
     assert plain(got.select(*columns).collect()) == plain(want)
 
 
+def test_factor_queries_do_not_depend_on_splits(spark, data, tmp_path):
+    """Suppliers' months over many files: sums of doubles in the order of the rows, as the SQL adds them up in one thread."""
+    c = duckdb.connect(config={"threads": 1})
+    c.execute(f"CREATE TABLE lineitem AS SELECT * REPLACE (l_orderkey % 40 AS l_suppkey) FROM '{data}/lineitem.parquet'")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for i in range(12):
+        c.execute(f"COPY (SELECT * FROM lineitem WHERE rowid >= {i * 500} AND rowid < {(i + 1) * 500}) TO '{tmp_path}/lineitem.parquet/part-{i:03}.parquet'")
+    assert c.execute("SELECT count(*) FROM lineitem").fetchone() == c.execute(f"SELECT count(*) FROM '{tmp_path}/lineitem.parquet/*.parquet'").fetchone()
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a task for each file
+    try:
+        for name in ("dense_factors", "quintile_returns", "ic_summary", "rank_ic"):
+            got = catalogue.QUERIES[name](spark, str(tmp_path))
+            columns = sorted(got.columns)
+            assert plain(got.select(*columns).collect()) == plain(c.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.SQL[name]})").fetchall()), name
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
 #: Queries that SQL can't express, or not in useful time; each has a test below.
 BRUTE = {"ngram_near_dup", "greedy_dedup", "html_text", "hashed_embedding", "stable_rulebook", "ridge_forecast", "bootstrap_ci", "route_comparison"} | {"period_models", "walk_forward_forecasts", "marginal_text_effects", "single_text_model", "study_signals"}  # in test_nowcast and test_study
 
