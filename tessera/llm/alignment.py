@@ -16,6 +16,11 @@ How many documents hold a pair of ids linked is counted over all documents.  The
 counts are written sorted, in blocks of bounded size, that tasks map and probe for
 the pairs of their documents, so no document's links are shuffled.
 
+A blank after a character that is neither white space nor U+2581 begins a token of both
+kinds, whatever surrounds it, so the words between such blanks are fragments closed at both
+ends: each different one is tokenized and grouped once for many documents, and a document
+is composed of those it holds.
+
 Defined results: null and empty texts, and texts whose joined A or B bytes differ
 from space + text, have no tokens; repeated rows count as documents of their own;
 an empty table gives an empty one; other columns are left out.
@@ -28,10 +33,12 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -42,6 +49,8 @@ from tessera.llm.common import materialise, pieces, read_file, scan, shared_fold
 
 #: Bytes of a chunk, chunks that a step of the tree composes, text tokenized at once, and pair counts in a block.
 CHUNK, FAN, SLICE_BYTES, BLOCK_PAIRS = 1 << 16, 16, 256 << 10, 1 << 22
+#: Where a text is cut in words (see above), what a text has that isn't cut at every blank, and characters of the words that a worker remembers before it begins anew.
+CUT, UNCUT, MEMO_CHARACTERS = re.compile(r"(?<=[^\s\u2581]) "), re.compile(r"[\s\u2581] "), 2 << 20
 #: Groups with more links than this are linked by their different ids.
 WIDE = 1 << 12
 #: Bits of an id of B in the number of a pair.
@@ -74,13 +83,21 @@ class Tokenizers:
 
     def both(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
         """Ids of A and B of each text; none where their bytes aren't those of space + text."""
-        out = []
-        for text, b in zip(texts, self.b.encode([t or "" for t in texts], num_threads=1)):
-            a = self.a.encode(" " + text) if text else []
-            whole = (" " + (text or "")).encode()
-            same = text and b"".join([self.bytes_a[i] for i in a]) == whole == b"".join([self.bytes_b[i] for i in b])
-            out.append((a, b) if same else ([], []))
-        return out
+        texts = [t or "" for t in texts]
+        found = [(a, b) if t else ([], []) for t, a, b in zip(texts, self.a.encode_all([" " + t if t else "" for t in texts]), self.b.encode(texts, num_threads=1))]
+        if self._alike(texts, found):
+            return found
+        return [x if self._alike([t], [x]) else ([], []) for t, x in zip(texts, found)]
+
+    def _alike(self, texts: list[str | None], found: list[tuple[list[int], list[int]]]) -> bool:
+        """Whether the tokens of each text have its bytes: as many for each, and the same in all."""
+        wholes = [(" " + t).encode() if t else b"" for t in texts]
+        size = np.fromiter(map(len, wholes), np.int64, len(wholes))
+        for k, bytes_of, size_of in ((0, self.bytes_a, self.size_a), (1, self.bytes_b, self.size_b)):
+            ids, owner = _flat([x[k] for x in found])
+            if (np.bincount(owner, weights=size_of[ids], minlength=len(texts)) != size).any() or b"".join([bytes_of[i] for i in ids.tolist()]) != b"".join(wholes):
+                return False
+        return True
 
 
 @lru_cache(maxsize=2)
@@ -127,15 +144,21 @@ class Groups:
             n.append((ca[:, None] * cb[None, :]).ravel())
             unit.append(np.full(len(pair[-1]), self.unit[k]))
         unit, pair, n = (np.concatenate(x) for x in (unit, pair, n))
-        order = np.lexsort((pair, unit))
-        unit, pair, n = unit[order], pair[order], n[order]
-        head = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (unit[1:] != unit[:-1]))) if len(pair) else np.zeros(0, np.int64)
-        return unit[head], pair[head], np.add.reduceat(n, head) if len(head) else n
+        return _once(unit, pair, n)
+
+
+def _once(unit: np.ndarray, pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each unit and pair once, in order, with the sum of its n."""
+    order = np.lexsort((pair, unit))
+    unit, pair, n = unit[order], pair[order], n[order]
+    head = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (unit[1:] != unit[:-1]))) if len(pair) else np.zeros(0, np.int64)
+    return unit[head], pair[head], np.add.reduceat(n, head) if len(head) else n
 
 
 def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
     """Entries of all lists, and the list of each."""
-    return np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in lists)]), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), np.repeat(np.arange(len(lists)), n)
 
 
 def _common(ends: list[np.ndarray], owner: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,6 +183,76 @@ def _described(groups: Groups, units: int, shown: list[str]) -> dict[str, np.nda
     }
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, which one blank each joins to the text again."""
+    if not text:
+        return []
+    return CUT.split(text) if text[0] == " " or UNCUT.search(text) else text.split(" ")
+
+
+class Words:
+    """What the words of texts hold, by number: counts (tokens of A and B, groups, links), text of the groups, and linked pairs."""
+
+    def __init__(self, tokens: Tokenizers):
+        self.tokens, self.blank = tokens, [tokens.b.piece_to_id("▁")]
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.shown: list[str] = []
+        self.counts, self.same = np.zeros((0, 4), np.int64), np.zeros(0, bool)
+        self.pairs, self.times, self.edge, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), 0
+
+    def add(self, words: list[str]) -> None:
+        """Number new words and describe them; their tokens are those of a blank and the word."""
+        found = self.tokens.both(words)
+        found = [(self.tokens.a.encode(" "), self.blank) if w == "" else x for w, x in zip(words, found)]
+        (a, of_a), (b, of_b) = (_flat([x[k] for x in found]) for k in (0, 1))
+        ends = []
+        for ids, owner, size in ((a, of_a, self.tokens.size_a), (b, of_b, self.tokens.size_b)):
+            total = np.cumsum(size[ids])
+            ends.append(total - np.append(0, total)[np.searchsorted(owner, np.arange(len(words)))][owner])
+        unit, ga, gb, _ = _common(ends, [of_a, of_b])
+        out = _described(Groups((a, b), (ga, gb), unit), len(words), self.tokens.shown)
+        self.number.update(zip(words, range(len(self.shown), len(self.shown) + len(words))))
+        self.shown += out["shown"]
+        self.counts = np.concatenate((self.counts, np.stack([out[c] for c in ("n_a", "n_b", "n_groups", "n_links")], 1)))
+        self.same = np.append(self.same, out["n_a"] > 0)
+        self.edge = np.append(self.edge, len(self.pairs) + np.asarray(out["pairs"].offsets)[1:].astype(np.int64))
+        self.pairs, self.times = (np.append(x, np.asarray(out[c].values)) for x, c in ((self.pairs, "pairs"), (self.times, "times")))
+        self.size += sum(map(len, words))
+
+    def describe(self, texts: list[str | None]) -> tuple[dict[str, np.ndarray | list], np.ndarray]:
+        """As ``_described``, of whole texts, and whether each has only words whose bytes are those of both tokenizers."""
+        cut = [words_of(t) for t in texts]
+        flat = list(chain.from_iterable(cut))
+        new = dict.fromkeys(flat)
+        if self.size > MEMO_CHARACTERS:
+            self.clear()
+        if new := [w for w in new if w not in self.number]:
+            self.add(new)
+        ids = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        owner, n = np.repeat(np.arange(len(cut)), [len(c) for c in cut]), len(texts)
+        edge = np.searchsorted(owner, np.arange(n + 1)).tolist()
+        shown = [self.shown[i] for i in ids.tolist()]
+        # words of a text, each once and how often, with their pairs
+        held, often = np.unique(owner * max(len(self.shown), 1) + ids, return_counts=True)
+        unit, word = np.divmod(held, max(len(self.shown), 1))
+        first, m = self.edge[word], self.edge[word + 1] - self.edge[word]
+        at = np.repeat(first - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        unit, pair, times = _once(np.repeat(unit, m), self.pairs[at], self.times[at] * np.repeat(often, m))
+        sums = [_sums(owner, self.counts[ids, k], n) for k in range(4)]
+        out = dict(zip(("n_a", "n_b", "n_groups", "n_links"), sums)) | {
+            "shown": [";".join(shown[x:y]) for x, y in zip(edge, edge[1:])], "pairs": _lists(pair, unit, n, pa.int64()), "times": _lists(times, unit, n, pa.int64()),
+        }
+        return out, np.bincount(owner, weights=~self.same[ids], minlength=n) == 0
+
+
+@lru_cache(maxsize=2)
+def load_words(a: str, b: bytes) -> Words:
+    return Words(load(a, b))
+
+
 def _vocabularies(spark: SparkSession, a: str, b: str):
     """Both files, of some megabytes however large the corpus is."""
     with open(a, encoding="utf-8") as f, open(b, "rb") as g:
@@ -171,38 +264,51 @@ def tokenized(docs: DataFrame, vocabulary_a: str, vocabulary_b: str, key: str =
     content = _vocabularies(docs.sparkSession, vocabulary_a, vocabulary_b)
     schema = f"doc_id long, uid string, chunk long, {_DOC}, a array<int>, a_end array<long>, b array<int>, b_end array<long>"
 
+    ids_type, long_type = pa.list_(pa.int32()), pa.list_(pa.int64())
+    names = ["doc_id", "uid", "chunk", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times", "a", "a_end", "b", "b_end"]
+
+    def described(keys: pa.Array, out: dict[str, np.ndarray | list]) -> pa.RecordBatch:
+        sha = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in out["shown"]]
+        none = lambda kind: pa.nulls(len(keys), kind)
+        return pa.RecordBatch.from_arrays([keys, none(pa.string()), none(pa.int64()), *(pa.array(out[c]) for c in names[3:7]), pa.array(sha, pa.string()), out["pairs"], out["times"], none(ids_type), none(long_type), none(ids_type), none(long_type)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = load(*content.value)
+        tokens, words = load(*content.value), load_words(*content.value)
         for batch in pieces(batches, "text", SLICE_BYTES):
-            keys, found = batch.column(0).to_pylist(), tokens.both(batch.column(1).to_pylist())
-            a, of_a = _flat([x for x, _ in found])
-            b, of_b = _flat([x for _, x in found])
-            ends = []
-            for ids, owner, size in ((a, of_a, tokens.size_a), (b, of_b, tokens.size_b)):
-                total = np.cumsum(size[ids])
-                begin = np.searchsorted(owner, np.arange(len(found) + 1))
-                ends.append(total - np.append(0, total)[begin[:-1]][owner])
-            long = np.bincount(of_a, weights=ends[0] > chunk_bytes, minlength=len(found)) > 0
-            keep = tuple(~long[o] for o in (of_a, of_b))
-            unit, ga, gb, _ = _common([e[k] for e, k in zip(ends, keep)], [o[k] for o, k in zip((of_a, of_b), keep)])
-            out = _described(Groups((a[keep[0]], b[keep[1]]), (ga, gb), unit), len(found), tokens.shown)
-            sha = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in out["shown"]]
-            none = lambda kind: pa.nulls(len(found), kind)
-            ids_type, long_type = pa.list_(pa.int32()), pa.list_(pa.int64())
-            names = ["doc_id", "uid", "chunk", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times", "a", "a_end", "b", "b_end"]
-            rows = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), none(pa.string()), none(pa.int64()), *(pa.array(out[c]) for c in names[3:7]), pa.array(sha, pa.string()), out["pairs"], out["times"], none(ids_type), none(long_type), none(ids_type), none(long_type)], names=names)
-            yield rows.filter(pa.array(~long))
-            for i in np.flatnonzero(long).tolist():
-                uid, stream = uuid.uuid4().hex, []
-                for ids, owner, end in ((a, of_a, ends[0]), (b, of_b, ends[1])):
-                    own = slice(*np.searchsorted(owner, [i, i + 1]))
-                    stream += [ids[own], end[own]]
-                chunks = [(stream[k] - 1) // chunk_bytes for k in (1, 3)]
-                for chunk in np.unique(np.concatenate(chunks)).tolist():
-                    cut = [slice(*np.searchsorted(c, [chunk, chunk + 1])) for c in chunks]
-                    parts = [stream[k][cut[k // 2]] for k in range(4)]
-                    lists = [pa.array([x], t) for x, t in zip(parts, (ids_type, long_type, ids_type, long_type))]
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[i]], pa.int64()), pa.array([uid]), pa.array([chunk], pa.int64()), *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.string()), pa.nulls(1, long_type), pa.nulls(1, long_type), *lists], names=names)
+            # texts that may be longer than a chunk, or hold words of other bytes, are tokenized as a whole
+            short = pc.less(pc.fill_null(pc.binary_length(batch.column(1)), 0), chunk_bytes)
+            few = batch.filter(short)
+            out, same = words.describe(few.column(1).to_pylist())
+            yield described(few.column(0), out).filter(pa.array(same))
+            for rest in (batch.filter(pc.invert(short)), few.filter(pa.array(~same))):
+                if rest.num_rows:
+                    yield from whole(rest, tokens)
+
+    def whole(batch: pa.RecordBatch, tokens: Tokenizers) -> Iterator[pa.RecordBatch]:
+        keys, found = batch.column(0).to_pylist(), tokens.both(batch.column(1).to_pylist())
+        a, of_a = _flat([x for x, _ in found])
+        b, of_b = _flat([x for _, x in found])
+        ends = []
+        for ids, owner, size in ((a, of_a, tokens.size_a), (b, of_b, tokens.size_b)):
+            total = np.cumsum(size[ids])
+            begin = np.searchsorted(owner, np.arange(len(found) + 1))
+            ends.append(total - np.append(0, total)[begin[:-1]][owner])
+        long = np.bincount(of_a, weights=ends[0] > chunk_bytes, minlength=len(found)) > 0
+        keep = tuple(~long[o] for o in (of_a, of_b))
+        unit, ga, gb, _ = _common([e[k] for e, k in zip(ends, keep)], [o[k] for o, k in zip((of_a, of_b), keep)])
+        out = _described(Groups((a[keep[0]], b[keep[1]]), (ga, gb), unit), len(found), tokens.shown)
+        yield described(pa.array(keys, pa.int64()), out).filter(pa.array(~long))
+        for i in np.flatnonzero(long).tolist():
+            uid, stream = uuid.uuid4().hex, []
+            for ids, owner, end in ((a, of_a, ends[0]), (b, of_b, ends[1])):
+                own = slice(*np.searchsorted(owner, [i, i + 1]))
+                stream += [ids[own], end[own]]
+            chunks = [(stream[k] - 1) // chunk_bytes for k in (1, 3)]
+            for chunk in np.unique(np.concatenate(chunks)).tolist():
+                cut = [slice(*np.searchsorted(c, [chunk, chunk + 1])) for c in chunks]
+                parts = [stream[k][cut[k // 2]] for k in range(4)]
+                lists = [pa.array([x], t) for x, t in zip(parts, (ids_type, long_type, ids_type, long_type))]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i]], pa.int64()), pa.array([uid]), pa.array([chunk], pa.int64()), *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.string()), pa.nulls(1, long_type), pa.nulls(1, long_type), *lists], names=names)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 

@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +68,7 @@ class ByteBPE:
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.sorted: tuple[np.ndarray, ...] | None = None
 
     def word(self, word: bytes) -> tuple[int, ...]:
         """Token ids of one pre-token."""
@@ -85,6 +88,62 @@ class ByteBPE:
                 ranks[i - 1] = rank(parts[i - 1] << bits | parts[i], _NONE)
         return tuple(parts)
 
+    def merged(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """As ``word``, of many words at once: a step deletes one boundary in each word that still has a pair."""
+        if self.sorted is None:
+            pair, rank = (np.fromiter(x, np.int64, len(self.rank)) for x in (self.rank.keys(), self.rank.values()))
+            order = np.argsort(pair)
+            self.sorted = np.append(pair[order], np.iinfo(np.int64).max), np.append(rank[order], _NONE), np.array(self.made), np.array(self.byte)
+        pairs, ranks_of, made, byte = self.sorted
+
+        def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """A pair with a place behind the last part has no rank."""
+            key = a << self.bits | b
+            at = np.searchsorted(pairs, key)
+            return np.where((a >= 0) & (b >= 0) & (pairs[at] == key), ranks_of[at], _NONE)
+
+        out: list[tuple[int, ...]] = [()] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in zip((0, 8, 16, 32, 64), (8, 16, 32, 64, 1 << 60)):
+            row = np.flatnonzero((size > low) & (size <= high))
+            if not len(row):
+                continue
+            column = np.arange(size[row].max() + 1)
+            data = np.frombuffer(b"".join([words[i] for i in row.tolist()]), np.uint8)
+            inside = column < size[row][:, None]
+            parts = np.full(inside.shape, -1)
+            parts[inside] = byte[data]
+            ranks = np.full(inside.shape, _NONE)
+            ranks[:, :-1] = rank(parts[:, :-1], parts[:, 1:])
+            while len(row):
+                at = ranks.argmin(1)
+                least = ranks[np.arange(len(row)), at]
+                done = least == _NONE
+                for i, ids in zip(row[done].tolist(), parts[done].tolist()):
+                    out[i] = tuple(ids[: ids.index(-1)])
+                row, parts, ranks, at, least = (x[~done] for x in (row, parts, ranks, at, least))
+                every = np.arange(len(row))
+                parts[every, at] = made[least]
+                after = np.minimum(column + (column > at[:, None]), len(column) - 1)
+                parts = np.take_along_axis(parts, after, 1)
+                ranks = np.take_along_axis(ranks, np.minimum(column + (column >= at[:, None]), len(column) - 1), 1)
+                ranks[every, at] = rank(parts[every, at], parts[every, at + 1])
+                before = np.flatnonzero(at)
+                ranks[before, at[before] - 1] = rank(parts[before, at[before] - 1], parts[before, at[before]])
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Token ids of texts in which special tokens are plain text; words that weren't met before are merged together."""
+        cut = [self.words.findall(t) for t in texts]
+        if len(self.memo) >= MEMO_WORDS:
+            self.memo.clear()
+        new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in self.memo]
+        made = {w: self._long(w.encode()) for w in new if len(w) > MEMO_CHARACTERS}
+        new = [w for w in new if w not in made]
+        self.memo.update(zip(new, self.merged([w.encode() for w in new])))
+        memo = ChainMap(made, self.memo) if made else self.memo
+        return [list(chain.from_iterable(map(memo.__getitem__, words))) for words in cut]
+
     def _plain(self, text: str, out: list[tuple[int, ...]]) -> None:
         memo = self.memo
         for word in self.words.findall(text):

@@ -303,3 +303,28 @@ def test_licence_scan_keeps_columns_named_as_its_own(spark):
     assert licenses.scan(df).columns == [*df.columns, "license", "license_score", "license_from"]
     assert found["a/b/x.py"]["license"] == found["a/LICENSE"]["license"] and found["a/b/x.py"]["license_from"] == "a"
     assert [tuple(found[r[0]])[:7] for r in rows] == rows
+
+
+def test_words_are_merged_and_described_once(monkeypatch):
+    """A text is composed of its words as whole texts are aligned, and words that came before aren't tokenized again."""
+    content = open(A_FILE, encoding="utf-8").read(), open(B_FILE, "rb").read()
+    tokens = alignment.Tokenizers(*content)
+    draw = random.Random(4)
+    some = list("ab .,'sS1\t\n▁é日🙂\x1c\x00 　́") + ["  ", "   ", "the", " the", "<s>", "<unk>", "'re", "\r\n", "ing", "z" * 70]
+    texts = ["".join(draw.choice(some) for _ in range(draw.randint(0, 40))) for _ in range(1500)] + ["", None, "a ", " ", "a b"]
+    words = alignment.Words(tokens)
+    whole = tokens.both(texts)
+    assert [a for a, _ in whole if a] == [tokens.a.encode(" " + t) for t, (a, _) in zip(texts, whole) if a]
+    for limit in (1 << 20, 50):
+        monkeypatch.setattr(alignment, "MEMO_CHARACTERS", limit)
+        for at in range(0, len(texts), 100):
+            out, same = words.describe(texts[at : at + 100])
+            for i, (a, b) in enumerate(whole[at : at + 100]):
+                if same[i]:
+                    assert (out["n_a"][i], out["n_b"][i]) == (len(a), len(b)) and " ".join(alignment.words_of(texts[at + i])) == (texts[at + i] or "")
+    monkeypatch.setattr(alignment, "MEMO_CHARACTERS", 1 << 20)
+    words.clear()
+    words.describe(["so it was said"])
+    monkeypatch.setattr(tokens, "both", None)
+    out, _ = words.describe(["it was so", "said it"])
+    assert out["shown"] == [words.shown[1] + ";" + words.shown[2] + ";" + words.shown[0], words.shown[3] + ";" + words.shown[1]]
