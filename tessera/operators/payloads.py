@@ -51,9 +51,14 @@ def first_object(text: Column) -> Column:
     return F.when(at > 0, F.when(end["done"], F.substr(text, at, end["length"])))
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that a row computes once: filters aren't moved below what a generator makes, where each use would compute it anew."""
+    return rows.select(*[c for c in rows.columns if c != name], F.explode_outer(F.array(value)).alias(name))
+
+
 def parsed(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``body``: the first object of the payload as VARIANT, null where there is none."""
-    return payloads.withColumn("__object", first_object(F.col(payload))).withColumn("body", F.try_parse_json("__object")).drop("__object")
+    return _once(payloads, "body", F.try_parse_json(first_object(F.col(payload))))
 
 
 def _get(value: Column, path: str, kind: str = "string") -> Column:
@@ -73,7 +78,7 @@ def _errors(*pairs: tuple[str, Column]) -> Column:
 
 
 def _predicates(schema: Schema, value: Column) -> Column:
-    """Items of a predicate list: name, value and error; of a name the first valid item is taken, those after it are repeated."""
+    """Items of a predicate list: name, value, confidence and error, each by itself."""
     items = F.filter(F.coalesce(F.try_variant_get(value, "$.predicates", "array<variant>"), F.array().cast("array<variant>")), _is_object)
 
     def read(item: Column) -> Column:
@@ -88,16 +93,17 @@ def _predicates(schema: Schema, value: Column) -> Column:
         shown = F.when(name.isin(*schema.score), F.format_string("%.2f", number)).otherwise(raw)
         return F.struct(name.alias("name"), shown.alias("value"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(_get(item, "$.confidence", "double"), F.lit(0.0)))).alias("confidence"), error.alias("error"))
 
-    found = F.transform(items, read)
+    return F.transform(items, read)
+
+
+def _first_of_name(found: Column) -> Column:
+    """Of a name the first valid item is taken, those after it are repeated."""
     taken = lambda i, name: F.exists(F.slice(found, 1, i), lambda p: p["error"].isNull() & (p["name"] == name))
     return F.transform(found, lambda p, i: F.struct(p["name"], p["value"], p["confidence"], F.when(taken(i, p["name"]), "repeated_predicate").otherwise(p["error"]).alias("error")))
 
 
-def document_errors(payloads: DataFrame, schema: Schema, key: str = "doc_id", text: str = "text", kind: str = "kind") -> DataFrame:
-    """(key, entity null, error): what is wrong with a payload as a whole and its event; an unreadable one has that error alone.
-
-    payloads: key, ``body`` (``parsed``), the text that evidence must come from, and the kind of its source; an unknown kind allows every type.
-    """
+def _document_errors(schema: Schema, text: str, kind: str) -> Column:
+    """What is wrong with a payload as a whole and its event; an unreadable one has that error alone."""
     body = F.col("body")
     event = F.try_variant_get(body, "$.event", "variant")
     type_, evidence = _text(event, "$.event_type"), F.substring(_text(event, "$.evidence_text"), 1, EVIDENCE)
@@ -112,7 +118,16 @@ def document_errors(payloads: DataFrame, schema: Schema, key: str = "doc_id", te
         *[(f"missing_{f}", _text(event, f"$.{f}") == "") for f in ("subject", "object", "impact_path")],
         ("analyses_no_array", given.isNotNull() & list_.isNull()), ("no_analyses", given.isNull() | (F.size(list_) == 0)),
     )
-    return payloads.select(key, F.lit(None).cast("string").alias("entity"), F.explode(F.when(_is_object(body), found).otherwise(F.array(F.lit("unreadable")))).alias("error"))
+    return F.when(_is_object(body), found).otherwise(F.array(F.lit("unreadable")))
+
+
+def document_errors(payloads: DataFrame, schema: Schema, key: str = "doc_id", text: str = "text", kind: str = "kind") -> DataFrame:
+    """(key, entity null, error) of each payload as a whole.
+
+    payloads: key, ``body`` (``parsed``), the text that evidence must come from, and the kind of its source; an unknown kind allows every type.
+    """
+    rows = _once(payloads, "__errors", _document_errors(schema, text, kind))
+    return rows.select(key, F.lit(None).cast("string").alias("entity"), F.explode("__errors").alias("error"))
 
 
 def analyses(payloads: DataFrame, entities: DataFrame, schema: Schema, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,7 +143,7 @@ def analyses(payloads: DataFrame, entities: DataFrame, schema: Schema, key: str
     evidence = F.substring(_text(F.col("__item"), "$.relationship_evidence"), 1, EVIDENCE)
     missing = F.array_except(F.array(*[F.lit(n) for n in schema.names]), F.transform(F.filter("predicates", lambda p: p["error"].isNull()), lambda p: p["name"]))
     parts = F.try_variant_get("__item", "$.score_components", "map<string,variant>")
-    rows = rows.withColumn("predicates", _predicates(schema, F.col("__item")))
+    rows = _once(_once(rows, "__found", _predicates(schema, F.col("__item"))), "predicates", _first_of_name(F.col("__found")))
     stands = F.col("__known").isNotNull() & (F.col("place") == F.col("__first"))
     own = _errors(
         ("relationship_not_in_text", (evidence == "") | ~F.contains(F.coalesce(F.col(text), F.lit("")), evidence)),
@@ -138,7 +153,7 @@ def analyses(payloads: DataFrame, entities: DataFrame, schema: Schema, key: str
     inner = F.transform(F.filter("predicates", lambda p: p["error"].isNotNull()), lambda p: p["error"])
     errors = F.when(F.col("__known").isNull(), F.array(F.lit("unknown_entity"))).when(~stands, F.array(F.lit("repeated_entity"))).otherwise(F.concat(own, inner))
     accepted = stands & ~F.arrays_overlap(F.col("errors"), F.array(F.lit("missing_predicates"), F.lit("incomplete_components")))
-    return rows.withColumn("errors", errors).select(key, "place", "entity", "errors", missing.alias("missing"), "predicates", accepted.alias("accepted"))
+    return _once(rows, "errors", errors).select(key, "place", "entity", "errors", missing.alias("missing"), "predicates", accepted.alias("accepted"))
 
 
 def violations(payloads: DataFrame, entities: DataFrame, schema: Schema, key: str = "doc_id", text: str = "text", kind: str = "kind") -> DataFrame:
@@ -149,10 +164,12 @@ def violations(payloads: DataFrame, entities: DataFrame, schema: Schema, key: st
 
 
 def accepted_predicates(payloads: DataFrame, entities: DataFrame, schema: Schema, key: str = "doc_id", text: str = "text", kind: str = "kind") -> DataFrame:
-    """(key, entity, name, value, confidence): predicates of accepted entities of payloads without an error of their own."""
-    read = parsed(payloads)
-    bad = document_errors(read, schema, key, text, kind).select(key).distinct()
-    rows = analyses(read, entities, schema, key, text).filter("accepted").join(bad, key, "left_anti")
+    """(key, entity, name, value, confidence): predicates of accepted entities of payloads without an error of their own, in one pass over the rows.
+
+    Each row is judged by itself: of payloads that share a key, or have none, those without errors stay.
+    """
+    read = _once(parsed(payloads), "__errors", _document_errors(schema, text, kind)).filter(F.size("__errors") == 0)
+    rows = analyses(read, entities, schema, key, text).filter("accepted")
     return rows.select(key, "entity", F.explode(F.filter("predicates", lambda p: p["error"].isNull())).alias("p")).select(key, "entity", "p.name", "p.value", "p.confidence")
 
 

@@ -59,6 +59,17 @@ def test_accepted_predicates_and_their_map(given):
     assert payloads.consensus_map(rows, ["doc_id", "entity"]).filter("doc_id = 0").first()["predicates"] == '{"a":true,"b":false,"s":0.5}'
 
 
+def test_payloads_are_judged_by_row_and_read_once(spark, given, tmp_path):
+    """Of payloads that share a key, or have none, those without errors stay; the table is read by a single scan and not joined with itself."""
+    bad = with_(lambda b: b["event"].update(subject=""))
+    rows = [(1, "k", "it was said", json.dumps(GOOD)), (1, "k", "it was said", bad), (None, "k", "it was said", bad), (2, "k", "it was said", bad)]
+    spark.createDataFrame(rows, "doc_id long, kind string, text string, payload string").write.parquet(str(tmp_path / "p"))
+    found = payloads.accepted_predicates(spark.read.parquet(str(tmp_path / "p")), given[1], SCHEMA)
+    assert sorted((r["doc_id"], r["name"]) for r in found.collect()) == [(1, "a"), (1, "b"), (1, "s")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and plan.count("try_parse_json") + plan.count("parseJson") <= 1
+
+
 def test_first_object_of_a_text(spark):
     texts = ['x {"a": "}{", "b": {"c": 1}} {"d": 2}', '{"a": "\\"}"}', "{ {", "none", "", None, '{"open": "', "{}" + "y" * 5000]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", payloads.first_object(F.col("t")).alias("o")).orderBy("i").collect()
