@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -14,7 +15,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tessera.llm import alignment, chat_format, licenses, phrases, simhash_trie
+from tessera.llm import alignment, chat_format, licenses, phrases, simhash_trie, toxicity
 from tokenizers import Tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -328,3 +329,19 @@ def test_words_are_merged_and_described_once(monkeypatch):
     monkeypatch.setattr(tokens, "both", None)
     out, _ = words.describe(["it was so", "said it"])
     assert out["shown"] == [words.shown[1] + ";" + words.shown[2] + ";" + words.shown[0], words.shown[3] + ";" + words.shown[1]]
+
+
+def test_fit_holds_few_bytes_of_each_entry(monkeypatch):
+    """The driver holds the entries of 12,000 texts while it fits: once numbered, and once in batches, those of one phase at a time."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "FREE_EPOCHS", 1)
+    draw = np.random.default_rng(1)
+    x = [np.unique(draw.integers(0, 1 << 18, 500)).astype(np.int32) for _ in range(6000)]
+    y = (np.arange(len(x)) % 2).astype(float)
+    tracemalloc.start()
+    try:
+        machine = toxicity.fit(x, y)
+        assert tracemalloc.get_traced_memory()[1] < 40 * sum(map(len, x))
+    finally:
+        tracemalloc.stop()
+    assert set(machine.places) <= set(np.concatenate(x))
