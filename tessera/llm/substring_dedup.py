@@ -38,6 +38,8 @@ from tessera.llm.words import SPACE, find_words, gather, hash_windows, hash_word
 WINDOW, MINIMISER = 20, 4
 #: Packed text in a bucket, about, and in what a task collects before it sends.
 BUCKET_BYTES, SEND_BYTES = 10 << 20, 8 << 20
+#: Pairs of windows whose bytes are compared at once.
+SAME_ROWS = 4096
 #: At most so many hot minimisers are told to the tasks (16 bytes each).
 MOST_HOT = 1 << 20
 _MARKS = "doc_id long, print long, start int, n int, digest binary"
@@ -51,8 +53,9 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     if len(data):
         edges = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
         keep[edges] = inside[edges]
-    total = np.concatenate(([0], np.cumsum(keep)))
-    return np.where(inside, data, np.uint8(32))[keep], total[offsets]
+    some = np.diff(offsets) > 0  # texts with bytes; the sums of the others are empty
+    total = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.add.reduceat(keep, offsets[:-1][some], dtype=np.int64))))
+    return np.where(inside, data, np.uint8(32))[keep], total[np.concatenate(([0], np.cumsum(some)))]
 
 
 def super_kmers(hashed: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -239,8 +242,8 @@ def _marks(doc: np.ndarray, prints: np.ndarray, start: np.ndarray, n: np.ndarray
 def _same_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     size = end - begin
     same = size[left] == size[right]
-    for at in range(0, len(left), 16384):
-        own = np.flatnonzero(same[at : at + 16384]) + at
+    for at in range(0, len(left), SAME_ROWS):
+        own = np.flatnonzero(same[at : at + SAME_ROWS]) + at
         if len(own):
             n = size[left[own]]
             differ = gather(data, begin[left[own]], n) != gather(data, begin[right[own]], n)

@@ -15,7 +15,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tessera.llm import alignment, chat_format, licenses, phrases, simhash_trie, toxicity
+from tessera.llm import alignment, chat_format, licenses, phrases, simhash_trie, substring_dedup, toxicity
+from tessera.llm import words as kernels
 from tokenizers import Tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -345,3 +346,32 @@ def test_fit_holds_few_bytes_of_each_entry(monkeypatch):
     finally:
         tracemalloc.stop()
     assert set(machine.places) <= set(np.concatenate(x))
+
+
+def peak_of(run) -> float:
+    """MB that ``run`` holds at once, beyond what was there."""
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak
+
+
+def test_kernels_of_a_slice_hold_little():
+    """A slice of 1 MB of text takes a few MB, not 8 bytes a character several times over; hashes don't depend on the block."""
+    draw = random.Random(3)
+    texts = ["", " ".join(draw.choice("abcdefgh") * draw.randint(1, 9) for _ in range(190_000)), "", " \n", "x  y\tz", ""]
+    parts = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+    start, end, _ = kernels.find_words(data, offsets)
+    assert len(data) > 1_000_000
+    fresh = kernels.Powers(kernels._BYTES.base)
+    kernels._BYTES.up, kernels._BYTES.down = fresh.up, fresh.down
+    assert peak_of(lambda: kernels.hash_words(data, start, end)) < 12  # 35 with blocks of 1 MB
+    assert peak_of(lambda: substring_dedup.normalised(data, offsets)) < 12
+    assert (kernels.hash_words(data, start, end) == kernels.hash_words(data, start, end, 1 << 20)).all()
+    out, where = substring_dedup.normalised(data, offsets)
+    spaced = ["".join(f"{w} " for w in WORD.findall(t)) for t in texts]
+    assert [out[a:b].tobytes().decode().strip() for a, b in zip(where[:-1], where[1:])] == [s.strip() for s in spaced]
+    for none in (np.zeros(1, np.int64), np.zeros(4, np.int64)):
+        assert substring_dedup.normalised(data[:0], none)[1].tolist() == none.tolist()
