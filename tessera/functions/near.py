@@ -2,7 +2,8 @@
 
 A pair of similarity t shares at least t * n of the smaller set's n grams.  So of any n - t * n + k of these, the larger set holds at least k.  Each
 text looks up its rarest grams, by their counts in the block, and only pairs with k hits are compared whole.  Texts of a block with equal
-sets are looked up once.  Lookups go by 32 bits of a gram's hash, which can only add hits; comparisons use all 64.
+sets are looked up once.  Sets are numbered from the largest.  Grams have 32-bit codes (``gram_codes``); where codes may be
+shared, which can only add hits, 64-bit hashes are compared.
 """
 
 from __future__ import annotations
@@ -13,100 +14,102 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 
-from tessera.functions.text import gram_set
+from tessera.functions.text import gram_codes, gram_set
 
-#: Text of a block; its index takes some six times as much in a task.
-BLOCK_BYTES = 16 << 20
-#: k as a part of a set's size; text whose grams are looked up at once; hits that are counted at once, and counters for them.
-HITS_PART, PROBE_BYTES, HITS, COUNTERS = 0.1, 1 << 20, 1 << 21, 1 << 22
+#: Text of a block; its index takes some eight times as much in a task.
+BLOCK_BYTES = 48 << 20
+#: k as a part of a set's size; text that visits a block at once; hits that are counted at once, and bytes of marked grams kept to compare.
+HITS_PART, PROBE_BYTES, HITS, COUNTERS = 0.1, 1 << 20, 1 << 21, 1 << 26
+#: Classes of sizes, whose sets can be looked up alone.
+CLASSES = 16
 _LOW = np.uint64(0xFFFFFFFF)
 
 
 class Texts:
-    """Texts by their set of grams: of each different set its size, 32 bits of each gram, one text, and the rows (seq, id) that have it."""
+    """Texts by their set of grams: of each different set its size, its grams' codes, its text where these may be shared, and the rows (seq, id) that have it."""
 
     def __init__(self, size: int):
-        self.size, self.number, self.n, self.short, self.text, self.rows = size, {}, [], [], [], []
+        self.size, self.number, self.n, self.codes, self.text, self.rows = size, {}, [], [], [], []
 
     def add(self, text: str | None, seq: int, id: int) -> None:
-        grams = gram_set(text, self.size)
-        if len(grams):
-            number = self.number.setdefault(blake2b(grams.tobytes(), digest_size=16).digest(), len(self.n))
+        codes, exact = gram_codes(text, self.size)
+        if len(codes):
+            whole = codes if exact else gram_set(text, self.size)
+            number = self.number.setdefault((exact, blake2b(whole.tobytes(), digest_size=16).digest()), len(self.n))
             if number == len(self.n):
-                self.n.append(len(grams))
-                self.short.append(np.sort((grams.view(np.uint64) >> np.uint64(32)).astype(np.uint32)))
-                self.text.append(text)
+                self.n.append(len(codes))
+                self.codes.append(codes)
+                self.text.append(None if exact else text)
                 self.rows.append([])
             self.rows[number].append((seq, id))
 
 
 class Block(Texts):
-    """Texts that others are held against; ``keys`` are their grams (32 bits) with the number of the set that holds them, in order."""
+    """Texts that others are held against: of each gram, in ``grams``, the sets that hold it lie in ``sets`` from its ``head`` to the next."""
 
     def close(self) -> None:
-        self.sizes = np.array(self.n, np.int64)
-        self.keys = np.empty(int(self.sizes.sum()), np.uint64)
+        order = np.argsort(-np.array(self.n, np.int64), kind="stable").tolist()
+        self.n, self.codes, self.text, self.rows = ([x[i] for i in order] for x in (self.n, self.codes, self.text, self.rows))
+        self.sizes, self.number, self.marks = np.array(self.n, np.int64), {}, {}
+        keys = np.empty(int(self.sizes.sum()), np.uint64)
         at = 0
-        for number, short in enumerate(self.short):
-            self.keys[at : at + len(short)] = short.astype(np.uint64) << np.uint64(32) | np.uint64(number)
-            at += len(short)
-        self.keys.sort()
-        gram = (self.keys >> np.uint64(32)).astype(np.uint32)
-        head = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
-        # of each key, how many are left of its gram
-        self.left = (np.repeat(np.append(head[1:], len(gram)), np.diff(head, append=len(gram))) - np.arange(len(gram))).astype(np.uint32)
-
-    def candidates(self, given: Texts, first: int, last: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-        """Sets first to last of ``given``, each with the numbers of the block's sets that it may lie in."""
-        n = np.array(given.n[first:last], np.int64)
-        misses = n - np.ceil(n * threshold - 1e-9).astype(np.int64)
-        least = np.maximum(1, np.minimum((n * HITS_PART).astype(np.int64), n - misses))
-        doc = np.repeat(np.arange(len(n)), n)
-        gram = np.concatenate(given.short[first:last])
-        sorted_ = np.argsort(gram)  # lookups in order stay in the cache
-        low = np.empty(len(gram), np.int64)
-        low[sorted_] = np.searchsorted(self.keys, gram[sorted_].astype(np.uint64) << np.uint64(32))
-        at = np.minimum(low, len(self.keys) - 1)
-        df = np.where(self.keys[at] >> np.uint64(32) == gram, self.left[at], 0).astype(np.int64)
-        other = df > (1 if given is self else 0)  # a set of the block holds its own grams
-        able = np.bincount(doc, other, len(n)) >= n - misses
-        order = np.argsort(doc << 32 | df)
-        rank = np.arange(len(order)) - (np.cumsum(n) - n)[doc]
-        order = order[(rank < (misses + least)[doc]) & able[doc] & (df[order] > 0)]
-        doc, low, df = doc[order], low[order], df[order]
-        hits = np.append(0, np.cumsum(np.bincount(doc, df, len(n)).astype(np.int64)))
-        edge = np.searchsorted(doc, np.arange(len(n) + 1))
-        at = 0
-        while at < len(n):
-            to = max(at + 1, int(np.searchsorted(hits, hits[at] + HITS, "right")) - 1)
-            yield from self._counted(first, at, to, doc[edge[at] : edge[to]] - at, low[edge[at] : edge[to]], df[edge[at] : edge[to]], n, least)
-            at = to
-
-    def _counted(self, first: int, at: int, to: int, doc: np.ndarray, low: np.ndarray, df: np.ndarray, n: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Hits of the sets at to ``to``; those of a single set may be more than HITS, and are added up in parts."""
-        width = len(self.sizes)
-        cells, total = (to - at) * width, np.cumsum(df)
-        dense, begin = cells <= COUNTERS or to == at + 1, 0
-        places, counts = np.zeros(0, np.int64), np.zeros(cells if dense else 0, np.int64)
-        while begin < len(df):
-            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + HITS, "right")))
-            k = df[begin:end]
-            place = np.repeat(low[begin:end] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-            code = np.repeat(doc[begin:end], k) * width + (self.keys[place] & _LOW).astype(np.int64)
-            if dense:
-                counts += np.bincount(code, minlength=cells)
-            else:
-                places, counts = np.unique(code, return_counts=True)  # one part, as it holds several sets
+        for number, codes in enumerate(self.codes):
+            keys[at : at + len(codes)] = codes.astype(np.uint64) << np.uint64(32) | np.uint64(number)
+            at += len(codes)
+        keys.sort()
+        gram = keys.astype("<u8", copy=False).view("<u4")[1::2].copy()
+        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+        self.grams, self.head = gram[first], first
+        # where the sets of a gram end that are among the largest: a set only lies in those as large
+        classes = max(1, min(CLASSES, len(keys) // (8 * len(first)))) if len(first) else 1
+        self.edges = np.append(np.searchsorted(np.cumsum(self.sizes), len(keys) * np.arange(1, classes) / classes) + 1, len(self.n))
+        self.ends = [np.searchsorted(keys, self.grams.astype(np.uint64) << np.uint64(32) | np.uint64(x)).astype(np.int32) for x in self.edges[:-1]] + [np.append(first[1:], len(gram)).astype(np.int32)]
+        np.bitwise_and(keys, _LOW, out=keys)
+        self.sets, self.hits = keys.view(np.int64), np.empty(HITS, np.int64)
+        for number, codes in enumerate(self.codes):
+            self.codes[number] = self.places(codes).astype(np.uint32)
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Places in ``grams`` of those codes that the block has."""
+        at = np.minimum(np.searchsorted(self.grams, codes), len(self.grams) - 1)
+        return at[self.grams[at] == codes]
+
+    def candidates(self, n: int, places: np.ndarray, need: int, own: bool) -> np.ndarray:
+        """Numbers of the block's sets that a set of n grams, of which the block has ``places``, may lie in with ``need`` grams."""
+        last = int(np.searchsorted(-self.sizes, -n, "right"))
+        low = self.head[places]
+        high = self.ends[int(np.searchsorted(self.edges, last))][places]
+        df = high - low
+        held = df > (1 if own else 0)  # a set of the block holds its own grams
+        if last == 0 or np.count_nonzero(held) < need:
+            return np.zeros(0, np.int64)
+        low, high, df = low[held], high[held], df[held]
+        least = max(1, min(int(n * HITS_PART), need))
+        rare = n - need + least - (n - len(df))  # the others of the rarest have no hits
+        if rare < len(df):
+            kept = np.argpartition(df, rare - 1)[:rare]
+            low, high, df = low[kept], high[kept], df[kept]
+        total, begin, counts = np.cumsum(df), 0, 0
+        low, high = low.tolist(), high.tolist()
+        while begin < len(low):
+            done = int(total[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(total, done + HITS, "right")))
+            parts, found = [self.sets[x:y] for x, y in zip(low[begin:end], high[begin:end])], int(total[end - 1]) - done
+            hits = np.concatenate(parts, out=self.hits[:found]) if found <= len(self.hits) else np.concatenate(parts)
+            counts = counts + np.bincount(hits, minlength=len(self.sizes))
             begin = end
-        if dense:
-            places = np.flatnonzero(counts)
-            counts = counts[places]
-        one, other = places // width, places % width
-        found = (counts >= least[at + one]) & (self.sizes[other] >= n[at + one])
-        one, other = one[found], other[found]
-        edge = np.flatnonzero(np.append(True, one[1:] != one[:-1])) if len(one) else []
-        for begin, end in zip(edge, np.append(edge, len(one))[1:]):
-            yield first + at + int(one[begin]), other[begin:end]
+        return np.flatnonzero(counts[:last] >= least)
+
+    def shared(self, number: int, places: np.ndarray, byte: np.ndarray, bit: np.ndarray) -> int:
+        """How many of ``places`` a set of the block holds: by a bit for each gram of the block, which the largest sets keep, or looked up."""
+        if (number + 1) * len(self.grams) > COUNTERS * 8:
+            held = self.codes[number]
+            return np.count_nonzero(held[np.minimum(np.searchsorted(held, places), len(held) - 1)] == places)
+        if number not in self.marks:
+            held = np.zeros(len(self.grams), bool)
+            held[self.codes[number]] = True
+            self.marks[number] = np.packbits(held, bitorder="little")
+        return np.count_nonzero(self.marks[number].take(byte) & bit)
 
     def _rows(self, given: Texts, number: int, other: int) -> Iterator[tuple[int, int]]:
         """Pairs of the rows of two similar sets; equally large ones are met from both sides, and told by the smaller seq."""
@@ -118,30 +121,21 @@ class Block(Texts):
 
     def pairs(self, given: Texts, threshold: float) -> Iterator[tuple[int, int]]:
         """(earlier, later) of similar rows of ``given`` and the block, where the row of ``given`` has the smaller set, or an equally large one and the smaller seq."""
-        sets: dict[int, np.ndarray] = {}
-        first = 0
-        while len(self.n) and first < len(given.n):
-            last, size = first, 0
-            while last < len(given.n) and (last == first or size + given.n[last] <= PROBE_BYTES):
-                size += given.n[last]
-                last += 1
+        for number, n in enumerate(given.n if len(self.n) else []):
             if given is self:
-                for number in range(first, last):
-                    yield from self._rows(given, number, number)
-            for number, others in self.candidates(given, first, last, threshold):
-                own, n, short = None, given.n[number], given.short[number]
-                for other in others[(others != number) | (given is not self)].tolist():
-                    longer = self.short[other]
-                    if np.count_nonzero(longer[np.minimum(np.searchsorted(longer, short), len(longer) - 1)] == short) / n < threshold:
+                yield from self._rows(given, number, number)
+            need = int(np.ceil(n * threshold - 1e-9))
+            places, whole = given.codes[number].astype(np.intp) if given is self else self.places(given.codes[number]), None
+            others = self.candidates(n, places, need, given is self).tolist()
+            byte, bit, places = places >> 3, np.left_shift(1, places & 7).astype(np.uint8), places.astype(np.uint32)
+            for other in others:
+                if given is self and other == number or self.shared(other, places, byte, bit) / n < threshold:
+                    continue
+                if given.text[number] is not None and self.text[other] is not None:
+                    whole = gram_set(given.text[number], self.size) if whole is None else whole
+                    if len(np.intersect1d(whole, gram_set(self.text[other], self.size), assume_unique=True)) / n < threshold:
                         continue
-                    own = gram_set(given.text[number], self.size) if own is None else own
-                    if other not in sets:
-                        if len(sets) >= 1_000:
-                            sets.clear()
-                        sets[other] = gram_set(self.text[other], self.size)
-                    if len(np.intersect1d(own, sets[other], assume_unique=True)) / n >= threshold:
-                        yield from self._rows(given, number, other)
-            first = last
+                yield from self._rows(given, number, other)
 
 
 def block_pairs(batches: Iterator[pa.RecordBatch], threshold: float, size: int) -> Iterator[pa.RecordBatch]:

@@ -53,6 +53,27 @@ def all_grams(text: Column, sizes: tuple[int, ...]) -> Column:
 
 #: Lower case of ASCII bytes, and those that aren't letters or digits.
 _LOWER, _DROPPED = bytes(range(256)).lower(), bytes(b for b in range(128) if not chr(b).isalnum())
+#: Digits and letters of either case as 1 to 36; Chinese signs, as ``normal_text`` keeps them.
+_SYMBOL, _SIGN = bytes(int(chr(b), 36) + 1 if b < 128 and chr(b).isalnum() else 0 for b in range(256)), re.compile("[\u4e00-\u9fff]")
+
+
+def _gram_hashes(c: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the n-grams of code points, in their places."""
+    width = min(size, len(c))
+    h = np.zeros(len(c) - width + 1 if width else 0, np.uint64)
+    for k in range(width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : k + len(h)]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def _numbers(symbols: np.ndarray, size: int) -> np.ndarray:
+    """The n-grams of symbols from 1 to 36 as numbers to base 37."""
+    width = min(size, len(symbols))
+    h = np.zeros(len(symbols) - width + 1 if width else 0, np.uint32)
+    for k in range(width):
+        h = h * np.uint32(37) + symbols[k : k + len(h)]
+    return h
 
 
 def gram_set(text: str | None, size: int) -> np.ndarray:
@@ -63,15 +84,32 @@ def gram_set(text: str | None, size: int) -> np.ndarray:
     else:
         t = re.sub(r"[^0-9a-zA-Z\u4e00-\u9fff]+", "", text).lower()
         c = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-    width = min(size, len(c))
-    h = np.zeros(len(c) - width + 1 if width else 0, np.uint64)
-    for k in range(width):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : k + len(h)]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    out = np.sort((h ^ (h >> np.uint64(29))).view(np.int64))
+    out = np.sort(_gram_hashes(c, size))
     return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
 
 
+def gram_codes(text: str | None, size: int) -> tuple[np.ndarray, bool]:
+    """32-bit codes of the grams of ``gram_set``, in order, and whether no two grams share one: true of texts without Chinese signs.
+
+    Up to six letters and digits are numbers to base 37; other grams have hashes beyond these numbers, which may repeat.
+    """
+    text, short = text or "", size <= 6
+    if short and not _SIGN.search(text):
+        h = _numbers(np.frombuffer(text.encode("ascii", "ignore").translate(_SYMBOL, _DROPPED), np.uint8), size)
+        h.sort()
+        return (h[np.append(True, h[1:] != h[:-1])] if len(h) else h), True
+    c = np.frombuffer(re.sub(r"[^0-9a-zA-Z\u4e00-\u9fff]+", "", text).lower().encode("utf-32-le"), np.uint32)
+    hashes, first = np.unique(_gram_hashes(c.astype(np.uint64) + np.uint64(1), size), return_index=True)
+    hashes, base = hashes.view(np.uint64), 37**size if short else 0
+    codes = (np.uint64(base) + (hashes >> np.uint64(20)) % np.uint64((1 << 32) - base)).astype(np.uint32)
+    if short and len(c):
+        symbols = np.frombuffer(_SYMBOL, np.uint8)[np.minimum(c, 127)] * (c < 128)
+        width = min(size, len(c))
+        plain = np.convolve(c < 128, np.ones(width, np.int64), "valid")[first] == width
+        codes = np.where(plain, _numbers(symbols, size)[first], codes)
+    return np.sort(codes), False
+
+
 def grams(text: Column, size: int = 5) -> Column:
     """Hashes of the distinct n-grams of a normalised text, as longs."""
 

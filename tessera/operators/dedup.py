@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from tessera.functions.near import BLOCK_BYTES, block_pairs
 from tessera.operators.iterate import settled
 
+#: Tasks for each core that a period's blocks are dealt to: some blocks take much longer than others, and few should share a task.
+CELL_TASKS = 16
+
 
 def keep_earliest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row for each key: the first by ``order``.  Aggregates before it shuffles, so a hot key costs one row per task."""
@@ -38,7 +41,8 @@ def near_pairs(docs: DataFrame, threshold: float = 0.88, size: int = 5, period:
     blocks = slim.groupBy("__p").agg(F.greatest(F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES), F.lit(1)).alias("__n"))
     dealt = slim.join(F.broadcast(blocks), "__p").withColumn("__own", F.pmod(F.xxhash64("seq"), "__n"))
     cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__block")).withColumn("cell", F.xxhash64("__p", "__block")).withColumn("visits", F.col("__own") != F.col("__block"))
-    met = cells.select("cell", "visits", "seq", "id", "text").repartition("cell").sortWithinPartitions("cell", "visits")
+    tasks = CELL_TASKS * docs.sparkSession.sparkContext.defaultParallelism
+    met = cells.select("cell", "visits", "seq", "id", "text").repartition(tasks, "cell").sortWithinPartitions("cell", "visits")
     return met.mapInArrow(lambda batches: block_pairs(batches, threshold, size), "earlier long, later long").distinct()
 
 

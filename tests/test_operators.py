@@ -118,6 +118,41 @@ def test_near_pairs_of_several_blocks_write_less_than_their_texts(spark, tmp_pat
     assert set(block.pairs(block, 0.88)) == {w for w in want if w[0] in {seq[i] for i, p, _ in rows if p.month == 1}}
 
 
+def test_near_pairs_count_few_hits(monkeypatch):
+    """A text is only looked up among sets as large as its own: fewer steps of counting than grams."""
+    from tessera.functions import near
+
+    draw, counted, plain_count = random.Random(7), [], np.bincount
+    words = ["".join(draw.choice("abcdefgh") for _ in range(3)) for _ in range(300)]
+    block = near.Block(5)
+    for i in range(300):
+        block.add(" ".join(draw.choice(words) for _ in range(40 if i % 10 else 900)), i, i)
+    block.close()
+    monkeypatch.setattr(near.np, "bincount", lambda x, *args, **kwargs: counted.append(len(x)) or plain_count(x, *args, **kwargs))
+    assert not set(block.pairs(block, 0.88)) and 0 < sum(counted) < sum(block.n)
+
+
+def test_near_pairs_of_mixed_scripts():
+    """Grams of letters and digits, of Chinese signs and of both, and texts shorter than a gram, against plain sets."""
+    from tessera.functions import near
+    from tessera.functions.text import gram_list
+
+    draw = random.Random(6)
+    words = ["anlage", "bericht", "Über", "中文", "价格上涨", "zwei", "x1", "oil"]
+    rows = [(i, " ".join(draw.choice(words) for _ in range(2 + i % 60))) for i in range(400)] + [(400, "中"), (401, "a中b"), (402, "A中 b!"), (403, "ab"), (404, "ab"), (405, None), (406, "\U00020000 ...")]
+    for size in (5, 7):
+        sets = {}
+        for i, t in rows:
+            plain = "".join(gram_list(t, (1,)))
+            sets[i] = set(gram_list(t, (size,))) or ({plain} if plain else set())
+        want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) >= 0.88}
+        block = near.Block(size)
+        for i, t in rows:
+            block.add(t, i, i)
+        block.close()
+        assert set(block.pairs(block, 0.88)) == want and len(want) > 100
+
+
 def test_ordered_dedup_against_a_loop(spark):
     draw = random.Random(4)
     rows = [(i, date(2020, 1, 1) + timedelta(days=draw.randrange(9)), f"u{draw.randrange(25)}", f"f{draw.randrange(25)}") for i in range(80)]
