@@ -14,8 +14,8 @@ TRACKING = ("utm_", "spm", "from", "source")
 
 
 def normal_text(text: Column) -> Column:
-    """Digits, ASCII letters and CJK ideographs only, in lower case."""
-    return F.lower(F.regexp_replace(text, r"[^0-9a-zA-Z一-鿿]+", ""))
+    """Digits, ASCII letters and CJK ideographs only, in lower case.  What goes is named by its ranges: Java takes several times as long for all but what stays."""
+    return F.lower(F.regexp_replace(text, r"[\x00-/:-@\[-`{-\x{4DFF}\x{A000}-\x{10FFFF}]+", ""))
 
 
 def fingerprint(text: Column) -> Column:

@@ -1,6 +1,7 @@
 """Operators on closed-form fixtures."""
 
 import random
+import time
 from datetime import date, timedelta
 
 import numpy as np
@@ -153,6 +154,25 @@ def test_near_pairs_of_mixed_scripts():
         assert set(block.pairs(block, 0.88)) == want and len(want) > 100
 
 
+def test_normal_text_takes_no_longer_than_a_plain_pattern(spark):
+    """Every sign is kept or dropped as by ``gram_list``, and a text takes no three times as long as by a shorter pattern."""
+    signs = [chr(i) for i in (*range(0xD800), *range(0xE000, 0x110000))]
+    rows = ["x".join(signs[i : i + 1000]) for i in range(0, len(signs), 1000)] + ["", None]
+    got = spark.createDataFrame([(t,) for t in rows], "text string").select(text.normal_text(F.col("text")).alias("n")).collect()
+    assert [r["n"] for r in got] == [None if t is None else "".join(text.gram_list(t, (1,))) for t in rows]
+    long = spark.range(0, 2_000, 1, 4).select(F.repeat(F.concat(F.lit("Über den Preis, 12 % more; "), "id"), 200).alias("text")).localCheckpoint()
+
+    def seconds(column):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            long.select(F.sum(F.length(column))).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(text.normal_text(F.col("text"))) < 3 * seconds(F.lower(F.regexp_replace("text", "[^0-9a-z]+", "")))
+
+
 def test_ordered_dedup_against_a_loop(spark):
     draw = random.Random(4)
     rows = [(i, date(2020, 1, 1) + timedelta(days=draw.randrange(9)), f"u{draw.randrange(25)}", f"f{draw.randrange(25)}") for i in range(80)]
